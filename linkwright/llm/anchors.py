@@ -34,8 +34,7 @@ _ROWS = "kind int, key long, blob binary, payload binary"
 _ENTRY = ("<u4", "<u8", "<i8", "<i4", "u1")
 _RANGE = ("<i8", "<i4", "<i4")
 _WANTED = ("<u4", "<i8", "<i4")
-_CONTEXT = ("<i8", "<i4", "<u2", "<u2", "<u4")
-BLOCK_BYTES, FLUSH = 1 << 18, 1 << 19
+BLOCK_BYTES, FLUSH, BATCH_BYTES = 1 << 18, 1 << 19, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -103,6 +102,18 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["kind", "key", "blob", "payload"])
 
 
+def _by_anchor(h: np.ndarray, n: np.ndarray) -> Iterator[np.ndarray]:
+    """Indexes in batches of about BATCH_BYTES that never part entries of one anchor."""
+    order = np.argsort(h, kind="stable")
+    total, new = np.cumsum(n[order].astype(np.int64)), np.flatnonzero(np.concatenate([[False], np.diff(h[order].astype(np.int64)) != 0]))
+    cuts, last = [], 0
+    for c in new.tolist():
+        if total[c - 1] - last >= BATCH_BYTES:
+            cuts.append(c)
+            last = total[c - 1]
+    yield from (x for x in np.split(order, cuts) if len(x))
+
+
 def _covered(rid, start, end, parts: int) -> list[tuple]:
     rid, start, end = merged(rid, start, end)
     return _rows(COVERED, np.mod(rid, parts), (rid, start, end), _RANGE)
@@ -197,11 +208,12 @@ def repeats(docs: DataFrame, kind: Kind, finish: Callable[[int, bytes, list[tupl
     def resolve(t: pd.DataFrame) -> pd.DataFrame:
         out, mine = through(t), t[t.kind == CONTEXT]
         for _, some in mine.groupby("key"):
-            rid, low, n, _ = unpack(some.blob, "<i8", "<i4", "<u4", "<u4")
-            whole = b"".join(some.payload)
-            ends = np.cumsum(n.astype(np.int64))
-            rid, start = kind.resolve(rid, low.astype(np.int64), [whole[e - k : e] for e, k in zip(ends.tolist(), n.tolist(), strict=True)])
-            out += _covered(rid, start, start + window, parts)
+            rid, low, n, h = unpack(some.blob, "<i8", "<i4", "<u4", "<u4")
+            whole, end = b"".join(some.payload), np.cumsum(n.astype(np.int64))
+            for at in _by_anchor(h, n):
+                payloads = [whole[e - k : e] for e, k in zip(end[at].tolist(), n[at].tolist(), strict=True)]
+                again, start = kind.resolve(rid[at], low[at].astype(np.int64), payloads)
+                out += _covered(again, start, start + window, parts)
         return _frame(out)
 
     def last(d: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
