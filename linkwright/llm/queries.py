@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op9_bpe
 from .jaccard import op10_jaccard_join
 from .language_id import op1_language_id
+from .lm import op4_lm_score
 from .mixing import op5_mixing
 from .phrases import op8_phrase_dedup
 from .suffix_dedup import op3_suffix_dedup
@@ -16,7 +17,7 @@ from .vectors import op2_embedding_join, op7_top_k
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_embedding_join, op3_suffix_dedup, op5_mixing, op7_top_k, op8_phrase_dedup, op9_bpe, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_language_id, op2_embedding_join, op3_suffix_dedup, op4_lm_score, op5_mixing, op7_top_k, op8_phrase_dedup, op9_bpe, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
