@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, table
+from .common import RID, checkpoint, table, with_rid
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, SHARE, MOST_EPOCHS, SEED = (3.0, 1.0, 2.0), 1.5, 2.0, 17
@@ -61,6 +61,28 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     return _taken(light)
 
 
+def repeated(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """docs as often as the mix takes them: whole for each epoch, then in part where the target cuts a document.
+
+    All columns stay; n_chars, if present, follows a cut text. Documents without a word are not taken.
+    """
+    keyed = with_rid(docs, "doc_id", "text")
+    plan = mix(keyed.withColumn("doc_id", F.col(RID)), seed).select(F.col("doc_id").alias("__id"), F.col("__size").alias("__n"), "taken").filter("taken > 0")
+    joined = keyed.join(plan, F.col(RID) == F.col("__id"))
+    whole, rest = F.floor(F.col("taken") / F.col("__n")).cast("int"), (F.col("taken") % F.col("__n")).cast("int")
+    times = F.concat(F.array_repeat(F.col("__n").cast("int"), whole), F.array_repeat(rest, F.when(rest > 0, 1).otherwise(0)))
+    out = joined.withColumn("__words", F.explode(times))
+    out = out.withColumn("text", F.when(F.col("__words") < F.col("__n"), _first_words(F.col("text"), F.col("__words"))).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
+def _first_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its n-th word, with single spaces between words."""
+    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lit(1), F.greatest(n, F.lit(1))), " ")
+
+
 def _taken(light: DataFrame) -> DataFrame:
     """From rows in range partitions: exact prefix sums, first over partitions, then over rows of one partition."""
     by_part = light.groupBy("source", "__pid").agg(F.sum("__size").alias("__in_part"))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op9_bpe
+from .chat import op6_chat_format
 from .jaccard import op10_jaccard_join
 from .language_id import op1_language_id
 from .lm import op4_lm_score
@@ -17,7 +18,7 @@ from .vectors import op2_embedding_join, op7_top_k
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_embedding_join, op3_suffix_dedup, op4_lm_score, op5_mixing, op7_top_k, op8_phrase_dedup, op9_bpe, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_language_id, op2_embedding_join, op3_suffix_dedup, op4_lm_score, op5_mixing, op6_chat_format, op7_top_k, op8_phrase_dedup, op9_bpe, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
