@@ -23,10 +23,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import RID, pack, parts_for, slices, unpack
+from .common import RID, modest_batches, pack, parts_for, release, releasing, slices, unpack
 from .hashing import _powers, blocks, mix, prefix, span
 
 ANCHOR, COVERED, REQUEST, CONTEXT = 0, 1, 2, 3
@@ -34,7 +37,7 @@ _ROWS = "kind int, key long, blob binary, payload binary"
 _ENTRY = ("<u4", "<u8", "<i8", "<i4", "u1")
 _RANGE = ("<i8", "<i4", "<i4")
 _WANTED = ("<u4", "<i8", "<i4")
-BLOCK_BYTES, FLUSH, BATCH_BYTES = 1 << 18, 1 << 19, 1 << 20
+BLOCK_BYTES, FLUSH, BATCH_BYTES = 1 << 18, 1 << 19, 1 << 19
 
 
 @dataclass(frozen=True)
@@ -114,16 +117,22 @@ def _by_anchor(h: np.ndarray, n: np.ndarray) -> Iterator[np.ndarray]:
     yield from (x for x in np.split(order, cuts) if len(x))
 
 
+def _table(rows: list[tuple]) -> pa.Table:
+    return pa.Table.from_pylist([dict(zip(("kind", "key", "blob", "payload"), r, strict=True)) for r in rows], pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("blob", pa.binary()), ("payload", pa.binary())]))
+
+
 def _covered(rid, start, end, parts: int) -> list[tuple]:
     rid, start, end = merged(rid, start, end)
     return _rows(COVERED, np.mod(rid, parts), (rid, start, end), _RANGE)
 
 
-def repeats(docs: DataFrame, kind: Kind, finish: Callable[[int, bytes, list[tuple[int, int]]], tuple], schema: str, part_bytes: int = 8 << 20) -> DataFrame:
-    """finish(row key, text, covered token ranges) of every row of docs (RID unique, text)."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+def repeats(docs: DataFrame, kind: Kind, finish: Callable[[bytes | None, list[tuple[int, int]]], tuple], schema: str, carry: list[str], part_bytes: int = 8 << 20) -> DataFrame:
+    """The columns ``carry`` and those of finish(text, covered token ranges) of every row of docs (RID unique, text)."""
+    size = modest_batches(docs).agg(F.sum(F.octet_length("text"))).first()[0]
     parts = parts_for(size, part_bytes)
-    dealt = docs.select(F.pmod(F.col(RID), F.lit(parts)).cast("long").alias("key"), F.col(RID).alias("rid"), F.col("text").cast("string").alias("text"))
+    dealt = docs.select(F.pmod(F.col(RID), F.lit(parts)).cast("long").alias("key"), F.col(RID).alias("rid"), F.col("text").cast("string").alias("text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)])
+    own = T.StructType.fromDDL(schema)
+    fields = T.StructType([*[T.StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(carry)], *own.fields])
     window, gram = kind.window, kind.gram
 
     def combine(group, h, c, rid, pos, right):
@@ -185,13 +194,14 @@ def repeats(docs: DataFrame, kind: Kind, finish: Callable[[int, bytes, list[tupl
             out += [(k, p, b + np.int64(key).tobytes(), None) for k, p, b, _ in _rows(REQUEST, np.mod(rid[ask], parts), (h[ask], rid[ask], pos[ask]), _WANTED)]
         return _frame(out)
 
-    def fetch(d: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+    def fetch(d: pa.Table, found: pa.Table) -> pa.Table:
+        t = found.to_pandas()
         out, asked = through(t), t.blob[t.kind == REQUEST]
         if not len(asked):
-            return _frame(out)
+            return _table(out)
         groups = np.concatenate([np.full((len(b) - 8) // 16, int(np.frombuffer(b[-8:], np.int64)[0])) for b in asked])
         h, rid, pos = unpack([b[:-8] for b in asked], *_WANTED)
-        text_of = dict(zip(d.rid, d.text, strict=True))
+        text_of = dict(zip(d["rid"].to_pylist(), d["text"].to_pylist(), strict=True))
         lines: dict[int, list[tuple]] = {}
         for r, at in slices(rid):
             text = (text_of[int(r)] or "").encode()
@@ -203,7 +213,8 @@ def repeats(docs: DataFrame, kind: Kind, finish: Callable[[int, bytes, list[tupl
             r, lo, n, x, payload = zip(*found, strict=True)
             fields = (np.array(r, "<i8"), np.array(lo, "<i4"), np.array(n, "<u4"), np.array(x, "<u4"))
             out.append((CONTEXT, g, pack(*fields), b"".join(payload)))
-        return _frame(out)
+        release()
+        return _table(out)
 
     def resolve(t: pd.DataFrame) -> pd.DataFrame:
         out, mine = through(t), t[t.kind == CONTEXT]
@@ -214,18 +225,23 @@ def repeats(docs: DataFrame, kind: Kind, finish: Callable[[int, bytes, list[tupl
                 payloads = [whole[e - k : e] for e, k in zip(end[at].tolist(), n[at].tolist(), strict=True)]
                 again, start = kind.resolve(rid[at], low[at].astype(np.int64), payloads)
                 out += _covered(again, start, start + window, parts)
+        release()
         return _frame(out)
 
-    def last(d: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        rid, start, end = merged(*(x.astype(np.int64) for x in unpack(t.blob, *_RANGE)))
+    def last(d: pa.Table, found: pa.Table) -> pa.Table:
+        rid, start, end = merged(*(x.astype(np.int64) for x in unpack(found["blob"].to_pylist(), *_RANGE)))
         runs: dict[int, list[tuple[int, int]]] = {}
         for r, s, e in zip(rid.tolist(), start.tolist(), end.tolist(), strict=True):
             runs.setdefault(r, []).append((s, e))
-        rows = [finish(int(r), (x or "").encode(), runs.get(int(r), [])) for r, x in zip(d.rid, d.text, strict=True)]
-        return pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])
+        rows = [finish(None if x is None else x.encode(), runs.get(r, [])) for r, x in zip(d["rid"].to_pylist(), d["text"].to_pylist(), strict=True)]
+        columns = list(zip(*rows, strict=True)) or [[]] * len(types)
+        made = [pa.array(list(x), t) for x, t in zip(columns, types, strict=True)]
+        return pa.Table.from_arrays([*[d[f"c{i}"].combine_chunks() for i in range(len(carry))], *made], names=[f.name for f in fields])
 
-    found = dealt.select("rid", "text").mapInPandas(collect, _ROWS)
+    types = [to_arrow_type(f.dataType) for f in own]
+    found = dealt.select("rid", "text").mapInPandas(releasing(collect), _ROWS)
     found = found.groupBy("kind", "key").applyInPandas(decide, _ROWS)
-    found = dealt.groupBy("key").cogroup(found.groupBy("key")).applyInPandas(fetch, _ROWS)
+    found = dealt.groupBy("key").cogroup(found.groupBy("key")).applyInArrow(fetch, _ROWS)
     found = found.groupBy("kind", "key").applyInPandas(resolve, _ROWS)
-    return dealt.groupBy("key").cogroup(found.groupBy("key")).applyInPandas(last, schema)
+    done = dealt.groupBy("key").cogroup(found.groupBy("key")).applyInArrow(last, fields)
+    return done.toDF(*carry, *[f.name for f in own])

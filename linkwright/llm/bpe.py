@@ -19,7 +19,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import RID, table, with_rid
+from .common import RID, modest_batches, releasing, table, with_rid
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 CHUNK, OVERLAP = 1 << 15, 1 << 10
@@ -110,7 +110,7 @@ def decode(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
 def _encoded(docs: DataFrame, path: str, chunk: int, overlap: int, digest: bool) -> DataFrame:
     if not 0 < overlap < chunk:
         raise ValueError("overlap must be positive and below chunk")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = modest_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "doc_id long, ids binary"
 
     def result(ids: list, blobs: list[bytes]) -> pd.DataFrame:
@@ -142,11 +142,11 @@ def _encoded(docs: DataFrame, path: str, chunk: int, overlap: int, digest: bool)
         return result([None if pd.isna(rows[0]["doc_id"]) else int(rows[0]["doc_id"])], [stitch(rows, path)])
 
     length = F.coalesce(F.length("text"), F.lit(0))
-    short = docs.filter(length <= chunk).mapInPandas(whole, schema)
+    short = docs.filter(length <= chunk).mapInPandas(releasing(whole), schema)
     long = with_rid(docs.filter(length > chunk), "doc_id", "text")
     kind = "rid long, doc_id long, k int, n int, start long, end long, window string"
     parts = long.mapInPandas(cut, kind)
-    parts = parts.repartition(F.col("rid"), F.col("k")).mapInPandas(inner, kind + ", lead array<long>, trail array<long>, ids binary")
+    parts = parts.repartition(F.col("rid"), F.col("k")).mapInPandas(releasing(inner), kind + ", lead array<long>, trail array<long>, ids binary")
     return short.unionByName(parts.groupBy("rid").applyInPandas(one, schema))
 
 

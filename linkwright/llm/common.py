@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +44,35 @@ def with_rid(df: DataFrame, key: str, then: str) -> DataFrame:
     return checkpoint(ranked.withColumn(RID, F.monotonically_increasing_id()))
 
 
+#: Rows in an Arrow batch at most: texts may be long.
+BATCH_ROWS = 1000
+
+
+def modest_batches(df: DataFrame) -> DataFrame:
+    """df, with Arrow batches of its session held to BATCH_ROWS rows, so that a batch of long texts fits a worker."""
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
+def release() -> None:
+    """Give memory that is free in this process back to the system: workers stay alive between tasks."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def releasing(function):
+    """A function over batches that releases memory when a task's batches are done."""
+
+    def run(batches):
+        yield from function(batches)
+        release()
+
+    return run
+
+
 def parts_for(amount: float, each: float, least: int = 48) -> int:
     """How many groups keep each near ``each``; the count grows with the data, so that a group's size doesn't."""
     return max(least, int(np.ceil((amount or 0) / each)))

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import RID, checkpoint, pack, parts_for, slices, table, unpack, with_rid
+from .common import RID, checkpoint, modest_batches, pack, parts_for, releasing, slices, table, unpack, with_rid
 from .components import components, local_forest
 from .hashing import ALNUM_BYTE, blocks, mix, prefix, span, words_of
 
@@ -151,7 +151,7 @@ def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, tole
     holds the rows with one set, a component those that links reach; both are named by their smallest row key. Rows
     without a word (null and empty texts) link with nothing.
     """
-    texts = docs.select(F.col(RID).alias("rid"), F.col("text").cast("string").alias("text"))
+    texts = modest_batches(docs).select(F.col(RID).alias("rid"), F.col("text").cast("string").alias("text"))
 
     def sketch(batches):
         for t in batches:
@@ -163,7 +163,7 @@ def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, tole
                 key = [(int(mix(s.copy()).sum().view(np.int64)), int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum().view(np.int64))) if len(s) else (0, int(r)) for s, (r, _) in zip(sets, rows, strict=True)]
                 yield pd.DataFrame({"rid": [r for r, _ in rows], "n": [len(s) for s in sets], "k1": [k for k, _ in key], "k2": [k for _, k in key], "bands": [pack(bands[k]) if k in bands else None for k in range(len(rows))]})
 
-    sketched = checkpoint(texts.mapInPandas(sketch, "rid long, n long, k1 long, k2 long, bands binary"))
+    sketched = checkpoint(texts.mapInPandas(releasing(sketch), "rid long, n long, k1 long, k2 long, bands binary"))
     classes = checkpoint(sketched.groupBy("n", "k1", "k2").agg(F.min("rid").alias("rep"), F.count("*").alias("copies"), F.min_by("bands", "rid").alias("bands")))
     parts = parts_for(classes.count(), 1 << 14)
 
@@ -222,7 +222,7 @@ def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, tole
         got = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 3
         return pd.DataFrame(dict(zip(("rid", "n", "least"), got, strict=True)))
 
-    dealt = texts.join(placed, F.col("rid") == F.col("at")).select("rid", "text", "component", "size", "copies").mapInPandas(deal, "unit string, cluster long, rid long, copies long, side int, shingles binary")
+    dealt = texts.join(placed, F.col("rid") == F.col("at")).select("rid", "text", "component", "size", "copies").mapInPandas(releasing(deal), "unit string, cluster long, rid long, copies long, side int, shingles binary")
     found = checkpoint(dealt.groupBy("unit").applyInPandas(unit, "rid long, n long, least long"))
     links = found.groupBy("rid").agg(F.sum("n").alias("n")).withColumnRenamed("rid", "__l")
     groups = components(found.select(F.col("rid").alias("u"), F.col("least").alias("v")))

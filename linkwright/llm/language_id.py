@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pack, table, unpack
+from .common import modest_batches, pack, releasing, table, unpack
 from .hashing import mix
 
 UNDETERMINED = "und"
@@ -64,7 +64,7 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE_ROWS, buckets: int = BUC
     Rows without text or lang teach nothing. Of a language with more rows than ``per_language``, about that many
     take part, chosen by a hash of doc_id and text; what comes to the driver is bounded by that and by buckets.
     """
-    labelled = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
+    labelled = modest_batches(labelled).filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
     sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     if not sizes:
         return [], np.zeros((buckets, 0), np.float32)
@@ -84,7 +84,7 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE_ROWS, buckets: int = BUC
         yield pd.DataFrame({"lang": list(total), "counts": [pack(x) for x in total.values()]})
 
     sums = {k: np.zeros(buckets) for k in names}
-    for r in sample.mapInPandas(count, "lang string, counts binary").toLocalIterator():
+    for r in sample.mapInPandas(releasing(count), "lang string, counts binary").toLocalIterator():
         sums[r["lang"]] += unpack([r["counts"]], np.int64)[0]
     logs = [np.log(sums[k] + SMOOTHING) - np.log(sums[k].sum() + SMOOTHING * buckets) for k in names]
     return names, np.stack(logs, axis=1).astype(np.float32)
@@ -131,7 +131,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     Null texts and texts without a letter get ``und`` and 0.0, as all do if nothing was learned. Ties go to the
     language that comes first by code point.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = modest_batches(docs).sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
     def predicted(texts: pd.Series) -> pd.DataFrame:

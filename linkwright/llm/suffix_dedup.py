@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import Kind, repeats
-from .common import RID, table, with_rid
+from .common import table, with_rid
 from .hashing import BYTE_CODES, prefix, span
 
 LENGTH, GRAM, SEGMENT = 100, 32, 1 << 20
@@ -112,25 +112,31 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     Order is by doc_id (null first; rows that repeat one by text), then by place. Where a cut splits a character,
     its remaining bytes go too. A null text stays null; n_chars, if present, follows the text. Other columns stay.
     """
-    keyed = with_rid(docs, "doc_id", "text")
-    cut = repeats(keyed, kind(length), lambda rid, text, runs: (rid, without(text, runs).decode("utf-8", "ignore")), "__id long, __kept string")
-    out = keyed.join(cut, keyed[RID] == cut["__id"]).withColumn("text", F.when(F.col("text").isNotNull(), F.col("__kept")))
+    others = [c for c in docs.columns if c != "text"]
+
+    def kept(text, runs):
+        return (None if text is None else without(text, runs).decode("utf-8", "ignore"),)
+
+    out = repeats(with_rid(docs, "doc_id", "text"), kind(length), kept, "text string", others)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
 
 
 def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(row key, removed array<struct<start, end>>) of each row of docs with RID: what remove_repeats() takes out."""
-    return repeats(docs, kind(length), lambda rid, text, runs: (rid, [{"start": s, "end": e} for s, e in runs]), "rid long, removed array<struct<start:long,end:long>>")
+    """doc_id and removed, array<struct<start, end>> in bytes, of each row of docs: what remove_repeats() takes out."""
+
+    def row(text, runs):
+        return ([{"start": s, "end": e} for s, e in runs],)
+
+    return repeats(with_rid(docs, "doc_id", "text"), kind(length), row, "removed array<struct<start:bigint,end:bigint>>", ["doc_id"])
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = with_rid(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
 
-    def row(rid, text, runs):
-        return rid, len(text), sum(e - s for s, e in runs), len(runs), hashlib.sha256(without(text, runs)).hexdigest()
+    def row(text, runs):
+        text = text or b""
+        return len(text), sum(e - s for s, e in runs), len(runs), hashlib.sha256(without(text, runs)).hexdigest()
 
-    found = repeats(docs, kind(), row, "rid long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    ids = docs.select(RID, "doc_id")
-    return found.join(ids, found["rid"] == ids[RID]).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return repeats(docs, kind(), row, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", ["doc_id"])
