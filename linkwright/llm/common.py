@@ -34,13 +34,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def with_rid(df: DataFrame, key: str, then: str) -> DataFrame:
     """Add a unique long row key that sorts as ``key`` does.
 
-    It is ``key`` itself where that is unique and never null. Otherwise rows are ranked by ``key`` (null
-    first), then by ``then``: rows that repeat an id are told apart, and equal rows are interchangeable.
+    It is ``key`` itself where that is unique and never null. Otherwise rows are ranked by ``key`` (null first), then by
+    a hash of ``then`` (short, as sorting samples its keys): rows that repeat an id are told apart, and equal rows are
+    interchangeable.
     """
     odd = df.groupBy(key).count().filter((F.col("count") > 1) | F.col(key).isNull())
     if odd.isEmpty():
         return df.withColumn(RID, F.col(key).cast("long"))
-    ranked = df.orderBy(F.col(key).asc_nulls_first(), F.col(then).asc_nulls_first())
+    ranked = df.orderBy(F.col(key).asc_nulls_first(), F.xxhash64(then))
     return checkpoint(ranked.withColumn(RID, F.monotonically_increasing_id()))
 
 

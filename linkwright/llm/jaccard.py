@@ -234,7 +234,7 @@ def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, tole
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """Rows of docs but those with a smaller row (by doc_id; null first, rows that repeat one by text) in their component.
+    """Rows of docs but those with a smaller row (by doc_id; null first, rows that repeat one by a hash of text) in their component.
 
     All columns stay. Rows without a word stay, as they link with nothing.
     """

@@ -109,7 +109,7 @@ def without(text: bytes, runs: list[tuple[int, int]]) -> bytes:
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Rows of docs with text free of bytes in strings of ``length`` bytes that start earlier in the corpus.
 
-    Order is by doc_id (null first; rows that repeat one by text), then by place. Where a cut splits a character,
+    Order is by doc_id (null first; rows that repeat one by a hash of text), then by place. Where a cut splits a character,
     its remaining bytes go too. A null text stays null; n_chars, if present, follows the text. Other columns stay.
     """
     others = [c for c in docs.columns if c != "text"]
