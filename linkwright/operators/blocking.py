@@ -94,10 +94,14 @@ class ClassicalBlocker:
         ga, gb = (D.postings(self._grams(t), "grams") for t in (a, b))
         return shared_items(ga, rare(gb, self.settings.rare_ngram))
 
+    def first_rules(self, a: DataFrame, b: DataFrame) -> DataFrame:
+        """(unique_id_l, unique_id_r, rule) of the rules that don't depend on others."""
+        return self._tagged({"R1": self.rule_word(a, b), "R2": self.rule_identifier(a, b), "R3": self.rule_brand(a, b), "R5": self.rule_ngram(a, b)})
+
     def candidates_by_rule(self, a: DataFrame, b: DataFrame) -> DataFrame:
         """(unique_id_l, unique_id_r, rule) of all rules."""
         s = self.settings
-        first = self._tagged({"R1": self.rule_word(a, b), "R2": self.rule_identifier(a, b), "R3": self.rule_brand(a, b), "R5": self.rule_ngram(a, b)}).persist()
+        first = self.first_rules(a, b).persist()
         ga, gb = self._grams(a), self._grams(b)
         stranded = ga.join(first.select(F.col(LEFT).alias(ID)).distinct(), ID, "left_anti")
         rescued = self._tagged({"R4": nearest(stranded, gb, s.neighbours).select(F.col("q").alias(LEFT), F.col("t").alias(RIGHT))}).persist()

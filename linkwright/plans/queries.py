@@ -16,7 +16,7 @@ from linkwright.operators import evaluate as I
 from linkwright.operators import features as D
 from linkwright.operators import review as L
 from linkwright.operators import scoring as G
-from linkwright.operators.blocking import ClassicalBlocker, Settings, per_left_counts, ranked_quantiles, rule_report, totals
+from linkwright.operators.blocking import ClassicalBlocker, Settings, per_left_counts, ranked_quantiles, rule_report, totals, with_provenance
 from linkwright.plans import sql as Q
 from linkwright.sources import tables as A
 from linkwright.sources.tables import ID, LEFT, RIGHT
@@ -279,8 +279,8 @@ _CAND = (Q.CAT, Q.TOK, Q.GRAM, Q.VOCABULARY, Q.HARVEST, Q.BRAND_PAIRS, _ALL, "ca
 
 
 def _candidates(spark, sf):
-    """All rules over whole documents. The rescue rules find nobody stranded here; block_r4* exercise them."""
-    return ClassicalBlocker(DOCUMENTS).generate_candidates(*sides(catalogue(spark, sf)))
+    """The four first rules over whole documents; block_r4* have the rescue rules, over products."""
+    return with_provenance(ClassicalBlocker(DOCUMENTS).first_rules(*sides(catalogue(spark, sf))))
 
 
 @query(Q.with_(*_CAND) + "SELECT * FROM cand")
