@@ -13,11 +13,19 @@ def shared(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b))
 
 
+def once(value: Column, use) -> Column:
+    """use(value) with the value computed one time, however often use mentions it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def jaccard_of_sets(a: Column, b: Column) -> Column:
+    """word_jaccard of arrays that hold nothing twice."""
+    return once(shared(a, b), lambda n: n.cast("double") / F.nullif(F.size(a) + F.size(b) - n, F.lit(0)))
+
+
 def word_jaccard(a: Column, b: Column) -> Column:
     """Shared over all members in double precision; null if both are empty or one is null."""
-    common = shared(a, b)
-    union = F.size(F.array_distinct(a)) + F.size(F.array_distinct(b)) - common
-    return common.cast("double") / F.nullif(union, F.lit(0)).cast("double")
+    return jaccard_of_sets(F.array_distinct(a), F.array_distinct(b))
 
 
 def set_jaccard(a: Column, b: Column) -> Column:

@@ -56,16 +56,22 @@ def reciprocity_veto(decided: DataFrame, mutual: DataFrame) -> DataFrame:
 
 
 def tie_groups(values, width: float = TIE_BITS):
-    """Group number of each value of a descending array; a group ends below its first value by more than width."""
-    state = "struct<g:array<int>,i:int,l:double>"
-    start = F.struct(F.array().cast("array<int>").alias("g"), F.lit(-1).alias("i"), F.lit(None).cast("double").alias("l")).cast(state)
+    """Group number of each value of a descending array; a group ends below its first value by more than width.
+
+    The fold only notes where groups start: it copies a short array at each start, not a long one at each value.
+    """
+    state = "struct<starts:array<int>,n:int,l:double>"
+    start = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("n"), F.lit(None).cast("double").alias("l")).cast(state)
 
     def step(s, v):
         new = s["l"].isNull() | (s["l"] - v > width + 1e-9)
-        i = F.when(new, s["i"] + 1).otherwise(s["i"])
-        return F.struct(F.concat(s["g"], F.array(i)).alias("g"), i.alias("i"), F.when(new, v).otherwise(s["l"]).alias("l")).cast(state)
+        return F.struct(F.when(new, F.concat(s["starts"], F.array(s["n"]))).otherwise(s["starts"]).alias("starts"), (s["n"] + 1).alias("n"), F.when(new, v).otherwise(s["l"]).alias("l")).cast(state)
+
+    def numbered(s):
+        places = F.when(s["n"] > 0, F.sequence(F.lit(0), s["n"] - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.size(F.filter(s["starts"], lambda x: x <= i)) - 1)
 
-    return F.aggregate(values, start, step, lambda s: s["g"])
+    return F.aggregate(values, start, step, numbered)
 
 
 def grouped_candidates(scores: DataFrame, floor: float = FLOOR_BITS) -> DataFrame:

@@ -23,21 +23,29 @@ class Matcher(Protocol):
 
 
 def title_level(a: Column, b: Column) -> Column:
-    """4 same set, 3, 2, 1 by Jaccard, 0 else."""
-    j = S.word_jaccard(a, b)
-    level = F.when(a.isNull() | b.isNull(), MISSING).when(F.array_sort(F.array_distinct(a)) == F.array_sort(F.array_distinct(b)), 4)
-    for k, t in zip((3, 2, 1), TITLE, strict=True):
-        level = level.when(j >= t, k)
-    return level.otherwise(0)
+    """4 same set, 3, 2, 1 by Jaccard, 0 else; a and b hold nothing twice."""
+
+    def of(j: Column) -> Column:
+        level = F.when(j == 1, 4)
+        for k, t in zip((3, 2, 1), TITLE, strict=True):
+            level = level.when(j >= t, k)
+        return level.otherwise(0)
+
+    # Two empty sets have no Jaccard, but they are the same.
+    j = F.coalesce(S.jaccard_of_sets(a, b), F.lit(1.0))
+    return F.when(a.isNull() | b.isNull(), MISSING).otherwise(S.once(j, of))
 
 
 def overlap_level(a: Column, b: Column, sizes: tuple[int, ...]) -> Column:
     """len(sizes) for at least sizes[0] shared members, and so on down to 0."""
-    n = S.shared(a, b)
-    level = F.when(a.isNull() | b.isNull(), MISSING)
-    for k, size in enumerate(sizes):
-        level = level.when(n >= size, len(sizes) - k)
-    return level.otherwise(0)
+
+    def of(n: Column) -> Column:
+        level = F.when(n >= sizes[0], len(sizes))
+        for k, size in enumerate(sizes[1:], 1):
+            level = level.when(n >= size, len(sizes) - k)
+        return level.otherwise(0)
+
+    return F.when(a.isNull() | b.isNull(), MISSING).otherwise(S.once(S.shared(a, b), of))
 
 
 def price_level(a: Column, b: Column) -> Column:
