@@ -53,7 +53,8 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     taken in part. Ties of keys (repeated rows) fall by doc_id; equal rows may trade places. An empty table stays empty.
     """
     sized = docs.withColumn("__size", F.coalesce(F.regexp_count("text", F.lit(WORD)).cast("long"), F.lit(0).cast("long")))
-    chance = (F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")).bitwiseAND(2**52 - 1) + 0.5) / F.lit(float(2**52))
+    digits = F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("doc_id"), F.col("text")).cast("binary")), 1, 13)
+    chance = (F.conv(digits, 16, 10).cast("long") + 0.5) / F.lit(float(2**52))
     sized = sized.withColumn("__key", -F.log(chance) / quality())
     spread = sized.repartitionByRange(F.col("source"), F.col("__key")).sortWithinPartitions("source", "__key", "doc_id")
     light = spread.select("doc_id", "source", "__size", "__key", F.spark_partition_id().alias("__pid"), F.monotonically_increasing_id().alias("__nth"))
