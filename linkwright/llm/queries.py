@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import sql
 from .bpe import op9_bpe
 from .chat import op6_chat_format
 from .jaccard import op10_jaccard_join
@@ -22,4 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_embedding_join": sql.EMBEDDING_JOIN, "op3_suffix_dedup": sql.SUFFIX_DEDUP, "op5_mixing": sql.MIXING, "op7_top_k": sql.TOP_K, "op8_phrase_dedup": sql.PHRASE_DEDUP,
+        "op10_jaccard_join": sql.JACCARD_JOIN,
+    }
