@@ -13,6 +13,9 @@ Three steps resolve every window exactly:
 2. What is left are distinct contexts around a shared anchor. Those contexts alone are fetched from the texts.
 3. A resolver finds the repeated windows in the contexts of a group of anchors, and covered ranges go to their texts.
 
+An anchor with more than HEAVY distinct contexts (a stock phrase) would be a large batch. Its texts send the hashes of
+single windows instead, settled in each task and again after the shuffle: a window is one entry of each task.
+
 Arrays travel packed in binary values, keyed by group. The number of groups follows the size of the corpus.
 """
 
@@ -32,12 +35,14 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .common import RID, modest_batches, pack, parts_for, release, releasing, slices, unpack
 from .hashing import _powers, blocks, mix, prefix, span
 
-ANCHOR, COVERED, REQUEST, CONTEXT = 0, 1, 2, 3
+ANCHOR, COVERED, REQUEST, CONTEXT, WINDOW = 0, 1, 2, 3, 4
 _ROWS = "kind int, key long, blob binary, payload binary"
 _ENTRY = ("<u4", "<u8", "<i8", "<i4", "u1")
 _RANGE = ("<i8", "<i4", "<i4")
-_WANTED = ("<u4", "<i8", "<i4")
+_WANTED = ("<u4", "<i8", "<i4", "u1")
 BLOCK_BYTES, FLUSH, BATCH_BYTES = 1 << 18, 1 << 19, 1 << 19
+#: Contexts of an anchor that are resolved together at most.
+HEAVY = 1 << 14
 
 
 @dataclass(frozen=True)
@@ -126,7 +131,7 @@ def _covered(rid, start, end, parts: int) -> list[tuple]:
     return _rows(COVERED, np.mod(rid, parts), (rid, start, end), _RANGE)
 
 
-def repeats(docs: DataFrame, kind: Kind, finish: Callable[[bytes | None, list[tuple[int, int]]], tuple], schema: str, carry: list[str], part_bytes: int = 8 << 20) -> DataFrame:
+def repeats(docs: DataFrame, kind: Kind, finish: Callable[[bytes | None, list[tuple[int, int]]], tuple], schema: str, carry: list[str], part_bytes: int = 8 << 20, heavy: int = HEAVY) -> DataFrame:
     """The columns ``carry`` and those of finish(text, covered token ranges) of every row of docs (RID unique, text)."""
     size = modest_batches(docs).agg(F.sum(F.octet_length("text"))).first()[0]
     parts = parts_for(size, part_bytes)
@@ -149,16 +154,31 @@ def repeats(docs: DataFrame, kind: Kind, finish: Callable[[bytes | None, list[tu
         gone = (rid[over], (pos - left)[over], (pos + right)[over])
         return gone, tuple(x[~over] for x in (group, h, c, rid, pos, right))
 
+    def settle(held: list[tuple], row_kind: int) -> list[tuple]:
+        """Rows of the covered ranges and remaining entries of (hash, context, rid, pos, right) arrays."""
+        h, c, rid, pos, right = (np.concatenate(x) for x in zip(*held, strict=True))
+        group = ((h >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+        gone, (group, h, *rest) = combine(group, h & np.uint64(0xFFFFFFFF), c, rid, pos, right)
+        return _covered(*gone, parts) + _rows(row_kind, group, (h, *rest), _ENTRY)
+
+    def entries(blobs):
+        """Covered ranges and remaining entries of packed entries of one group."""
+        h, c, rid, pos, right = unpack(blobs, *_ENTRY)
+        return combine(np.zeros(len(h), np.int8), h, c, rid.astype(np.int64), pos.astype(np.int64), right.astype(np.int64))
+
+    def single_windows(r: int, text: bytes, places: np.ndarray) -> tuple:
+        """Entries of the windows of text around anchors at places."""
+        codes, offset, _, begin, _, low, high = kind.codes([(r, text)])
+        start = np.unique(places[:, None] - np.arange(window - gram + 1)[None, :])
+        piece = np.maximum(np.searchsorted(low - offset + begin, start, "right") - 1, 0)
+        inside = (start >= 0) & (start < (high - offset + begin)[piece])
+        start, at = start[inside], (start - begin[piece] + offset[piece])[inside]
+        hashes = span(prefix(codes), at, at + window)
+        return hashes, hashes, np.full(len(start), r), start + window - gram, np.full(len(start), gram)
+
     def collect(batches) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []
 
-        def flush() -> pd.DataFrame:
-            h, c, rid, pos, right = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
-            group = ((h >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
-            gone, (group, h, *rest) = combine(group, h & np.uint64(0xFFFFFFFF), c, rid, pos, right)
-            return _frame(_covered(*gone, parts) + _rows(ANCHOR, group, (h, *rest), _ENTRY))
-
         for t in batches:
             texts = ((int(r), (x or "").encode()) for r, x in zip(t.rid, t.text, strict=True))
             for block in blocks(texts, lambda x: len(x[1]), BLOCK_BYTES):
@@ -170,9 +190,10 @@ def repeats(docs: DataFrame, kind: Kind, finish: Callable[[bytes | None, list[tu
                 right = np.minimum(window, total[piece] - pos)
                 held.append((h, span(sums, at - left, at + right), rid[piece], pos, right))
                 if sum(len(x[0]) for x in held) >= FLUSH:
-                    yield flush()
+                    yield _frame(settle(held, ANCHOR))
+                    held.clear()
         if held:
-            yield flush()
+            yield _frame(settle(held, ANCHOR))
 
     def through(t: pd.DataFrame) -> list[tuple]:
         gone = t.blob[t.kind == COVERED]
@@ -181,8 +202,7 @@ def repeats(docs: DataFrame, kind: Kind, finish: Callable[[bytes | None, list[tu
     def decide(t: pd.DataFrame) -> pd.DataFrame:
         out, mine = through(t), t[t.kind == ANCHOR]
         for key, blobs in mine.groupby("key").blob:
-            h, c, rid, pos, right = unpack(blobs, *_ENTRY)
-            gone, (_, h, c, rid, pos, right) = combine(np.zeros(len(h), np.int8), h, c, rid.astype(np.int64), pos.astype(np.int64), right.astype(np.int64))
+            gone, (_, h, c, rid, pos, _) = entries(blobs)
             out += _covered(*gone, parts)
             new = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.empty(0, bool)
             run = np.cumsum(new) - 1
@@ -191,7 +211,8 @@ def repeats(docs: DataFrame, kind: Kind, finish: Callable[[bytes | None, list[tu
             several = np.zeros(new.sum(), bool)
             np.logical_or.at(several, run, distinct != firsts[run])
             ask = several[run] if len(h) else new
-            out += [(k, p, b + np.int64(key).tobytes(), None) for k, p, b, _ in _rows(REQUEST, np.mod(rid[ask], parts), (h[ask], rid[ask], pos[ask]), _WANTED)]
+            many = (np.bincount(run) > heavy)[run] if len(h) else new
+            out += [(k, p, b + np.int64(key).tobytes(), None) for k, p, b, _ in _rows(REQUEST, np.mod(rid[ask], parts), (h[ask], rid[ask], pos[ask], many[ask]), _WANTED)]
         return _frame(out)
 
     def fetch(d: pa.Table, found: pa.Table) -> pa.Table:
@@ -199,16 +220,25 @@ def repeats(docs: DataFrame, kind: Kind, finish: Callable[[bytes | None, list[tu
         out, asked = through(t), t.blob[t.kind == REQUEST]
         if not len(asked):
             return _table(out)
-        groups = np.concatenate([np.full((len(b) - 8) // 16, int(np.frombuffer(b[-8:], np.int64)[0])) for b in asked])
-        h, rid, pos = unpack([b[:-8] for b in asked], *_WANTED)
+        groups = np.concatenate([np.full((len(b) - 8) // 17, int(np.frombuffer(b[-8:], np.int64)[0])) for b in asked])
+        h, rid, pos, many = unpack([b[:-8] for b in asked], *_WANTED)
         text_of = dict(zip(d["rid"].to_pylist(), d["text"].to_pylist(), strict=True))
         lines: dict[int, list[tuple]] = {}
+        held: list[tuple] = []
         for r, at in slices(rid):
             text = (text_of[int(r)] or "").encode()
+            if many[at].any():
+                held.append(single_windows(int(r), text, pos[at[many[at] > 0]].astype(np.int64)))
+                if sum(len(x[0]) for x in held) >= FLUSH:
+                    out += settle(held, WINDOW)
+                    held.clear()
+                at = at[many[at] == 0]
             p = pos[at].astype(np.int64)
             low = p - np.minimum(window - gram, p)
             for g, x, lo, payload in zip(groups[at], h[at], low, kind.cut(text, low, p + window), strict=True):
                 lines.setdefault(int(g), []).append((int(r), int(lo), len(payload), int(x), payload))
+        if held:
+            out += settle(held, WINDOW)
         for g, found in lines.items():
             r, lo, n, x, payload = zip(*found, strict=True)
             fields = (np.array(r, "<i8"), np.array(lo, "<i4"), np.array(n, "<u4"), np.array(x, "<u4"))
@@ -218,6 +248,8 @@ def repeats(docs: DataFrame, kind: Kind, finish: Callable[[bytes | None, list[tu
 
     def resolve(t: pd.DataFrame) -> pd.DataFrame:
         out, mine = through(t), t[t.kind == CONTEXT]
+        for _, blobs in t[t.kind == WINDOW].groupby("key").blob:
+            out += _covered(*entries(blobs)[0], parts)
         for _, some in mine.groupby("key"):
             rid, low, n, h = unpack(some.blob, "<i8", "<i4", "<u4", "<u4")
             whole, end = b"".join(some.payload), np.cumsum(n.astype(np.int64))

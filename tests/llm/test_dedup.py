@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from linkwright.llm import jaccard, phrases, suffix_dedup
+from linkwright.llm.anchors import repeats
 from linkwright.llm.hashing import words_of
 
 from .fixtures import SCHEMA, documents, messy, write
@@ -97,6 +98,25 @@ def test_phrase_dedup_ignores_repeats_in_one_document(spark, tmp_path):
     assert got == {5: 0, 9: 120}
 
 
+@pytest.mark.parametrize("kind", [suffix_dedup.kind(), phrases.kind()])
+def test_contexts_of_heavy_anchors_are_settled_by_window(spark, kind):
+    """A stock phrase between different words, shorter and longer than a window, with every anchor heavy or none."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    short, long = " ".join(word() for _ in range(8)), " ".join(word() for _ in range(20))
+    texts = [" ".join(x for _ in range(1 + i % 9) for x in (*(word() for _ in range(12)), rng.choice([short, short, long]))) for i in range(60)]
+    texts += ["", None, texts[7], long, texts[3] + texts[4]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "__rid long, text string").repartition(3)
+    held = [x.encode() if x else b"" for x in texts]
+    masks = removed_bytes(held) if kind.within else [m for _, m in removed_words(list(enumerate(held)))]
+    expected = {i: [j for j, m in enumerate(mask) if m] for i, mask in enumerate(masks)}
+    finish = lambda text, runs: ([j for s, e in runs for j in range(s, e)],)
+    for heavy in (1, 20, 1 << 14):
+        got = repeats(docs, kind, finish, "gone array<long>", ["__rid"], heavy=heavy).collect()
+        assert {r["__rid"]: r["gone"] for r in got} == expected
+    assert sum(len(x) > 0 for x in expected.values()) > 10
+
+
 def linked(rows):
     sets = [set(s.tolist()) for s in jaccard.shingle_sets([r[1] for r in rows])]
     links = defaultdict(set)
