@@ -124,3 +124,26 @@ def error_classes(chosen: DataFrame, truth: DataFrame) -> DataFrame:
     marked = marked.join(truth.select(LEFT, F.lit(1).alias("has")).distinct(), LEFT, "left")
     kind = F.when(F.col("true") == 1, "right").when(F.col("has") == 1, "wrong_partner").otherwise("no_partner")
     return marked.groupBy(kind.alias("class")).agg(F.count("*").alias("n"))
+
+
+def one_to_one_variants(scores: DataFrame, accepted: DataFrame, truth: DataFrame) -> DataFrame:
+    """Rates of accepted pairs (left, right) with no constraint, with a best match both ways (ties allowed), and with the only best one."""
+    tops = scores.groupBy(RIGHT).agg(F.max("bits").alias("top"))
+    at_top = scores.join(tops, RIGHT).filter(F.col("bits") == F.col("top")).select(LEFT, RIGHT, F.lit(1).alias("best"))
+    alone = at_top.groupBy(RIGHT).agg(F.count("*").alias("n_top"))
+    marked = accepted.select(LEFT, RIGHT).join(at_top, [LEFT, RIGHT], "left").join(alone, RIGHT, "left")
+    marked = marked.join(truth.select(LEFT, RIGHT, F.lit(1).alias("true")).distinct(), [LEFT, RIGHT], "left")
+    is_best, is_true = F.col("best").isNotNull(), F.col("true").isNotNull()
+    kept = {"unconstrained": F.lit(True), "symmetric": is_best, "unique": is_best & (F.col("n_top") == 1)}
+    cases = marked.select(is_true.alias("hit"), F.explode(F.array(*[F.struct(F.lit(k).alias("variant"), v.alias("kept")) for k, v in kept.items()])).alias("x"))
+    counts = cases.groupBy("x.variant").agg(F.count_if(F.col("x.kept") & F.col("hit")).alias("tp"), F.count_if(F.col("x.kept")).alias("np"))
+    actual = truth.select(LEFT, RIGHT).distinct().agg(F.count("*").alias("actual"))
+    return counts.crossJoin(actual).select("variant", "tp", "np", *rates(F.col("tp"), F.col("np"), F.col("actual")))
+
+
+def threshold_churn(decided: DataFrame, accept: float, margin: float, moves: tuple[float, ...] = (-0.5, 0.5)) -> DataFrame:
+    """How many records become accepted, or are no longer, when the accept threshold moves by so many bits."""
+    holds = lambda t: (F.col("best_bits") >= t) & (F.col("margin_bits") > margin)
+    cases = F.array(*[F.struct(F.lit(x).alias("move"), holds(accept).alias("before"), holds(accept + x).alias("after")) for x in moves])
+    rows = decided.select(F.explode(cases).alias("x"))
+    return rows.groupBy("x.move").agg(F.count_if(~F.col("x.before") & F.col("x.after")).alias("gained"), F.count_if(F.col("x.before") & ~F.col("x.after")).alias("lost"))

@@ -765,3 +765,39 @@ def self_consistency(spark, sf):
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def json_fields(spark, sf):
     return table(spark, sf, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+
+
+# Texts for embedding, unit vectors, level shares, and what accepting depends on
+
+
+@query(Q.with_(Q.PROD) + "SELECT unique_id, concat_ws(' | ', 'title: ' || title, 'category: ' || category, 'brand: ' || brand, 'price: ' || price) AS labelled FROM prod")
+def labelled_text(spark, sf):
+    return products(spark, sf).select(ID, X.labelled_text(["title", "category", "brand", "price"]).alias("labelled"))
+
+
+@query("SELECT vec_id, round(list_aggregate(list_transform(u, lambda x: abs(x)), 'sum'), 6) AS l1, round(list_aggregate(list_transform(u, lambda x: x * x), 'sum'), 6) AS l2 FROM (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS u FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings))")
+def unit_vectors(spark, sf):
+    """Sums of absolute values and of squares of the scaled vectors."""
+    unit = S.l2_normalise(F.col("embedding").cast("array<double>"))
+    total = lambda use: F.round(F.aggregate(F.col("u"), F.lit(0.0), lambda s, x: s + use(x)), 6)
+    return table(spark, sf, "embeddings").select("vec_id", unit.alias("u")).select("vec_id", total(F.abs).alias("l1"), total(lambda x: x * x).alias("l2"))
+
+
+@query(Q.with_(*Q.SCORING) + "SELECT comparison, level, n, round(CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY comparison), 9) AS share FROM (SELECT comparison, level, count(*) AS n FROM (SELECT unnest(['title', 'category', 'price']) AS comparison, unnest([gt, gc, gp]) AS level FROM lev) GROUP BY comparison, level)")
+def level_distribution(spark, sf):
+    return G.level_shares(_levels(spark, sf), ["gamma_title", "gamma_category", "gamma_price"])
+
+
+@query(Q.with_(*Q.SCORING, Q.OUTCOMES, Q.TRUTH) + f"""SELECT variant, tp, np, {Q.rates('tp', 'np', '(SELECT count(*) FROM (SELECT DISTINCT * FROM tru))')} FROM (
+ SELECT variant, count(*) FILTER (kept AND hit) AS tp, count(*) FILTER (kept) AS np FROM (SELECT unnest(['unconstrained', 'symmetric', 'unique']) AS variant, unnest([TRUE, is_best, is_best AND n_top = 1]) AS kept, hit FROM (
+ SELECT o.best_bits = t.top AS is_best, t.n_top, EXISTS (SELECT 1 FROM tru WHERE tru.unique_id_l = o.unique_id_l AND tru.unique_id_r = o.best_candidate) AS hit FROM outc o
+ JOIN (SELECT unique_id_r, max(bits) AS top, count(*) FILTER (bits = m) AS n_top FROM (SELECT *, max(bits) OVER (PARTITION BY unique_id_r) AS m FROM sc) GROUP BY unique_id_r) t ON t.unique_id_r = o.best_candidate WHERE o.outcome = 'accept')) GROUP BY variant)""")
+def one_to_one_variants(spark, sf):
+    scores = _scored(spark, sf)
+    return I.one_to_one_variants(scores, H.accepted(H.outcomes(scores)), _truth(spark, sf))
+
+
+@query(Q.with_(*Q.SCORING, Q.OUTCOMES) + """SELECT move, count(*) FILTER (NOT before AND after) AS gained, count(*) FILTER (before AND NOT after) AS lost FROM (
+ SELECT move, best_bits >= 6 AND margin_bits > 1 AS before, best_bits >= 6 + move AND margin_bits > 1 AS after FROM outc, (SELECT CAST(unnest([-0.5, 0.5]) AS DOUBLE) AS move)) GROUP BY move""")
+def threshold_churn(spark, sf):
+    return I.threshold_churn(H.outcomes(_scored(spark, sf)), H.ACCEPT_BITS, H.MARGIN_BITS)

@@ -322,3 +322,14 @@ def test_samples_and_sessions(spark):
 def test_ledger_stops_before_the_limit(spark):
     calls = spark.createDataFrame([("r", i, 2.0) for i in range(5)], "run string, seq int, cost double")
     assert [r["made"] for r in L.ledger(calls, ["run"], "seq", "cost", 6.0, 2.0).orderBy("seq").collect()] == [True, True, True, False, False]
+
+
+def test_one_to_one_variants_and_threshold_churn(spark):
+    """B_0 is a tie of A_0 and A_1, B_1 is A_2's alone, B_2 prefers A_3 to A_4."""
+    scores = spark.createDataFrame([("A_0", "B_0", 9.0), ("A_1", "B_0", 9.0), ("A_2", "B_1", 8.0), ("A_3", "B_2", 7.0), ("A_4", "B_2", 6.25)], "unique_id_l string, unique_id_r string, bits double")
+    truth = spark.createDataFrame([("A_0", "B_0"), ("A_2", "B_1"), ("A_4", "B_2")], "unique_id_l string, unique_id_r string")
+    got = {r["variant"]: (r["tp"], r["np"]) for r in I.one_to_one_variants(scores, scores, truth).collect()}
+    assert got == {"unconstrained": (3, 5), "symmetric": (2, 4), "unique": (1, 2)}
+    moved = {r["move"]: (r["gained"], r["lost"]) for r in I.threshold_churn(H.outcomes(scores), 6.5, 1.0).collect()}
+    assert moved == {-0.5: (1, 0), 0.5: (0, 0)}
+    assert I.threshold_churn(H.outcomes(scores.limit(0)), 6.0, 1.0).count() == 0
