@@ -1,8 +1,6 @@
-"""Scoring texts with a language model of subwords and words.
+"""Scoring texts with a language model of subwords.
 
-The model is a mixture for each word, given the words before it: P(word) = (1 - b) (c + 1) / (N + V + 1) + b P_attention(word)
-for words that training documents hold, b P_attention(word) for others. b is the chance of a new word by Good and Turing's
-estimate, the share of training tokens that occur once. Counts run over all training documents. The second part is a causal self-attention model over the subwords of
+A score is the model's own log10 probability of a text; counts of words give base_score only. The model is a causal self-attention model over the subwords of
 a public byte-level vocabulary; each subword carries whether it ends its word, so that subword sequences are a
 prefix-free code of words. The network predicts a class of subwords (each of the most frequent ones is a class);
 within a class, subwords follow their counts over all training documents. Its training windows come from every training
@@ -27,8 +25,7 @@ from .common import RID, checkpoint, modest_batches, pack, parts_for, release, s
 from .hashing import LOWER_BYTE, joined, words_of
 from .language_id import held_out
 
-#: Least and greatest weight of the attention model.
-LEAST, MOST, SEED = 0.02, 0.5, 5
+SEED = 5
 #: Subwords with a class of their own; the ranks at which the classes of the others begin.
 HEAD = net.CLASSES - 4
 TIERS = (HEAD, 4 * HEAD, 16 * HEAD, 64 * HEAD)
@@ -171,13 +168,12 @@ def score(docs: DataFrame, path: str = VOCABULARY, part_bytes: int = 8 << 20) ->
         owner = np.repeat(t.key.to_numpy(), [len(b) // 16 for b in t.blob])
         distinct, number = np.unique(h, return_inverse=True)
         sums = np.bincount(number, c, len(distinct)).astype(np.int64)
-        rows = [(k, pack(h[x], sums[number[x]]), 0, 0, 0) for k, x in slices(owner)]
-        return pd.DataFrame([*rows, (-1, None, int((sums > 0).sum()), int(sums.sum()), int((sums == 1).sum()))], columns=["key", "blob", "v", "n", "once"])
+        rows = [(k, pack(h[x], sums[number[x]]), 0, 0) for k, x in slices(owner)]
+        return pd.DataFrame([*rows, (-1, None, int((sums > 0).sum()), int(sums.sum()))], columns=["key", "blob", "v", "n"])
 
-    totals = checkpoint(parts.select("key", "hashes", "counts").mapInPandas(words, "bucket long, key long, blob binary").groupBy("bucket").applyInPandas(total, "key long, blob binary, v long, n long, once long"))
-    distinct, tokens, once = (int(x or 0) for x in totals.filter("key = -1").agg(F.sum("v"), F.sum("n"), F.sum("once")).first())
+    totals = checkpoint(parts.select("key", "hashes", "counts").mapInPandas(words, "bucket long, key long, blob binary").groupBy("bucket").applyInPandas(total, "key long, blob binary, v long, n long"))
+    distinct, tokens = (int(x or 0) for x in totals.filter("key = -1").agg(F.sum("v"), F.sum("n")).first())
     distinct, tokens = distinct + (taught > 0), tokens + taught
-    blend = min(MOST, max(LEAST, once / max(1, tokens)))
 
     def subword_counts(batches):
         sums = np.zeros(vocabulary, np.int64)
@@ -233,14 +229,11 @@ def score(docs: DataFrame, path: str = VOCABULARY, part_bytes: int = 8 << 20) ->
         order = np.argsort(h)
         count = np.concatenate([[taught], c[order[np.searchsorted(h[order], part.hashes)]] if len(part.hashes) else []])
         base = np.log10((count + 1) / (tokens + distinct + 1))
-        share = np.where(count > 0, (1 - blend) * (count + 1) / (tokens + distinct + 1), 0.0)
         out = []
         for lo, hi in part.spans():
             ids, first, word_first = part.tokens(lo, hi)
-            logs = score_stream(ids, first, model, params.value)
-            word = np.exp(np.add.reduceat(logs, word_first[:-1]))
+            score = np.add.reduceat(score_stream(ids, first, model, params.value), word_first[:-1]) / np.log(10)
             numbers = part.stream[part.begin[lo] : part.begin[hi]]
-            score = np.log10(np.maximum(share[numbers] + blend * word, 1e-300))
             at = part.begin[lo:hi] - part.begin[lo]
             out.append((part.rid[lo:hi], part.sizes[lo:hi] + 1, np.add.reduceat((count[numbers] > 0).astype(np.int64), at), np.add.reduceat(base[numbers], at), np.add.reduceat(score, at)))
         return pd.DataFrame(dict(zip(("rid", "n_tokens", "n_known", "base", "score"), (np.concatenate(x) for x in zip(*out, strict=True)), strict=True)))

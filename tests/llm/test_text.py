@@ -132,6 +132,19 @@ def test_lm_query(spark, tmp_path):
     assert lm.op4_lm_score(spark, write(spark, tmp_path, [])).count() == 0
 
 
+def test_lm_score_is_that_of_the_attention_model(spark):
+    """Without training rows: the untrained network's own probability of each text, with no weight of word counts."""
+    texts = ["one two three two", "", "a b c " * 40]
+    docs = spark.createDataFrame([(i, t, False) for i, t in enumerate(texts)], "__rid long, text string, train boolean")
+    got = {r["rid"]: r["score"] for r in lm.score(docs).collect()}
+    model = lm.Subwords(np.zeros(2 * lm.encoding(lm.VOCABULARY).n_vocab + 2, np.int64))
+    params = attention.initial(lm.SEED, model.bias)
+    for i, t in enumerate(texts):
+        ids = np.append(lm.subwords_of([w.encode() for w in t.split()], lm.VOCABULARY)[0], 2 * lm.encoding(lm.VOCABULARY).n_vocab + 1)
+        expected = lm.score_stream(ids, np.array([0, len(ids)]), model, params).sum() / math.log(10)
+        assert math.isclose(got[i], expected, rel_tol=1e-5)
+
+
 def test_attention_gradients_and_windows():
     rng = np.random.default_rng(0)
     params = {k: v.astype(np.float64) for k, v in attention.initial(1, np.zeros(attention.CLASSES)).items()}
