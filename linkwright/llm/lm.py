@@ -3,8 +3,8 @@
 A score is the model's own log10 probability of a text; counts of words give base_score only. The model is a causal self-attention model over the subwords of
 a public byte-level vocabulary; each subword carries whether it ends its word, so that subword sequences are a
 prefix-free code of words. The network predicts a class of subwords (each of the most frequent ones is a class);
-within a class, subwords follow their counts over all training documents. Its training windows come from every training
-document, in proportion to its length; tasks train on their shares from common parameters, which are then averaged.
+within a class, subwords follow their counts over all training documents. It trains on every window of every training
+document, in rounds: tasks train on their parts' windows of a round from common parameters, which are then averaged for the next.
 
 Documents are dealt into parts. A part is tokenised once: its distinct words, and its texts as numbers of those.
 """
@@ -29,8 +29,8 @@ SEED = 5
 #: Subwords with a class of their own; the ranks at which the classes of the others begin.
 HEAD = net.CLASSES - 4
 TIERS = (HEAD, 4 * HEAD, 16 * HEAD, 64 * HEAD)
-#: One training window in so many (at least one of each document); windows that one task trains on, about.
-EVERY, SHARE = 12, 40_000
+#: Rounds of training; each window is in one. Windows of a round that one task trains on at least, about; windows cut out at a time.
+ROUNDS, SHARE, CUT = 4, 20_000, 1 << 14
 _PART = "key long, docs binary, words binary, hashes binary, counts binary, widths binary, subwords binary"
 
 
@@ -129,6 +129,18 @@ class Subwords:
         self.inputs = np.where(rank < half, rank, half + rank % (net.BEGIN - half)).astype(np.int32)
 
 
+def lessons(part: Part, model: Subwords, turn: int) -> np.ndarray:
+    """Inputs and classes (-1 behind a text) of the training windows of one of ROUNDS; spans of documents take turns."""
+    out = [np.empty((0, net.LENGTH + net.STRIDE), np.int16)]
+    for lo, hi in list(part.spans())[turn::ROUNDS]:
+        ids, first, _ = part.tokens(lo, hi)
+        taught = np.flatnonzero(np.repeat(part.train[lo:hi] > 0, -(-np.diff(first) // net.STRIDE)))
+        for at in range(0, len(taught), CUT):
+            x, y, real, _ = net.windows(model.inputs[ids], model.cls[ids], first, taught[at : at + CUT])
+            out.append(np.concatenate([x, np.where(real, y, -1)], axis=1).astype(np.int16))
+    return np.concatenate(out)
+
+
 def _sum_blobs(rows: DataFrame, groups: int, kind) -> list[np.ndarray]:
     """Sums of packed vectors (group long, blob) for groups below ``groups``: what reaches the driver is bounded."""
 
@@ -138,6 +150,12 @@ def _sum_blobs(rows: DataFrame, groups: int, kind) -> list[np.ndarray]:
     return [np.frombuffer(r["blob"], kind) for r in rows.groupBy(F.col("group") % groups).applyInPandas(add, "blob binary").collect()]
 
 
+def _batches(rows: np.ndarray, size: int = 128):
+    for lo in range(0, len(rows), size):
+        x, y = rows[lo : lo + size, : net.LENGTH].astype(np.int64), rows[lo : lo + size, net.LENGTH :].astype(np.int64)
+        yield x, np.maximum(y, 0), (y >= 0).astype(np.float32)
+
+
 def score(docs: DataFrame, path: str = VOCABULARY, part_bytes: int = 8 << 20) -> DataFrame:
     """(rid, n_tokens, n_known, train_tokens, base_score, score) of each row of docs (RID unique, text, train).
 
@@ -187,39 +205,29 @@ def score(docs: DataFrame, path: str = VOCABULARY, part_bytes: int = 8 << 20) ->
     counted = sum(_sum_blobs(parts.select("widths", "subwords", "counts").mapInPandas(subword_counts, "group long, blob binary"), 8, np.int64), np.zeros(vocabulary, np.int64))
     counted[vocabulary - 1] += taught
     subwords = spark.sparkContext.broadcast(Subwords(counted))
-    trainers = max(1, round((tokens + taught) * 2.5 / net.STRIDE / EVERY / SHARE))
 
-    def lessons(batches):
-        for t in batches:
-            for row in t.itertuples():
-                part, out = Part(row), []
-                for lo, hi in part.spans():
-                    ids, first, _ = part.tokens(lo, hi)
-                    per_text = -(-np.diff(first) // net.STRIDE)
-                    of = np.repeat(np.arange(hi - lo), per_text)
-                    nth = np.arange(len(of)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
-                    picks = np.flatnonzero((nth % EVERY == part.rid[lo:hi][of] % np.minimum(EVERY, per_text)[of]) & (part.train[lo:hi][of] > 0))
-                    x, y, real, _ = net.windows(subwords.value.inputs[ids], subwords.value.cls[ids], first, picks)
-                    out.append(np.concatenate([x, np.where(real, y, -1)], axis=1).astype(np.int16))
-                got = np.concatenate(out)
-                yield pd.DataFrame([(k, pack(got[x])) for k, x in slices((np.arange(len(got)) + row.key) % trainers)], columns=["trainer", "blob"])
-
-    def teach(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
-        rows = np.concatenate([np.frombuffer(b, np.int16) for b in t.blob]).reshape(-1, net.LENGTH + net.STRIDE)
-        rows = rows[np.random.default_rng(SEED).permutation(len(rows))]
-        params = net.initial(SEED, subwords.value.bias)
-
-        def batches():
-            for lo in range(0, len(rows), 128):
-                x, y = rows[lo : lo + 128, : net.LENGTH].astype(np.int64), rows[lo : lo + 128, net.LENGTH :].astype(np.int64)
-                yield x, np.maximum(y, 0), (y >= 0).astype(np.float32)
-
-        n = net.train(params, batches())
-        return pd.DataFrame({"group": [int(key[0])], "blob": [pack(np.concatenate([[n], n * net.flat(params).astype(np.float64)]))]})
-
-    taught_parts = parts.mapInPandas(lessons, "trainer long, blob binary").groupBy("trainer").applyInPandas(teach, "group long, blob binary")
-    sums = sum(_sum_blobs(taught_parts, 16, np.float64), np.zeros(1))
-    params = spark.sparkContext.broadcast(net.shaped(sums[1:] / sums[0]) if len(sums) > 1 and sums[0] else net.initial(SEED, subwords.value.bias))
+    trainers = max(1, round((tokens + taught) * 2.5 / net.STRIDE / ROUNDS / SHARE))
+    lines = parts.select("docs", "words", "hashes", "widths", "subwords").coalesce(trainers)
+
+    def round_of(turn: int, start):
+        def steps(batches):
+            for t in batches:
+                for row in t.itertuples():
+                    rows = lessons(Part(row), subwords.value, turn)
+                    yield from _batches(rows[np.random.default_rng(SEED + turn).permutation(len(rows))])
+
+        def teach(batches):
+            own = {k: v.copy() for k, v in start.value.items()}
+            if n := net.train(own, steps(batches)):
+                yield pd.DataFrame({"group": [n], "blob": [pack(np.concatenate([[n], n * net.flat(own).astype(np.float64)]))]})
+
+        return sum(_sum_blobs(lines.mapInPandas(teach, "group long, blob binary"), 16, np.float64), np.zeros(1))
+
+    learnt = net.initial(SEED, subwords.value.bias)
+    for turn in range(ROUNDS if taught else 0):
+        sums = round_of(turn, spark.sparkContext.broadcast(learnt))
+        learnt = net.shaped(sums[1:] / sums[0]) if sums[0] else learnt
+    params = spark.sparkContext.broadcast(learnt)
 
     def judge(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a):

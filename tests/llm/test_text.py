@@ -2,7 +2,7 @@ import hashlib
 import math
 import re
 import zlib
-from collections import Counter
+from collections import Counter, namedtuple
 
 import numpy as np
 import pytest
@@ -145,6 +145,25 @@ def test_lm_score_is_that_of_the_attention_model(spark):
         assert math.isclose(got[i], expected, rel_tol=1e-5)
 
 
+def test_lm_trains_on_every_window():
+    """Each subword of each training document is a goal once over all rounds; others never are."""
+    texts = [b"alpha beta gamma " * 900, b"", b"delta " * 30, b"not taught " * 50, b"epsilon zeta " * 40_000, b"eta " * 70_000, b"theta " * 5]
+    train = np.array([i != 3 for i in range(len(texts))])
+    prepared = lm.prepare(0, np.arange(len(texts)), train, [t.decode().encode() for t in texts], lm.VOCABULARY)
+    part = lm.Part(namedtuple("Row", [c.split()[0] for c in lm._PART.split(", ")])(*prepared))
+    model = lm.Subwords(np.arange(2 * lm.encoding(lm.VOCABULARY).n_vocab + 2))
+    goals, turns = Counter(), 0
+    for turn in range(lm.ROUNDS):
+        rows = lm.lessons(part, model, turn)
+        turns += len(rows) > 0
+        y = rows[:, attention.LENGTH :]
+        goals.update(y[y >= 0].tolist())
+    expected = Counter()
+    for i in np.flatnonzero(train):
+        expected.update(model.cls[part.tokens(i, i + 1)[0]].tolist())
+    assert goals == expected and turns > 1
+
+
 def test_attention_gradients_and_windows():
     rng = np.random.default_rng(0)
     params = {k: v.astype(np.float64) for k, v in attention.initial(1, np.zeros(attention.CLASSES)).items()}
