@@ -8,7 +8,7 @@ windows around it.
 Three steps resolve every window exactly:
 
 1. Anchors are grouped by hash. Where the whole context repeats, all its windows repeat: every occurrence but the first
-   is covered, with no text sent. Tasks do this with their own anchors before the shuffle and again after it, so that
+   is covered, with no text sent. Two anchors of a short text can have the whole text as context: that is one occurrence. Tasks do this with their own anchors before the shuffle and again after it, so that
    a passage in a third of all rows is a few entries of each task.
 2. What is left are distinct contexts around a shared anchor. Those contexts alone are fetched from the texts.
 3. A resolver finds the repeated windows in the contexts of a group of anchors, and covered ranges go to their texts.
@@ -149,10 +149,11 @@ def repeats(docs: DataFrame, kind: Kind, finish: Callable[[bytes | None, list[tu
         group, h, c, rid, pos, right = (x[~again] for x in (group, h, c, rid, pos, right))
         first = np.concatenate([[True], ~((h[1:] == h[:-1]) & (c[1:] == c[:-1]) & (group[1:] == group[:-1]))]) if len(h) else np.empty(0, bool)
         leader = np.flatnonzero(first)[np.cumsum(first) - 1] if len(h) else np.empty(0, np.int64)
-        over = ~first if kind.within else rid != rid[leader]
-        left = np.minimum(window - gram, pos)
-        gone = (rid[over], (pos - left)[over], (pos + right)[over])
-        return gone, tuple(x[~over] for x in (group, h, c, rid, pos, right))
+        start = pos - np.minimum(window - gram, pos)
+        twin = ~first & (rid == rid[leader]) & (start == start[leader])  # the leader's own place, around another anchor
+        over = ~first & ~twin if kind.within else rid != rid[leader]
+        gone, stay = (rid[over], start[over], (pos + right)[over]), ~over & ~twin if kind.within else ~over
+        return gone, tuple(x[stay] for x in (group, h, c, rid, pos, right))
 
     def settle(held: list[tuple], row_kind: int) -> list[tuple]:
         """Rows of the covered ranges and remaining entries of (hash, context, rid, pos, right) arrays."""

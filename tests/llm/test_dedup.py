@@ -58,6 +58,18 @@ def test_suffix_dedup_random_bytes(spark, tmp_path):
         assert got[r[0]]["n_removed"] == sum(mask)
 
 
+PERIODIC = ["a" * 120, "buy now, click here! " * 6, ("abcdefghijklmnopqrstuvwxy" * 5)[:112], "a" * 100, "a" * 101, "xy" * 84, "0123456789abcdefghijklmnopqrstuv" * 4, "z" * 168, "z" * 169]
+
+
+@pytest.mark.parametrize("texts", [[t] for t in PERIODIC] + [PERIODIC, PERIODIC + PERIODIC[::-1]])
+def test_suffix_dedup_of_short_periodic_texts(spark, texts):
+    """Both anchors of a text can have the whole text as their context: that is one place, not a repeat."""
+    docs = spark.createDataFrame(list(enumerate(texts)), "__rid long, text string").repartition(3)
+    finish = lambda text, runs: ([j for s, e in runs for j in range(s, e)],)
+    got = {r["__rid"]: r["gone"] for r in repeats(docs, suffix_dedup.kind(), finish, "gone array<long>", ["__rid"]).collect()}
+    assert got == {i: [j for j, m in enumerate(mask) if m] for i, mask in enumerate(removed_bytes([t.encode() for t in texts]))}
+
+
 def test_long_texts_are_cut_into_segments(monkeypatch, spark, tmp_path):
     monkeypatch.setattr(suffix_dedup, "SEGMENT", 300)
     rng = np.random.default_rng(5)
