@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -333,3 +334,15 @@ def test_one_to_one_variants_and_threshold_churn(spark):
     moved = {r["move"]: (r["gained"], r["lost"]) for r in I.threshold_churn(H.outcomes(scores), 6.5, 1.0).collect()}
     assert moved == {-0.5: (1, 0), 0.5: (0, 0)}
     assert I.threshold_churn(H.outcomes(scores.limit(0)), 6.0, 1.0).count() == 0
+
+
+def test_em_params_reads_the_texts(spark, data):
+    """u of titles is the share of all pairs by the words of their texts (smoothed), not by their languages."""
+    from linkwright.plans.queries import em_params
+    from linkwright.sources.views import catalogue
+
+    rows = [(r["side"], frozenset(re.findall("[a-z0-9]+", (r["title"] or "").lower()))) for r in catalogue(spark, data).select("side", "title").collect()]
+    pairs = [len(x & y) / len(x | y) for a, x in rows if a == "A" for b, y in rows if b == "B" and x and y]
+    got = {r["level"]: r["u"] for r in em_params(spark, data).collect() if r["comparison"] == "title_tokens"}
+    spark.catalog.clearCache()
+    assert abs(got[0] - sum(j < 0.2 for j in pairs) / len(pairs)) < 0.005 and abs(got[4] - sum(j == 1 for j in pairs) / len(pairs)) < 0.005
