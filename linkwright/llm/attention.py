@@ -1,107 +1,140 @@
-"""A small causal self-attention model in numpy: forward, backward, training and parameter averaging."""
+"""A causal self-attention model in numpy: forward, backward, training and parameter averaging.
+
+The model predicts the class of the next token. Its logits are a prior (how often each class follows the token before,
+from counts) plus what one attention layer reads from the window: e = embedding + place, o = attention of e over all
+places up to its own, h = e + o, logits = prior + h W + b. Arrays that a batch needs are kept between batches.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 
 #: Tokens that a window scores, tokens before them that it also sees, and sizes of the model.
-STRIDE, CONTEXT, WIDTH, CLASSES, INPUTS = 24, 8, 16, 128, 2048
+STRIDE, CONTEXT, WIDTH, CLASSES, INPUTS = 32, 16, 16, 128, 2048
 LENGTH = STRIDE + CONTEXT
 BEGIN, PAD = INPUTS - 2, INPUTS - 1
-SHAPES = {"embed": (INPUTS, WIDTH), "place": (LENGTH, WIDTH), "query": (WIDTH, WIDTH), "key": (WIDTH, WIDTH), "value": (WIDTH, WIDTH), "mix": (WIDTH, WIDTH), "out": (WIDTH, CLASSES), "bias": (CLASSES,)}
+SHAPES = {"embed": (INPUTS, WIDTH), "place": (LENGTH, WIDTH), "qkv": (WIDTH, 3 * WIDTH), "mix": (WIDTH, WIDTH), "out": (WIDTH, CLASSES), "bias": (CLASSES,)}
+SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
+#: Windows of a batch: its largest array stays in the cache.
+BATCH = 32
 _FUTURE = np.where(np.arange(LENGTH)[None, :] > np.arange(CONTEXT, LENGTH)[:, None], np.float32(-1e9), np.float32(0))
 
 
-def initial(seed: int, bias: np.ndarray) -> dict[str, np.ndarray]:
+def initial(seed: int) -> np.ndarray:
+    """All parameters as one vector; the output layer starts at zero, so that the prior alone predicts."""
     rng = np.random.default_rng(seed)
-    params = {k: (rng.standard_normal(s) * 0.1).astype(np.float32) for k, s in SHAPES.items()}
-    params["bias"] = bias.astype(np.float32)
-    return params
-
-
-def flat(params: dict[str, np.ndarray]) -> np.ndarray:
-    return np.concatenate([params[k].ravel() for k in SHAPES])
+    flat = np.zeros(SIZE, np.float32)
+    for name, part in views(flat).items():
+        if name not in ("out", "bias"):
+            part[...] = rng.standard_normal(part.shape) * (0.3 if name == "embed" else 0.1 if name == "place" else WIDTH**-0.5)
+    return flat
 
 
-def shaped(vector: np.ndarray) -> dict[str, np.ndarray]:
+def views(flat: np.ndarray) -> dict[str, np.ndarray]:
     out, at = {}, 0
-    for k, s in SHAPES.items():
-        n = int(np.prod(s))
-        out[k] = vector[at : at + n].reshape(s).astype(np.float32)
+    for name, shape in SHAPES.items():
+        n = int(np.prod(shape))
+        out[name] = flat[at : at + n].reshape(shape)
         at += n
     return out
 
 
-def _attend(p: dict[str, np.ndarray], x: np.ndarray):
-    e = p["embed"][x] + p["place"]
-    q, k, v = e[:, CONTEXT:] @ p["query"], e @ p["key"], e @ p["value"]
-    s = q @ k.transpose(0, 2, 1)
-    s *= np.float32(WIDTH**-0.5)
-    s += _FUTURE
-    if (x[:, :CONTEXT] == PAD).any():
-        s += np.where(x == PAD, np.float32(-1e9), np.float32(0))[:, None, :]
-    s -= s.max(axis=2, keepdims=True)
-    np.exp(s, out=s)
-    s /= s.sum(axis=2, keepdims=True)
-    o = s @ v
-    return e, q, k, v, s, o, e[:, CONTEXT:] + o @ p["mix"]
-
-
-def log_probabilities(p: dict[str, np.ndarray], x: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Natural log probability of the class target[i, j] at scored place j of window i; x holds a window's inputs."""
-    h = _attend(p, x)[-1].reshape(-1, WIDTH)
-    logits = h @ p["out"]
-    logits += p["bias"]
-    chosen = logits[np.arange(len(logits)), target.ravel()]
-    if (top := float(logits.max(initial=0.0))) > 60:
-        logits -= np.float32(top)
-        chosen = chosen - np.float32(top)
-    np.exp(logits, out=logits)
-    return (chosen - np.log(np.maximum(logits.sum(axis=1), np.float32(1e-30)))).reshape(target.shape)
-
-
-def gradients(p: dict[str, np.ndarray], x: np.ndarray, target: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
-    """Of the weighted mean cross entropy."""
-    e, q, k, v, a, o, h = _attend(p, x)
-    n = len(x)
-    logits = h.reshape(-1, WIDTH) @ p["out"] + p["bias"]
-    logits -= logits.max(axis=1, keepdims=True)
-    np.exp(logits, out=logits)
-    logits /= logits.sum(axis=1, keepdims=True)
-    logits[np.arange(len(logits)), target.ravel()] -= 1
-    logits *= (weight.ravel() / max(1.0, float(weight.sum())))[:, None]
-    g = {"out": h.reshape(-1, WIDTH).T @ logits, "bias": logits.sum(axis=0)}
-    dh = (logits @ p["out"].T).reshape(n, STRIDE, WIDTH)
-    g["mix"] = o.reshape(-1, WIDTH).T @ dh.reshape(-1, WIDTH)
-    do = dh @ p["mix"].T
-    da = do @ v.transpose(0, 2, 1)
-    dv = a.transpose(0, 2, 1) @ do
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True)) * np.float32(WIDTH**-0.5)
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    late = e[:, CONTEXT:].reshape(-1, WIDTH)
-    g["query"] = late.T @ dq.reshape(-1, WIDTH)
-    g["key"] = e.reshape(-1, WIDTH).T @ dk.reshape(-1, WIDTH)
-    g["value"] = e.reshape(-1, WIDTH).T @ dv.reshape(-1, WIDTH)
-    de = dk @ p["key"].T + dv @ p["value"].T
-    de[:, CONTEXT:] += dh + dq @ p["query"].T
-    g["place"] = de.sum(axis=0)
-    g["embed"] = np.zeros_like(p["embed"])
-    np.add.at(g["embed"], x.ravel(), de.reshape(-1, WIDTH))
-    return g
-
-
-def train(p: dict[str, np.ndarray], batches, rate: float = 0.01) -> int:
-    """Adam over (x, target, weight) batches, once each, in place; returns the number of windows."""
-    first = {k: np.zeros_like(v) for k, v in p.items()}
-    second = {k: np.zeros_like(v) for k, v in p.items()}
-    seen = step = 0
+class Machine:
+    """Batches of at most BATCH windows through the model with these parameters (a vector that training changes)."""
+
+    def __init__(self, flat: np.ndarray, prior: np.ndarray):
+        self.flat, self.p, self.prior = flat, views(flat), prior
+        f = np.float32
+        self.e, self.all = np.empty((BATCH, LENGTH, WIDTH), f), np.empty((BATCH * LENGTH, 3 * WIDTH), f)
+        self.s, self.o = np.empty((BATCH, STRIDE, LENGTH), f), np.empty((BATCH, STRIDE, WIDTH), f)
+        self.h, self.logits = np.empty((BATCH * STRIDE, WIDTH), f), np.empty((BATCH * STRIDE, CLASSES), f)
+        self.rows = np.empty((BATCH * STRIDE, CLASSES), f)
+        self.ds, self.dall = np.empty_like(self.s), np.empty_like(self.all)
+
+    def forward(self, x: np.ndarray) -> np.ndarray:
+        """Logits less their greatest of the scored places of windows x (inputs; x[:, CONTEXT + j] is before place j)."""
+        n, p = len(x), self.p
+        e, s, o = self.e[:n], self.s[:n], self.o[:n]
+        np.take(p["embed"], x, axis=0, out=e, mode="clip")
+        e += p["place"]
+        flat = np.matmul(e.reshape(-1, WIDTH), p["qkv"], out=self.all[: n * LENGTH]).reshape(n, LENGTH, 3 * WIDTH)
+        np.matmul(flat[:, CONTEXT:, :WIDTH], flat[:, :, WIDTH : 2 * WIDTH].transpose(0, 2, 1), out=s)
+        s *= np.float32(WIDTH**-0.5)
+        s += _FUTURE
+        if (empty := x[:, :CONTEXT] == PAD).any():
+            s[:, :, :CONTEXT] += np.where(empty, np.float32(-1e9), np.float32(0))[:, None, :]
+        s -= s.max(axis=2, keepdims=True)
+        np.exp(s, out=s)
+        s /= s.sum(axis=2, keepdims=True)
+        np.matmul(s, flat[:, :, 2 * WIDTH :], out=o)
+        h = np.matmul(o.reshape(-1, WIDTH), p["mix"], out=self.h[: n * STRIDE])
+        h += e[:, CONTEXT:].reshape(-1, WIDTH)
+        logits = np.matmul(h, p["out"], out=self.logits[: n * STRIDE])
+        logits += np.take(self.prior, x[:, CONTEXT:].ravel(), axis=0, out=self.rows[: n * STRIDE], mode="clip")
+        logits += p["bias"]
+        logits -= logits.max(axis=1, keepdims=True)
+        return logits
+
+    def log_probabilities(self, x: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Natural log probability of the class target[i, j] at scored place j of window i."""
+        out = np.empty(target.shape, np.float64)
+        for lo in range(0, len(x), BATCH):
+            logits, y = self.forward(x[lo : lo + BATCH]), target[lo : lo + BATCH]
+            chosen = logits[np.arange(len(logits)), y.ravel()]
+            np.exp(logits, out=logits)
+            out[lo : lo + BATCH] = (chosen - np.log(logits.sum(axis=1))).reshape(y.shape)
+        return out
+
+    def gradient(self, x: np.ndarray, target: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Of the weighted mean cross entropy of one batch, as a vector."""
+        n, p = len(x), self.p
+        logits = self.forward(x)
+        e, s, o, h = self.e[:n], self.s[:n], self.o[:n], self.h[: n * STRIDE]
+        every = self.all[: n * LENGTH].reshape(n, LENGTH, 3 * WIDTH)
+        q, k, v = every[:, CONTEXT:, :WIDTH], every[:, :, WIDTH : 2 * WIDTH], every[:, :, 2 * WIDTH :]
+        np.exp(logits, out=logits)
+        logits /= logits.sum(axis=1, keepdims=True)
+        logits[np.arange(len(logits)), target.ravel()] -= 1
+        logits *= (weight.ravel() / max(1.0, float(weight.sum())))[:, None]
+        out = np.zeros(SIZE, np.float32)
+        g = views(out)
+        np.matmul(h.T, logits, out=g["out"])
+        logits.sum(axis=0, out=g["bias"])
+        dh = logits @ p["out"].T
+        np.matmul(o.reshape(-1, WIDTH).T, dh, out=g["mix"])
+        do = (dh @ p["mix"].T).reshape(n, STRIDE, WIDTH)
+        ds, dall = self.ds[:n], self.dall[: n * LENGTH].reshape(n, LENGTH, 3 * WIDTH)
+        np.matmul(do, v.transpose(0, 2, 1), out=ds)
+        np.matmul(s.transpose(0, 2, 1), do, out=dall[:, :, 2 * WIDTH :])
+        ds -= np.einsum("ijk,ijk->ij", ds, s)[:, :, None]
+        ds *= s
+        ds *= np.float32(WIDTH**-0.5)
+        dall[:, :CONTEXT, :WIDTH] = 0
+        np.matmul(ds, k, out=dall[:, CONTEXT:, :WIDTH])
+        np.matmul(ds.transpose(0, 2, 1), q, out=dall[:, :, WIDTH : 2 * WIDTH])
+        flat = dall.reshape(-1, 3 * WIDTH)
+        np.matmul(e.reshape(-1, WIDTH).T, flat, out=g["qkv"])
+        de = (flat @ p["qkv"].T).reshape(n, LENGTH, WIDTH)
+        de[:, CONTEXT:] += dh.reshape(n, STRIDE, WIDTH)
+        de.sum(axis=0, out=g["place"])
+        rows, inputs = de.reshape(-1, WIDTH), x.ravel()
+        for j in range(WIDTH):
+            g["embed"][:, j] = np.bincount(inputs, rows[:, j], INPUTS)
+        return out
+
+
+def train(flat: np.ndarray, prior: np.ndarray, batches, rate: float = 0.01) -> int:
+    """Adam over (x, target, weight) batches, once each; changes flat and returns the number of windows."""
+    machine, first, second, seen, step = Machine(flat, prior), np.zeros(SIZE, np.float32), np.zeros(SIZE, np.float32), 0, 0
     for x, target, weight in batches:
         step += 1
         seen += len(x)
-        for k, g in gradients(p, x, target, weight).items():
-            first[k] += 0.1 * (g - first[k])
-            second[k] += 0.01 * (g * g - second[k])
-            p[k] -= (rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+        g = machine.gradient(x, target, weight)
+        first += np.float32(0.1) * (g - first)
+        g *= g
+        second += np.float32(0.01) * (g - second)
+        pace = rate * min(1.0, step / 50) / (1 + step / 2000) ** 0.5
+        flat -= (pace / (1 - 0.9**step)) * first / (np.sqrt(second * np.float32(1 / (1 - 0.99**step))) + np.float32(1e-8))
     return seen
 
 

@@ -1,10 +1,12 @@
 """Scoring texts with a language model of subwords.
 
-A score is the model's own log10 probability of a text; counts of words give base_score only. The model is a causal self-attention model over the subwords of
-a public byte-level vocabulary; each subword carries whether it ends its word, so that subword sequences are a
-prefix-free code of words. The network predicts a class of subwords (each of the most frequent ones is a class);
-within a class, subwords follow their counts over all training documents. It trains on every window of every training
-document, in rounds: tasks train on their parts' windows of a round from common parameters, which are then averaged for the next.
+A score is the model's own log10 probability of a text; counts of words give base_score only. The model is a causal
+self-attention model over the subwords of a public byte-level vocabulary; each subword carries whether it ends its word,
+so that subword sequences are a prefix-free code of words. The network predicts the class of the next subword: frequent
+ones are a class each, others share one with those that stand in like places. Its prior is how often classes follow the
+subword before; within a class, subwords follow their counts behind that subword. All counts are over all training
+documents, and the network trains on every window of every training document, in rounds: tasks train on their parts'
+windows of a round from common parameters, which are then averaged for the next.
 
 Documents are dealt into parts. A part is tokenised once: its distinct words, and its texts as numbers of those.
 """
@@ -16,6 +18,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,11 +29,12 @@ from .hashing import LOWER_BYTE, joined, words_of
 from .language_id import held_out
 
 SEED = 5
-#: Subwords with a class of their own; the ranks at which the classes of the others begin.
-HEAD = net.CLASSES - 4
-TIERS = (HEAD, 4 * HEAD, 16 * HEAD, 64 * HEAD)
-#: Rounds of training; each window is in one. Windows of a round that one task trains on at least, about; windows cut out at a time.
-ROUNDS, SHARE, CUT = 4, 20_000, 1 << 14
+#: Inputs with a subword of their own; the others share the rest by rank. Classes of one input; the others are clusters.
+OWN, HEAD = net.INPUTS - 2 - 256, net.CLASSES * 3 // 4
+#: Pseudo-counts of the distribution that follows the subword before, of that of all subwords, and of those in an input.
+FOLLOW, EACH, RARE = 8.0, 0.5, 0.1
+#: Rounds of training; each window is in one. Windows of a round that one task trains on, about; windows cut out at a time; blobs that one task adds up.
+ROUNDS, SHARE, CUT, FAN = 4, 20_000, 1 << 12, 32
 _PART = "key long, docs binary, words binary, hashes binary, counts binary, widths binary, subwords binary"
 
 
@@ -98,13 +102,13 @@ class Part:
         self.begin = np.concatenate([[0], np.cumsum(self.sizes + 1)])
 
     def tokens(self, lo: int, hi: int):
-        """For documents lo to hi: subwords, offset of each document among them, offset of each word."""
+        """For documents lo to hi: places of their subwords in self.subwords, offset of each document among them, offset of each word."""
         words = self.stream[self.begin[lo] : self.begin[hi]]
         width = np.diff(self.first)[words]
         ends = np.cumsum(width)
-        out = self.subwords[np.repeat(self.first[words] - (ends - width), width) + np.arange(ends[-1] if len(ends) else 0)]
+        at = np.repeat(self.first[words] - (ends - width), width) + np.arange(ends[-1] if len(ends) else 0)
         word_first = np.concatenate([[0], ends])
-        return out, word_first[self.begin[lo : hi + 1] - self.begin[lo]], word_first
+        return at, word_first[self.begin[lo : hi + 1] - self.begin[lo]], word_first
 
     def spans(self, limit: int = 1 << 16):
         """Ranges of documents with about limit words each."""
@@ -115,45 +119,103 @@ class Part:
                 lo = hi
 
 
-class Subwords:
-    """Classes, inputs and probabilities within classes, from the counts of all subwords."""
+class Inputs:
+    """The input of each subword, from the counts of all: frequent ones have their own."""
 
     def __init__(self, counts: np.ndarray):
         rank = np.empty(len(counts), np.int64)
         rank[np.argsort(-counts, kind="stable")] = np.arange(len(counts))
-        self.cls = np.where(rank < HEAD, rank, HEAD - 1 + np.searchsorted(TIERS, rank, "right")).astype(np.int32)
-        total, size = np.bincount(self.cls, counts, net.CLASSES), np.bincount(self.cls, minlength=net.CLASSES)
-        self.within = np.log((counts + 1) / (total[self.cls] + size[self.cls])).astype(np.float32)
-        self.bias = np.log((total + 1) / (total.sum() + net.CLASSES))
-        half = net.INPUTS // 2
-        self.inputs = np.where(rank < half, rank, half + rank % (net.BEGIN - half)).astype(np.int32)
-
-
-def lessons(part: Part, model: Subwords, turn: int) -> np.ndarray:
-    """Inputs and classes (-1 behind a text) of the training windows of one of ROUNDS; spans of documents take turns."""
-    out = [np.empty((0, net.LENGTH + net.STRIDE), np.int16)]
-    for lo, hi in list(part.spans())[turn::ROUNDS]:
-        ids, first, _ = part.tokens(lo, hi)
+        self.of = np.where(rank < OWN, rank, OWN + rank % (net.BEGIN - OWN)).astype(np.int32)
+        self.within = np.log((counts + RARE) / np.bincount(self.of, counts + RARE, net.INPUTS)[self.of])
+
+    def before(self, subwords: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The input before each subword of words that begin at first; BEGIN before a word."""
+        out = np.concatenate([[net.BEGIN], self.of[subwords[:-1]]])[: len(subwords)]
+        out[first[:-1]] = net.BEGIN
+        return out
+
+
+def clusters(pairs: np.ndarray, head: int, number: int, seed: int = SEED, width: int = 16, sides: int = 256) -> np.ndarray:
+    """The class of each input: the most frequent have their own, others share by what stands next to them in words."""
+    total = pairs.sum(axis=0)
+    order = np.argsort(-total, kind="stable")
+    cls = np.empty(len(total), np.int64)
+    cls[order[:head]] = np.arange(head)
+    near, rest = order[:sides], order[head:]
+    seen = np.sqrt(np.concatenate([pairs[near].T / np.maximum(total[:, None], 1), pairs[:, near] / np.maximum(pairs.sum(axis=1)[:, None], 1)], axis=1))
+    _, axes = np.linalg.eigh((seen * total[:, None]).T @ seen)
+    points, weight = (seen @ axes[:, -width:])[rest], np.sqrt(total[rest] + 1)
+    centre = points[np.random.default_rng(seed).choice(len(rest), number, replace=False, p=weight / weight.sum())]
+    for _ in range(15):
+        own = ((points[:, None, :] - centre[None]) ** 2).sum(axis=2).argmin(axis=1)
+        mass = np.bincount(own, weight, number)
+        sums = np.stack([np.bincount(own, weight * x, number) for x in points.T], axis=1)
+        centre = np.where(mass[:, None] > 0, sums / np.maximum(mass, 1e-9)[:, None], centre)
+    cls[rest] = head + own
+    return cls
+
+
+class Subwords:
+    """What counts over all training documents say of subwords: classes, and probabilities given the subword before.
+
+    A subword's probability is that of its class (from the network) times that of its input in the class, given the
+    input before it, times its share of the input. counts are of subwords, pairs of inputs next to each other in words.
+    """
+
+    def __init__(self, counts: np.ndarray, pairs: np.ndarray):
+        self.inputs = Inputs(counts)
+        total = pairs.sum(axis=0) + EACH
+        total[net.BEGIN :] = 0
+        self.cls = clusters(pairs, HEAD, net.CLASSES - HEAD).astype(np.int32)
+        self.share, self.pairs = total / total.sum(), pairs.astype(np.float32)
+        by_class = np.stack([np.bincount(self.cls, row, net.CLASSES) for row in pairs])
+        self.by_class, self.class_share = by_class.astype(np.float32), np.bincount(self.cls, self.share, net.CLASSES)
+        prior = np.log((by_class + FOLLOW * self.class_share + 1e-9) / (by_class.sum(axis=1, keepdims=True) + FOLLOW))
+        ends = np.bincount(self.inputs.of, counts * (np.arange(len(counts)) % 2), net.INPUTS) > np.bincount(self.inputs.of, counts, net.INPUTS) / 2
+        prior[ends] = prior[net.PAD] = prior[net.BEGIN]
+        self.prior = prior.astype(np.float32)
+
+    def given(self, subwords: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Natural log probability of each subword in its class, given the input before it."""
+        x = self.inputs.of[subwords]
+        c = self.cls[x]
+        own = (self.pairs[before, x].astype(np.float64) + FOLLOW * self.share[x] / self.class_share[c]) / (self.by_class[before, c].astype(np.float64) + FOLLOW)
+        return np.log(own) + self.inputs.within[subwords]
+
+
+def lessons(part: Part, model: Subwords, turn: int):
+    """Batches of inputs, classes and weights (0 behind a text) of the training windows of one of ROUNDS; spans of documents take turns."""
+    inputs = model.inputs.of[part.subwords]
+    classes = model.cls[inputs]
+    for nth, (lo, hi) in enumerate(part.spans()):
+        if nth % ROUNDS != turn:
+            continue
+        at, first, _ = part.tokens(lo, hi)
         taught = np.flatnonzero(np.repeat(part.train[lo:hi] > 0, -(-np.diff(first) // net.STRIDE)))
-        for at in range(0, len(taught), CUT):
-            x, y, real, _ = net.windows(model.inputs[ids], model.cls[ids], first, taught[at : at + CUT])
-            out.append(np.concatenate([x, np.where(real, y, -1)], axis=1).astype(np.int16))
-    return np.concatenate(out)
+        taught = np.random.default_rng(SEED + turn).permutation(taught)
+        x_all, y_all = inputs[at], classes[at]
+        for begin in range(0, len(taught), CUT):
+            x, y, real, _ = net.windows(x_all, y_all, first, taught[begin : begin + CUT])
+            for k in range(0, len(x), net.BATCH):
+                yield x[k : k + net.BATCH], y[k : k + net.BATCH], real[k : k + net.BATCH].astype(np.float32)
 
 
-def _sum_blobs(rows: DataFrame, groups: int, kind) -> list[np.ndarray]:
-    """Sums of packed vectors (group long, blob) for groups below ``groups``: what reaches the driver is bounded."""
+def _tally(rows: DataFrame, size: int) -> np.ndarray:
+    """Sums of n by place (below size, which the vocabulary and the model bound) over rows (place, n)."""
+    found = rows.groupBy("place").agg(F.sum("n").alias("n")).toPandas()
+    return np.bincount(found["place"].to_numpy(np.int64), found["n"].to_numpy(np.float64), size)
 
-    def add(t: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"blob": [pack(sum((np.frombuffer(b, kind) for b in t.blob), np.zeros(1, kind)))]})
 
-    return [np.frombuffer(r["blob"], kind) for r in rows.groupBy(F.col("group") % groups).applyInPandas(add, "blob binary").collect()]
+def _sum_blobs(rows: DataFrame, tasks: int) -> np.ndarray:
+    """The sum of packed vectors (task, blob), one of each task at most, by a tree: no task adds up more than FAN of a level."""
 
+    def add(t: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"task": [int(t.task.iloc[0])], "blob": [pack(sum(np.frombuffer(b, np.float64) for b in t.blob))]})
 
-def _batches(rows: np.ndarray, size: int = 128):
-    for lo in range(0, len(rows), size):
-        x, y = rows[lo : lo + size, : net.LENGTH].astype(np.int64), rows[lo : lo + size, net.LENGTH :].astype(np.int64)
-        yield x, np.maximum(y, 0), (y >= 0).astype(np.float32)
+    while tasks > FAN:
+        tasks = -(-tasks // FAN)
+        rows = rows.groupBy(F.col("task") % tasks).applyInPandas(add, "task long, blob binary")
+    return sum((np.frombuffer(r["blob"], np.float64) for r in rows.select("blob").collect()), np.zeros(1))
 
 
 def score(docs: DataFrame, path: str = VOCABULARY, part_bytes: int = 8 << 20) -> DataFrame:
@@ -172,7 +234,7 @@ def score(docs: DataFrame, path: str = VOCABULARY, part_bytes: int = 8 << 20) ->
         row = prepare(int(key[0]), t.rid.to_numpy(), t.train.to_numpy().astype(bool), [(x or "").encode() for x in t.text], path)
         return pd.DataFrame([row], columns=[x.split()[0] for x in _PART.split(", ")])
 
-    parts = checkpoint(dealt.groupBy("key").applyInPandas(tokenise, _PART))
+    parts = checkpoint(dealt.repartition(n_parts, "key").groupBy("key").applyInPandas(tokenise, _PART))
 
     def words(batches):
         for t in batches:
@@ -189,44 +251,48 @@ def score(docs: DataFrame, path: str = VOCABULARY, part_bytes: int = 8 << 20) ->
         rows = [(k, pack(h[x], sums[number[x]]), 0, 0) for k, x in slices(owner)]
         return pd.DataFrame([*rows, (-1, None, int((sums > 0).sum()), int(sums.sum()))], columns=["key", "blob", "v", "n"])
 
-    totals = checkpoint(parts.select("key", "hashes", "counts").mapInPandas(words, "bucket long, key long, blob binary").groupBy("bucket").applyInPandas(total, "key long, blob binary, v long, n long"))
+    totals = checkpoint(parts.select("key", "hashes", "counts").mapInPandas(words, "bucket long, key long, blob binary").repartition(n_parts, "bucket").groupBy("bucket").applyInPandas(total, "key long, blob binary, v long, n long"))
     distinct, tokens = (int(x or 0) for x in totals.filter("key = -1").agg(F.sum("v"), F.sum("n")).first())
     distinct, tokens = distinct + (taught > 0), tokens + taught
 
-    def subword_counts(batches):
-        sums = np.zeros(vocabulary, np.int64)
-        for t in batches:
-            for row in t.itertuples():
-                sub, c = _large(row.subwords, np.int32), _large(row.counts, np.int64)
-                each = np.repeat(np.concatenate([[0], c]), _large(row.widths, np.int32))
-                sums += np.bincount(sub, each, vocabulary).astype(np.int64)
-        yield pd.DataFrame({"group": [int(sums.sum() % 8)], "blob": [pack(sums)]})
+    def counted(size: int, places):
+        """Sums by place over the subwords of distinct words, each as often as its word in training documents."""
+
+        def tally(batches):
+            sums = np.zeros(size, np.int64)
+            for t in batches:
+                for row in t.itertuples():
+                    sub, c, first = _large(row.subwords, np.int32), _large(row.counts, np.int64), _offsets(row.widths)
+                    each = np.repeat(np.concatenate([[0], c]), np.diff(first))
+                    sums += np.bincount(places(sub, first), each, size).astype(np.int64)
+            some = np.flatnonzero(sums)
+            yield pd.DataFrame({"place": some, "n": sums[some]})
 
-    counted = sum(_sum_blobs(parts.select("widths", "subwords", "counts").mapInPandas(subword_counts, "group long, blob binary"), 8, np.int64), np.zeros(vocabulary, np.int64))
-    counted[vocabulary - 1] += taught
-    subwords = spark.sparkContext.broadcast(Subwords(counted))
+        return _tally(parts.select("widths", "subwords", "counts").mapInPandas(tally, "place long, n long"), size)
+
+    counts = counted(vocabulary, lambda sub, first: sub)
+    counts[vocabulary - 1] += taught
+    inputs = spark.sparkContext.broadcast(Inputs(counts))
+    pairs = counted(net.INPUTS**2, lambda sub, first: inputs.value.before(sub, first).astype(np.int64) * net.INPUTS + inputs.value.of[sub]).reshape(net.INPUTS, net.INPUTS)
+    pairs[net.BEGIN, inputs.value.of[vocabulary - 1]] += taught
+    subwords = spark.sparkContext.broadcast(Subwords(counts, pairs))
 
     trainers = max(1, round((tokens + taught) * 2.5 / net.STRIDE / ROUNDS / SHARE))
     lines = parts.select("docs", "words", "hashes", "widths", "subwords").coalesce(trainers)
 
     def round_of(turn: int, start):
-        def steps(batches):
-            for t in batches:
-                for row in t.itertuples():
-                    rows = lessons(Part(row), subwords.value, turn)
-                    yield from _batches(rows[np.random.default_rng(SEED + turn).permutation(len(rows))])
-
         def teach(batches):
-            own = {k: v.copy() for k, v in start.value.items()}
-            if n := net.train(own, steps(batches)):
-                yield pd.DataFrame({"group": [n], "blob": [pack(np.concatenate([[n], n * net.flat(own).astype(np.float64)]))]})
+            own = start.value.copy()
+            seen = net.train(own, subwords.value.prior, (b for t in batches for row in t.itertuples() for b in lessons(Part(row), subwords.value, turn)))
+            if seen:
+                yield pd.DataFrame({"task": [TaskContext.get().partitionId()], "blob": [pack(np.concatenate([[seen], seen * own.astype(np.float64)]))]})
 
-        return sum(_sum_blobs(lines.mapInPandas(teach, "group long, blob binary"), 16, np.float64), np.zeros(1))
+        return _sum_blobs(lines.mapInPandas(teach, "task long, blob binary"), trainers)
 
-    learnt = net.initial(SEED, subwords.value.bias)
+    learnt = net.initial(SEED)
     for turn in range(ROUNDS if taught else 0):
         sums = round_of(turn, spark.sparkContext.broadcast(learnt))
-        learnt = net.shaped(sums[1:] / sums[0]) if sums[0] else learnt
+        learnt = (sums[1:] / sums[0]).astype(np.float32) if sums[0] else learnt
     params = spark.sparkContext.broadcast(learnt)
 
     def judge(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -237,28 +303,28 @@ def score(docs: DataFrame, path: str = VOCABULARY, part_bytes: int = 8 << 20) ->
         order = np.argsort(h)
         count = np.concatenate([[taught], c[order[np.searchsorted(h[order], part.hashes)]] if len(part.hashes) else []])
         base = np.log10((count + 1) / (tokens + distinct + 1))
-        out = []
+        given = model.given(part.subwords, model.inputs.before(part.subwords, part.first))
+        machine, seen = net.Machine(params.value, model.prior), model.inputs.of[part.subwords]
+        classes, out = model.cls[seen], []
         for lo, hi in part.spans():
-            ids, first, word_first = part.tokens(lo, hi)
-            score = np.add.reduceat(score_stream(ids, first, model, params.value), word_first[:-1]) / np.log(10)
+            at, first, word_first = part.tokens(lo, hi)
+            logs = given[at]
+            add_classes(logs, machine, seen[at], classes[at], first)
+            score = np.add.reduceat(logs, first[:-1]) / np.log(10)
             numbers = part.stream[part.begin[lo] : part.begin[hi]]
-            at = part.begin[lo:hi] - part.begin[lo]
-            out.append((part.rid[lo:hi], part.sizes[lo:hi] + 1, np.add.reduceat((count[numbers] > 0).astype(np.int64), at), np.add.reduceat(base[numbers], at), np.add.reduceat(score, at)))
+            words = part.begin[lo:hi] - part.begin[lo]
+            out.append((part.rid[lo:hi], part.sizes[lo:hi] + 1, np.add.reduceat((count[numbers] > 0).astype(np.int64), words), np.add.reduceat(base[numbers], words), score))
         return pd.DataFrame(dict(zip(("rid", "n_tokens", "n_known", "base", "score"), (np.concatenate(x) for x in zip(*out, strict=True)), strict=True)))
 
-    found = parts.groupBy("key").cogroup(totals.filter("key >= 0").select("key", "blob").groupBy("key")).applyInPandas(judge, "rid long, n_tokens long, n_known long, base double, score double")
+    found = parts.repartition(n_parts, "key").groupBy("key").cogroup(totals.filter("key >= 0").select("key", "blob").repartition(n_parts, "key").groupBy("key")).applyInPandas(judge, "rid long, n_tokens long, n_known long, base double, score double")
     return found.select("rid", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
 
 
-def score_stream(ids: np.ndarray, first: np.ndarray, model: Subwords, params: dict[str, np.ndarray], batch: int = 96) -> np.ndarray:
-    """Natural log probability of every subword of texts that lie one behind the other."""
-    inputs, cls = model.inputs[ids], model.cls[ids]
-    out = model.within[ids].astype(np.float64)
-    per_text = -(-np.diff(first) // net.STRIDE)
-    for lo in range(0, int(per_text.sum()), batch):
-        x, y, real, place = net.windows(inputs, cls, first, np.arange(lo, min(lo + batch, int(per_text.sum()))))
-        out[place[real]] += net.log_probabilities(params, x, y)[real]
-    return out
+def add_classes(logs: np.ndarray, machine: net.Machine, inputs: np.ndarray, classes: np.ndarray, first: np.ndarray, batch: int = 1024) -> None:
+    """Adds the natural log probability of each token's class to logs; texts lie one behind the other, offsets in first."""
+    for lo in range(0, total := int((-(-np.diff(first) // net.STRIDE)).sum()), batch):
+        x, y, real, place = net.windows(inputs, classes, first, np.arange(lo, min(lo + batch, total)))
+        logs[place[real]] += machine.log_probabilities(x, y)[real]
 
 
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
