@@ -1,22 +1,12 @@
-"""Windows that repeat across a corpus, found through anchors.
+"""Anchors: the few places of texts by which tasks find windows that repeat, and how texts and findings are dealt out.
 
 A text is a sequence of tokens (bytes or words). In every window of ``window`` tokens the n-gram with the least hash is
 an anchor. Equal windows have equal anchors at equal offsets, so only texts that share an anchor can share a window, and
-one token in about (window - gram) / 2 is an anchor. All that is known of an anchor is its context: the tokens of all
-windows around it.
+one token in about (window - gram) / 2 is an anchor. The context of an anchor holds all windows around it.
 
-Three steps resolve every window exactly:
-
-1. Anchors are grouped by hash. Where the whole context repeats, all its windows repeat: every occurrence but the first
-   is covered, with no text sent. Two anchors of a short text can have the whole text as context: that is one occurrence. Tasks do this with their own anchors before the shuffle and again after it, so that
-   a passage in a third of all rows is a few entries of each task.
-2. What is left are distinct contexts around a shared anchor. Those contexts alone are fetched from the texts.
-3. A resolver finds the repeated windows in the contexts of a group of anchors, and covered ranges go to their texts.
-
-An anchor with more than HEAVY distinct contexts (a stock phrase) would be a large batch. Its texts send the hashes of
-single windows instead, settled in each task and again after the shuffle: a window is one entry of each task.
-
-Arrays travel packed in binary values, keyed by group. The number of groups follows the size of the corpus.
+Texts lie in parts of bounded size, dealt by row key; anchors lie in groups, dealt by hash. There are as many groups as
+parts, and as many tasks: their number follows the size of the corpus. Arrays travel packed in binary values. Anchors
+only say where to look; what repeats is for the operators to find.
 """
 
 from __future__ import annotations
@@ -32,34 +22,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import RID, modest_batches, pack, parts_for, release, releasing, slices, unpack
+from .common import RID, modest_batches, pack, parts_for, slices
 from .hashing import _powers, blocks, mix, prefix, span
 
-ANCHOR, COVERED, REQUEST, CONTEXT, WINDOW = 0, 1, 2, 3, 4
-_ROWS = "kind int, key long, blob binary, payload binary"
-_ENTRY = ("<u4", "<u8", "<i8", "<i4", "u1")
-_RANGE = ("<i8", "<i4", "<i4")
-_WANTED = ("<u4", "<i8", "<i4", "u1")
-BLOCK_BYTES, FLUSH, BATCH_BYTES = 1 << 18, 1 << 19, 1 << 19
-#: Contexts of an anchor that are resolved together at most.
-HEAVY = 1 << 14
+ROWS = "kind int, key long, blob binary, payload binary"
+_ARROW = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("blob", pa.binary()), ("payload", pa.binary())])
+BLOCK_BYTES, BATCH_BYTES = 1 << 18, 1 << 19
 
 
 @dataclass(frozen=True)
 class Kind:
-    """What tokens are and what counts as a repeat."""
+    """What tokens are."""
 
     window: int
     gram: int
-    #: Whether an earlier start in the same text counts.
-    within: bool
     #: (texts with row keys) -> codes, offset of each piece, row key, first token and all tokens of its text, and the
     #: range of window starts (in codes) that the piece answers for.
     codes: Callable[[list[tuple[int, bytes]]], tuple]
     #: (text, first tokens, last tokens) -> payload of each context.
     cut: Callable[[bytes, np.ndarray, np.ndarray], list[bytes]]
-    #: (row keys, first tokens, payloads) -> row keys and starts of windows that repeat an earlier one.
-    resolve: Callable[[np.ndarray, np.ndarray, list[bytes]], tuple[np.ndarray, np.ndarray]]
 
 
 def _slide(a: np.ndarray, width: int, reduce) -> np.ndarray:
@@ -89,6 +70,40 @@ def anchors(codes: np.ndarray, low: np.ndarray, high: np.ndarray, window: int, g
     return chosen, hashes[chosen], sums
 
 
+def contexts(kind: Kind, rids: list[int], texts: list[bytes]):
+    """(anchor hash, context hash, row key, first token and number of tokens of the context) of the anchors of texts.
+
+    Sorted, and each once: two anchors of a short text can have all of it as context.
+    """
+    held = []
+    for block in blocks(zip(rids, texts, strict=True), lambda x: len(x[1]), BLOCK_BYTES):
+        codes, offset, rid, begin, total, low, high = kind.codes(block)
+        at, h, sums = anchors(codes, low, high, kind.window, kind.gram)
+        piece = np.searchsorted(offset, at, "right") - 1
+        pos = at - offset[piece] + begin[piece]
+        left, right = np.minimum(kind.window - kind.gram, pos), np.minimum(kind.window, total[piece] - pos)
+        held.append((h, span(sums, at - left, at + right), rid[piece], pos - left, left + right))
+    if not held:
+        return tuple(np.empty(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
+    fields = tuple(np.concatenate(x) for x in zip(*held, strict=True))
+    return sorted_once(*fields)
+
+
+def sorted_once(*fields: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Fields sorted by the first, then the second and so on, equal entries (in the first four) once."""
+    order = np.lexsort(fields[3::-1])
+    fields = tuple(x[order] for x in fields)
+    return tuple(x[new_among(*fields[:4])] for x in fields)
+
+
+def new_among(*fields: np.ndarray) -> np.ndarray:
+    """Whether each entry differs from the one before it."""
+    out = np.ones(len(fields[0]), bool)
+    if len(out):
+        out[1:] = np.logical_or.reduce([f[1:] != f[:-1] for f in fields])
+    return out
+
+
 def merged(rid: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The maximal runs that ranges cover in each text."""
     if not len(rid):
@@ -102,179 +117,61 @@ def merged(rid: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return rid[first], start[first], reach[last] - shift[last]
 
 
-def _rows(kind: int, keys: np.ndarray, fields: tuple, dtypes: tuple) -> list[tuple]:
+def runs_by_row(rid: np.ndarray, start: np.ndarray, end: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+    out: dict[int, list[tuple[int, int]]] = {}
+    for r, s, e in zip(*(x.tolist() for x in merged(rid, start, end)), strict=True):
+        out.setdefault(r, []).append((s, e))
+    return out
+
+
+def rows_of(kind: int, keys: np.ndarray, fields: tuple, dtypes: tuple) -> list[tuple]:
     return [(kind, int(k), pack(*[f[i].astype(t) for f, t in zip(fields, dtypes, strict=True)]), None) for k, i in slices(keys)]
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
+def frame(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["kind", "key", "blob", "payload"])
 
 
-def _by_anchor(h: np.ndarray, n: np.ndarray) -> Iterator[np.ndarray]:
-    """Indexes in batches of about BATCH_BYTES that never part entries of one anchor."""
+def arrow(rows: list[tuple]) -> pa.Table:
+    return pa.Table.from_pylist([dict(zip(_ARROW.names, r, strict=True)) for r in rows], _ARROW)
+
+
+def batches_by(h: np.ndarray, n: np.ndarray, limit: int = BATCH_BYTES) -> Iterator[np.ndarray]:
+    """Indexes in batches of about limit tokens that never part entries of one anchor."""
     order = np.argsort(h, kind="stable")
-    total, new = np.cumsum(n[order].astype(np.int64)), np.flatnonzero(np.concatenate([[False], np.diff(h[order].astype(np.int64)) != 0]))
+    total, new = np.cumsum(n[order].astype(np.int64)), np.flatnonzero(new_among(h[order]))[1:]
     cuts, last = [], 0
     for c in new.tolist():
-        if total[c - 1] - last >= BATCH_BYTES:
+        if total[c - 1] - last >= limit:
             cuts.append(c)
             last = total[c - 1]
     yield from (x for x in np.split(order, cuts) if len(x))
 
 
-def _table(rows: list[tuple]) -> pa.Table:
-    return pa.Table.from_pylist([dict(zip(("kind", "key", "blob", "payload"), r, strict=True)) for r in rows], pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("blob", pa.binary()), ("payload", pa.binary())]))
-
-
-def _covered(rid, start, end, parts: int) -> list[tuple]:
-    rid, start, end = merged(rid, start, end)
-    return _rows(COVERED, np.mod(rid, parts), (rid, start, end), _RANGE)
-
-
-def repeats(docs: DataFrame, kind: Kind, finish: Callable[[bytes | None, list[tuple[int, int]]], tuple], schema: str, carry: list[str], part_bytes: int = 8 << 20, heavy: int = HEAVY) -> DataFrame:
-    """The columns ``carry`` and those of finish(text, covered token ranges) of every row of docs (RID unique, text)."""
-    size = modest_batches(docs).agg(F.sum(F.octet_length("text"))).first()[0]
-    parts = parts_for(size, part_bytes)
-    dealt = docs.select(F.pmod(F.col(RID), F.lit(parts)).cast("long").alias("key"), F.col(RID).alias("rid"), F.col("text").cast("string").alias("text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)])
-    own = T.StructType.fromDDL(schema)
-    fields = T.StructType([*[T.StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(carry)], *own.fields])
-    window, gram = kind.window, kind.gram
-
-    def combine(group, h, c, rid, pos, right):
-        """Covered ranges and remaining entries; entries are unique by (group, h, rid, pos) afterwards."""
-        order = np.lexsort((pos, rid, c, h, group))
-        group, h, c, rid, pos, right = (x[order] for x in (group, h, c, rid, pos, right))
-        same = (h[1:] == h[:-1]) & (c[1:] == c[:-1]) & (group[1:] == group[:-1])
-        again = np.concatenate([[False], same & (rid[1:] == rid[:-1]) & (pos[1:] == pos[:-1])])
-        group, h, c, rid, pos, right = (x[~again] for x in (group, h, c, rid, pos, right))
-        first = np.concatenate([[True], ~((h[1:] == h[:-1]) & (c[1:] == c[:-1]) & (group[1:] == group[:-1]))]) if len(h) else np.empty(0, bool)
-        leader = np.flatnonzero(first)[np.cumsum(first) - 1] if len(h) else np.empty(0, np.int64)
-        start = pos - np.minimum(window - gram, pos)
-        twin = ~first & (rid == rid[leader]) & (start == start[leader])  # the leader's own place, around another anchor
-        over = ~first & ~twin if kind.within else rid != rid[leader]
-        gone, stay = (rid[over], start[over], (pos + right)[over]), ~over & ~twin if kind.within else ~over
-        return gone, tuple(x[stay] for x in (group, h, c, rid, pos, right))
-
-    def settle(held: list[tuple], row_kind: int) -> list[tuple]:
-        """Rows of the covered ranges and remaining entries of (hash, context, rid, pos, right) arrays."""
-        h, c, rid, pos, right = (np.concatenate(x) for x in zip(*held, strict=True))
-        group = ((h >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
-        gone, (group, h, *rest) = combine(group, h & np.uint64(0xFFFFFFFF), c, rid, pos, right)
-        return _covered(*gone, parts) + _rows(row_kind, group, (h, *rest), _ENTRY)
-
-    def entries(blobs):
-        """Covered ranges and remaining entries of packed entries of one group."""
-        h, c, rid, pos, right = unpack(blobs, *_ENTRY)
-        return combine(np.zeros(len(h), np.int8), h, c, rid.astype(np.int64), pos.astype(np.int64), right.astype(np.int64))
-
-    def single_windows(r: int, text: bytes, places: np.ndarray) -> tuple:
-        """Entries of the windows of text around anchors at places."""
-        codes, offset, _, begin, _, low, high = kind.codes([(r, text)])
-        start = np.unique(places[:, None] - np.arange(window - gram + 1)[None, :])
-        piece = np.maximum(np.searchsorted(low - offset + begin, start, "right") - 1, 0)
-        inside = (start >= 0) & (start < (high - offset + begin)[piece])
-        start, at = start[inside], (start - begin[piece] + offset[piece])[inside]
-        hashes = span(prefix(codes), at, at + window)
-        return hashes, hashes, np.full(len(start), r), start + window - gram, np.full(len(start), gram)
-
-    def collect(batches) -> Iterator[pd.DataFrame]:
-        held: list[tuple] = []
-
-        for t in batches:
-            texts = ((int(r), (x or "").encode()) for r, x in zip(t.rid, t.text, strict=True))
-            for block in blocks(texts, lambda x: len(x[1]), BLOCK_BYTES):
-                codes, offset, rid, begin, total, low, high = kind.codes(block)
-                at, h, sums = anchors(codes, low, high, window, gram)
-                piece = np.searchsorted(offset, at, "right") - 1
-                pos = at - offset[piece] + begin[piece]
-                left = np.minimum(window - gram, pos)
-                right = np.minimum(window, total[piece] - pos)
-                held.append((h, span(sums, at - left, at + right), rid[piece], pos, right))
-                if sum(len(x[0]) for x in held) >= FLUSH:
-                    yield _frame(settle(held, ANCHOR))
-                    held.clear()
-        if held:
-            yield _frame(settle(held, ANCHOR))
-
-    def through(t: pd.DataFrame) -> list[tuple]:
-        gone = t.blob[t.kind == COVERED]
-        return _covered(*unpack(gone, *_RANGE), parts) if len(gone) else []
-
-    def decide(t: pd.DataFrame) -> pd.DataFrame:
-        out, mine = through(t), t[t.kind == ANCHOR]
-        for key, blobs in mine.groupby("key").blob:
-            gone, (_, h, c, rid, pos, _) = entries(blobs)
-            out += _covered(*gone, parts)
-            new = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.empty(0, bool)
-            run = np.cumsum(new) - 1
-            distinct = c if kind.within else rid
-            firsts = distinct[np.flatnonzero(new)] if len(h) else distinct
-            several = np.zeros(new.sum(), bool)
-            np.logical_or.at(several, run, distinct != firsts[run])
-            ask = several[run] if len(h) else new
-            many = (np.bincount(run) > heavy)[run] if len(h) else new
-            out += [(k, p, b + np.int64(key).tobytes(), None) for k, p, b, _ in _rows(REQUEST, np.mod(rid[ask], parts), (h[ask], rid[ask], pos[ask], many[ask]), _WANTED)]
-        return _frame(out)
-
-    def fetch(d: pa.Table, found: pa.Table) -> pa.Table:
-        t = found.to_pandas()
-        out, asked = through(t), t.blob[t.kind == REQUEST]
-        if not len(asked):
-            return _table(out)
-        groups = np.concatenate([np.full((len(b) - 8) // 17, int(np.frombuffer(b[-8:], np.int64)[0])) for b in asked])
-        h, rid, pos, many = unpack([b[:-8] for b in asked], *_WANTED)
-        text_of = dict(zip(d["rid"].to_pylist(), d["text"].to_pylist(), strict=True))
-        lines: dict[int, list[tuple]] = {}
-        held: list[tuple] = []
-        for r, at in slices(rid):
-            text = (text_of[int(r)] or "").encode()
-            if many[at].any():
-                held.append(single_windows(int(r), text, pos[at[many[at] > 0]].astype(np.int64)))
-                if sum(len(x[0]) for x in held) >= FLUSH:
-                    out += settle(held, WINDOW)
-                    held.clear()
-                at = at[many[at] == 0]
-            p = pos[at].astype(np.int64)
-            low = p - np.minimum(window - gram, p)
-            for g, x, lo, payload in zip(groups[at], h[at], low, kind.cut(text, low, p + window), strict=True):
-                lines.setdefault(int(g), []).append((int(r), int(lo), len(payload), int(x), payload))
-        if held:
-            out += settle(held, WINDOW)
-        for g, found in lines.items():
-            r, lo, n, x, payload = zip(*found, strict=True)
-            fields = (np.array(r, "<i8"), np.array(lo, "<i4"), np.array(n, "<u4"), np.array(x, "<u4"))
-            out.append((CONTEXT, g, pack(*fields), b"".join(payload)))
-        release()
-        return _table(out)
-
-    def resolve(t: pd.DataFrame) -> pd.DataFrame:
-        out, mine = through(t), t[t.kind == CONTEXT]
-        for _, blobs in t[t.kind == WINDOW].groupby("key").blob:
-            out += _covered(*entries(blobs)[0], parts)
-        for _, some in mine.groupby("key"):
-            rid, low, n, h = unpack(some.blob, "<i8", "<i4", "<u4", "<u4")
-            whole, end = b"".join(some.payload), np.cumsum(n.astype(np.int64))
-            for at in _by_anchor(h, n):
-                payloads = [whole[e - k : e] for e, k in zip(end[at].tolist(), n[at].tolist(), strict=True)]
-                again, start = kind.resolve(rid[at], low[at].astype(np.int64), payloads)
-                out += _covered(again, start, start + window, parts)
-        release()
-        return _frame(out)
-
-    def last(d: pa.Table, found: pa.Table) -> pa.Table:
-        rid, start, end = merged(*(x.astype(np.int64) for x in unpack(found["blob"].to_pylist(), *_RANGE)))
-        runs: dict[int, list[tuple[int, int]]] = {}
-        for r, s, e in zip(rid.tolist(), start.tolist(), end.tolist(), strict=True):
-            runs.setdefault(r, []).append((s, e))
-        rows = [finish(None if x is None else x.encode(), runs.get(r, [])) for r, x in zip(d["rid"].to_pylist(), d["text"].to_pylist(), strict=True)]
-        columns = list(zip(*rows, strict=True)) or [[]] * len(types)
-        made = [pa.array(list(x), t) for x, t in zip(columns, types, strict=True)]
-        return pa.Table.from_arrays([*[d[f"c{i}"].combine_chunks() for i in range(len(carry))], *made], names=[f.name for f in fields])
-
-    types = [to_arrow_type(f.dataType) for f in own]
-    found = dealt.select("rid", "text").mapInPandas(releasing(collect), _ROWS)
-    found = found.groupBy("kind", "key").applyInPandas(decide, _ROWS)
-    found = dealt.groupBy("key").cogroup(found.groupBy("key")).applyInArrow(fetch, _ROWS)
-    found = found.groupBy("kind", "key").applyInPandas(resolve, _ROWS)
-    done = dealt.groupBy("key").cogroup(found.groupBy("key")).applyInArrow(last, fields)
-    return done.toDF(*carry, *[f.name for f in own])
+class Dealt:
+    """docs (RID unique, text, columns to carry) in parts: column key; each part is one group, moved to its task once."""
+
+    def __init__(self, docs: DataFrame, carry: list[str], part_bytes: int):
+        size = modest_batches(docs).agg(F.sum(F.octet_length("text"))).first()[0]
+        self.parts, self.carry = parts_for(size, part_bytes), carry
+        self._types = [T.StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(carry)]
+        texts = docs.select(F.pmod(F.col(RID), F.lit(self.parts)).cast("long").alias("key"), F.col(RID).alias("rid"), F.col("text").cast("string").alias("text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)])
+        self.texts = texts.repartition(self.parts, "key").groupBy("key")
+
+    def grouped(self, rows: DataFrame):
+        """rows by key, in as many tasks as there are parts."""
+        return rows.repartition(self.parts, "key").groupBy("key")
+
+    def finish(self, rows: DataFrame, schema: str, results: Callable[[list, list, pa.Table], list[tuple]]) -> DataFrame:
+        """The carried columns and those of results(row keys, texts as bytes, the part's rows) of every row."""
+        own = T.StructType.fromDDL(schema)
+        fields, types, carried = T.StructType([*self._types, *own.fields]), [to_arrow_type(f.dataType) for f in own], len(self.carry)
+
+        def last(d: pa.Table, found: pa.Table) -> pa.Table:
+            out = results(d["rid"].to_pylist(), [None if x is None else x.encode() for x in d["text"].to_pylist()], found)
+            columns = list(zip(*out, strict=True)) or [[]] * len(types)
+            made = [pa.array(list(x), t) for x, t in zip(columns, types, strict=True)]
+            return pa.Table.from_arrays([*[d[f"c{i}"].combine_chunks() for i in range(carried)], *made], names=[f.name for f in fields])
+
+        done = self.texts.cogroup(self.grouped(rows)).applyInArrow(last, fields)
+        return done.toDF(*self.carry, *[f.name for f in own])

@@ -6,7 +6,6 @@ import numpy as np
 import pytest
 
 from linkwright.llm import jaccard, phrases, suffix_dedup
-from linkwright.llm.anchors import repeats
 from linkwright.llm.hashing import words_of
 
 from .fixtures import SCHEMA, documents, messy, write
@@ -66,7 +65,7 @@ def test_suffix_dedup_of_short_periodic_texts(spark, texts):
     """Both anchors of a text can have the whole text as their context: that is one place, not a repeat."""
     docs = spark.createDataFrame(list(enumerate(texts)), "__rid long, text string").repartition(3)
     finish = lambda text, runs: ([j for s, e in runs for j in range(s, e)],)
-    got = {r["__rid"]: r["gone"] for r in repeats(docs, suffix_dedup.kind(), finish, "gone array<long>", ["__rid"]).collect()}
+    got = {r["__rid"]: r["gone"] for r in suffix_dedup._spans(docs, 100, finish, "gone array<long>", ["__rid"]).collect()}
     assert got == {i: [j for j, m in enumerate(mask) if m] for i, mask in enumerate(removed_bytes([t.encode() for t in texts]))}
 
 
@@ -110,25 +109,89 @@ def test_phrase_dedup_ignores_repeats_in_one_document(spark, tmp_path):
     assert got == {5: 0, 9: 120}
 
 
-@pytest.mark.parametrize("kind", [suffix_dedup.kind(), phrases.kind()])
-def test_contexts_of_heavy_anchors_are_settled_by_window(spark, kind):
-    """A stock phrase between different words, shorter and longer than a window, with every anchor heavy or none."""
-    rng = random.Random(6)
+def stock(seed: int = 6, n: int = 60) -> list[str | None]:
+    """Texts with stock phrases, shorter and longer than a window, between words of their own."""
+    rng = random.Random(seed)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
     short, long = " ".join(word() for _ in range(8)), " ".join(word() for _ in range(20))
-    texts = [" ".join(x for _ in range(1 + i % 9) for x in (*(word() for _ in range(12)), rng.choice([short, short, long]))) for i in range(60)]
-    texts += ["", None, texts[7], long, texts[3] + texts[4]]
-    docs = spark.createDataFrame(list(enumerate(texts)), "__rid long, text string").repartition(3)
-    held = [x.encode() if x else b"" for x in texts]
-    masks = removed_bytes(held) if kind.within else [m for _, m in removed_words(list(enumerate(held)))]
-    expected = {i: [j for j, m in enumerate(mask) if m] for i, mask in enumerate(masks)}
-    finish = lambda text, runs: ([j for s, e in runs for j in range(s, e)],)
-    for heavy in (1, 20, 1 << 14):
-        got = repeats(docs, kind, finish, "gone array<long>", ["__rid"], heavy=heavy).collect()
-        assert {r["__rid"]: r["gone"] for r in got} == expected
+    texts = [" ".join(x for _ in range(1 + i % 9) for x in (*(word() for _ in range(12)), rng.choice([short, short, long]))) for i in range(n)]
+    return [*texts, "", None, texts[7], long, texts[3] + texts[4]]
+
+
+def gone(text, runs):
+    return ([j for s, e in runs for j in range(s, e)],)
+
+
+def keyed(spark, texts):
+    return spark.createDataFrame(list(enumerate(texts)), "__rid long, text string").repartition(3)
+
+
+@pytest.mark.parametrize("heavy", [0, 20, 1 << 14])
+def test_suffix_dedup_of_stock_phrases(spark, heavy):
+    """With every anchor spread over groups, some, or none."""
+    texts = stock()
+    expected = {i: [j for j, m in enumerate(mask) if m] for i, mask in enumerate(removed_bytes([(x or "").encode() for x in texts]))}
+    got = suffix_dedup._spans(keyed(spark, texts), 100, gone, "gone array<long>", ["__rid"], heavy=heavy).collect()
+    assert {r["__rid"]: r["gone"] for r in got} == expected
+    assert sum(len(x) > 0 for x in expected.values()) > 10
+
+
+@pytest.mark.parametrize("shard", [1, 7, 1 << 15])
+def test_phrase_dedup_of_stock_phrases(spark, shard):
+    texts = stock()
+    expected = {i: [j for j, m in enumerate(mask) if m] for i, (_, mask) in enumerate(removed_words(list(enumerate((x or "").encode() for x in texts))))}
+    got = phrases._passages(keyed(spark, texts), 13, gone, "gone array<long>", ["__rid"], shard=shard).collect()
+    assert {r["__rid"]: r["gone"] for r in got} == expected
     assert sum(len(x) > 0 for x in expected.values()) > 10
 
 
+def test_refinement_alone_decides(monkeypatch):
+    text = stock()[7].encode()
+    args = ([text[:168]], np.zeros(3, np.int64), np.array([4, 9, 9]), np.array([0, 0, 30]), 100)
+    (rid, start, end), whole = suffix_dedup.repeated(*args)
+    assert rid.tolist() == [9] and (start[0], end[0]) == (0, 198) and whole.tolist() == [False, True, True]
+    monkeypatch.setattr(suffix_dedup, "refine", lambda ids, places, *_: places[:0])
+    (rid, _, _), whole = suffix_dedup.repeated(*args)
+    assert not len(rid) and not whole.any()
+
+
+@pytest.mark.parametrize("length", [4, 7, 25, 100])
+def test_refinement_against_all_windows(length):
+    rng = random.Random(length)
+    payloads = [bytes(rng.choice(b"ab") for _ in range(length + rng.randrange(2 * length))) for _ in range(40)] + [b"a" * 3 * length]
+    rid, low = np.arange(len(payloads)) % 5, np.arange(len(payloads)) * 1000
+    (r, s, e), whole = suffix_dedup.repeated(payloads, np.arange(len(payloads)), rid, low, length)
+    first, expected, all_of = {}, set(), []
+    at = sorted((int(rid[k]), int(low[k]) + i, p[i : i + length]) for k, p in enumerate(payloads) for i in range(len(p) - length + 1))
+    again = set()
+    for x, i, w in at:
+        if first.setdefault(w, (x, i)) != (x, i):
+            again.add((x, i))
+            expected |= {(x, j) for j in range(i, i + length)}
+    all_of = [all((int(rid[k]), int(low[k]) + i) in again for i in range(len(p) - length + 1)) for k, p in enumerate(payloads)]
+    assert {(x, j) for x, a, b in zip(r.tolist(), s.tolist(), e.tolist(), strict=True) for j in range(a, b)} == expected
+    assert whole.tolist() == all_of
+
+
+def test_names_of_last_buckets_are_those_of_windows():
+    data = np.random.default_rng(1).integers(97, 99, 3000).astype(np.uint8)
+    starts = np.arange(len(data) - 3 + 1)
+    names = suffix_dedup.deepen(suffix_dedup.span(suffix_dedup.prefix(suffix_dedup.BYTE_CODES[data]), starts, starts + 3), 3, 11)
+    windows = [data[i : i + 11].tobytes() for i in range(len(data) - 10)]
+    assert len(names) == len(windows) and len(set(zip(names.tolist(), windows, strict=True))) == len(set(windows)) == len(set(names.tolist()))
+
+
+def test_automata_find_every_occurrence():
+    firsts = np.array([3, 5, 5])
+    numbers, machines = phrases.automata([b"a b c d", b"b c d"], firsts, 3, shard=2)
+    assert len(machines) == 2
+    found = sorted(phrases.occurrences(b"x a b c d y b c d", numbers, machines, 3))
+    assert {s for s, _ in found} == {1, 2, 6}
+    assert phrases.covered_runs(b"x a b c d y b c d", 5, numbers, machines, firsts, 3) == [(1, 4)]
+    assert phrases.covered_runs(b"x a b c d y b c d", 6, numbers, machines, firsts, 3) == [(1, 5), (6, 9)]
+    assert phrases.covered_runs(b"x a b c d y b c d", 6, {}, [], firsts, 3) == []
+
+
 def linked(rows):
     sets = [set(s.tolist()) for s in jaccard.shingle_sets([r[1] for r in rows])]
     links = defaultdict(set)
