@@ -182,14 +182,14 @@ def test_names_of_last_buckets_are_those_of_windows():
 
 
 def test_automata_find_every_occurrence():
-    firsts = np.array([3, 5, 5])
-    numbers, machines = phrases.automata([b"a b c d", b"b c d"], firsts, 3, shard=2)
-    assert len(machines) == 2
-    found = sorted(phrases.occurrences(b"x a b c d y b c d", numbers, machines, 3))
-    assert {s for s, _ in found} == {1, 2, 6}
-    assert phrases.covered_runs(b"x a b c d y b c d", 5, numbers, machines, firsts, 3) == [(1, 4)]
-    assert phrases.covered_runs(b"x a b c d y b c d", 6, numbers, machines, firsts, 3) == [(1, 5), (6, 9)]
-    assert phrases.covered_runs(b"x a b c d y b c d", 6, {}, [], firsts, 3) == []
+    firsts = np.array([3, 5, 8])
+    compiled = phrases.automata([b"a b c d", b"b c d"], firsts, 3, shard=2)
+    assert len(compiled[2]) == 2
+    text = b"x a b c d y b c d"
+    assert {s for s, _ in phrases.occurrences(text, *compiled, 3)} == {1, 2, 6}
+    assert phrases.covered_runs(text, 5, compiled, firsts, 3) == [(1, 4)]
+    assert phrases.covered_runs(text, 6, compiled, firsts, 3) == [(1, 5), (6, 9)]
+    assert phrases.covered_runs(text, 6, phrases.automata([], firsts[:0], 3), firsts, 3) == []
 
 
 def linked(rows):
