@@ -59,3 +59,17 @@ def local_forest(n: int, links) -> np.ndarray:
             merged[label[i]] = True
             label[merged[label]] = least
     return label
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """(node, smallest node of its component) of the graph with edges a[i]-b[i], without the smallest nodes themselves."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j, label = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while (label[i] != label[j]).any():
+        least = np.minimum(label[i], label[j])
+        np.minimum.at(label, label[i], least)
+        np.minimum.at(label, label[j], least)
+        while (label[label] != label).any():
+            label = label[label]
+    own = np.flatnonzero(label != np.arange(len(nodes)))
+    return np.stack([nodes[own], nodes[label[own]]])

@@ -1,10 +1,11 @@
 """N-gram Jaccard join with Bayesian candidate pruning.
 
 Documents with equal shingle sets form a class at once; only one document of a class goes on. MinHash bands bring
-classes together (a pair at the threshold is missed with a probability of about 1e-7), and documents joined by bands form
-clusters, each document in one. Within a cluster, pairs compare their MinHash values a slice at a time: a pair is
-dropped as soon as the posterior probability that its similarity reaches the threshold falls below the tolerance. The
-shingle sets of all others are compared exactly. Pairs are counted where they are found and never leave their task.
+classes into buckets (of pairs at the threshold, a band misses (1 - 0.8^5)^36 = 6e-7 if MinHash values were independent).
+The pairs of a bucket compare some MinHash values and are dropped where the posterior probability that their similarity
+reaches the threshold is below the tolerance; those left join documents into clusters. Within a cluster, pairs compare
+their values a slice at a time, with the same rule after each, and the shingle sets of all others are compared exactly.
+Pairs are counted where they are found and never leave their task.
 """
 
 from __future__ import annotations
@@ -18,13 +19,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import RID, checkpoint, modest_batches, pack, parts_for, releasing, slices, table, unpack, with_rid
-from .components import components, local_forest
+from .components import components, forest, local_forest
 from .hashing import ALNUM_BYTE, blocks, mix, prefix, span, words_of
 
 WORDS, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
 BANDS, ROWS, SLICE = 36, 5, 20
 #: Documents in one side of a unit of work.
 BLOCK = 512
+#: MinHash values that a bucket's pairs compare, members of a bucket that are compared with each other at most (beyond that
+#: the bucket is joined as it is, and its pairs are compared in their cluster), and members that a batch sends of a bucket.
+SHORT, BUCKET, SENT = 60, 1024, 64
 _RANDOM = np.random.default_rng(914)
 _FACTORS = _RANDOM.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _TERMS = _RANDOM.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
@@ -158,42 +162,69 @@ def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, tole
             for rows in blocks(list(zip(t.rid, t.text, strict=True)), lambda x: len(x[1] or ""), 1 << 19):
                 sets = shingle_sets([x for _, x in rows], words)
                 full = [k for k, s in enumerate(sets) if len(s)]
-                keys = band_keys(signatures([sets[k] for k in full])) if full else np.empty((0, BANDS), np.uint64)
-                bands = dict(zip(full, keys, strict=True))
+                sigs = signatures([sets[k] for k in full]) if full else np.empty((0, BANDS * ROWS), np.uint32)
+                bands = dict(zip(full, band_keys(sigs), strict=True))
+                short = dict(zip(full, sigs[:, :SHORT].astype(np.uint16), strict=True))
                 key = [(int(mix(s.copy()).sum().view(np.int64)), int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum().view(np.int64))) if len(s) else (0, int(r)) for s, (r, _) in zip(sets, rows, strict=True)]
-                yield pd.DataFrame({"rid": [r for r, _ in rows], "n": [len(s) for s in sets], "k1": [k for k, _ in key], "k2": [k for _, k in key], "bands": [pack(bands[k]) if k in bands else None for k in range(len(rows))]})
+                yield pd.DataFrame({"rid": [r for r, _ in rows], "n": [len(s) for s in sets], "k1": [k for k, _ in key], "k2": [k for _, k in key], "bands": [pack(bands[k]) if k in bands else None for k in range(len(rows))], "short": [pack(short[k]) if k in short else None for k in range(len(rows))]})
 
-    sketched = checkpoint(texts.mapInPandas(releasing(sketch), "rid long, n long, k1 long, k2 long, bands binary"))
-    classes = checkpoint(sketched.groupBy("n", "k1", "k2").agg(F.min("rid").alias("rep"), F.count("*").alias("copies"), F.min_by("bands", "rid").alias("bands")))
+    sketched = checkpoint(texts.mapInPandas(releasing(sketch), "rid long, n long, k1 long, k2 long, bands binary, short binary"))
+    classes = checkpoint(sketched.groupBy("n", "k1", "k2").agg(F.min("rid").alias("rep"), F.count("*").alias("copies"), F.min_by(F.struct("bands", "short"), "rid").alias("s")).select("n", "k1", "k2", "rep", "copies", "s.bands", "s.short"))
     parts = parts_for(classes.count(), 1 << 14)
 
-    def together(band: np.ndarray, rid: np.ndarray):
-        """(rows, smallest row of their band) and the (band, smallest row) pairs that remain."""
+    def runs(band: np.ndarray, rid: np.ndarray):
+        """band and rid sorted, and for each entry the size and the place of the first of its band."""
         order = np.lexsort((rid, band))
         band, rid = band[order], rid[order]
-        first = np.concatenate([[True], band[1:] != band[:-1]]) if len(band) else np.empty(0, bool)
-        leader = rid[np.flatnonzero(first)[np.cumsum(first) - 1]] if len(band) else rid
-        other = leader != rid
-        return np.unique(np.stack([rid[other], leader[other]]), axis=1), band[first], rid[first]
+        first = np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1]])) if len(band) else np.empty(0, np.int64)
+        size = np.diff(np.append(first, len(band)))
+        return band, rid, np.repeat(size, size), np.repeat(first, size)
+
+    def stars(rid: np.ndarray, first: np.ndarray, some: np.ndarray) -> np.ndarray:
+        """(member, first member) of the entries some, but those of the first itself."""
+        pairs = np.stack([rid[some], rid[first[some]]])
+        return np.unique(pairs[:, pairs[0] != pairs[1]], axis=1)
 
     def spread(batches):
         for t in batches:
             t = t[t.bands.notna()]
             if len(t):
-                (band,) = unpack(t.bands, np.uint64)
-                edges, band, rid = together(band, np.repeat(t.rep.to_numpy(), BANDS))
+                band, rid, size, first = runs(unpack(t.bands, np.uint64)[0], np.repeat(t.rep.to_numpy(), BANDS))
+                large = size > SENT
+                edges = stars(rid, first, large)
                 yield pd.DataFrame([(k, 1, pack(*edges[:, x])) for k, x in slices(edges[0] % parts)], columns=["key", "kind", "blob"])
-                bucket = ((band >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
-                yield pd.DataFrame([(k, 0, pack(band[x], rid[x])) for k, x in slices(bucket)], columns=["key", "kind", "blob"])
+                stay = ~large | (first == np.arange(len(band)))
+                band, rid = band[stay], rid[stay]
+                group = ((band >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
+                yield pd.DataFrame([(k, 0, pack(band[x], rid[x])) for k, x in slices(group)], columns=["key", "kind", "blob"])
 
     def met(t: pd.DataFrame) -> pd.DataFrame:
-        band, rid = unpack(t.blob[t.kind == 0], np.uint64, np.int64)
-        edges, _, _ = together(band, rid)
-        own = np.stack(unpack(t.blob[t.kind == 1], np.int64, np.int64))
-        edges = np.unique(np.concatenate([edges, own], axis=1), axis=1)
+        """Members (kind 0: bucket, row) of shared buckets, and pairs (kind 1) that join large ones."""
+        band, rid, size, first = runs(*unpack(t.blob[t.kind == 0], np.uint64, np.int64))
+        some = (size > 1) & (size <= BUCKET)
+        pairs = np.concatenate([stars(rid, first, size > BUCKET), np.stack(unpack(t.blob[t.kind == 1], np.int64, np.int64))], axis=1)
+        return pd.DataFrame({"kind": np.repeat([0, 1], [some.sum(), pairs.shape[1]]), "u": np.concatenate([band[some].view(np.int64), pairs[0]]), "v": np.concatenate([rid[some], pairs[1]])})
+
+    def compared(t: pd.DataFrame) -> pd.DataFrame:
+        """Members of buckets joined by pairs that may reach the threshold, with the smallest member that they reach."""
+        short = np.frombuffer(b"".join(t.short), np.uint16).reshape(len(t), SHORT)
+        rid, bucket = t.v.to_numpy(), t.u.to_numpy()
+        order = np.lexsort((rid, bucket))
+        size = np.diff(np.flatnonzero(np.concatenate([[True], bucket[order][1:] != bucket[order][:-1], [True]])))
+        after = np.repeat(size, size) - 1 - (np.arange(len(order)) - np.repeat(np.cumsum(size) - size, size))
+        edges, least = [np.empty((2, 0), np.int64)], least_matches(SHORT, threshold, tolerance)
+        for some in np.split(np.arange(len(order)), np.flatnonzero(np.diff(np.cumsum(after) // 100_000)) + 1):
+            i = np.repeat(some, after[some])
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(after[some]) - after[some], after[some])
+            i, j = order[i], order[j]
+            keep = (short[i] == short[j]).sum(axis=1) >= least
+            edges.append(forest(rid[i[keep]], rid[j[keep]]))
+        edges = forest(*np.concatenate(edges, axis=1))
         return pd.DataFrame({"u": edges[0], "v": edges[1]})
 
-    edges = classes.select("rep", "bands").mapInPandas(spread, "key long, kind int, blob binary").groupBy("key").applyInPandas(met, "u long, v long")
+    found = checkpoint(classes.select("rep", "bands").mapInPandas(spread, "key long, kind int, blob binary").repartition(parts, "key").groupBy("key").applyInPandas(met, "kind int, u long, v long"))
+    members = found.filter("kind = 0").select("u", "v").join(classes.select("rep", "short"), F.col("v") == F.col("rep")).select(F.pmod(F.col("u"), F.lit(parts)).alias("key"), "u", "v", "short")
+    edges = members.repartition(parts, "key").groupBy("key").applyInPandas(compared, "u long, v long").unionByName(found.filter("kind = 1").select("u", "v"))
     clusters = components(edges)
     sizes = clusters.groupBy("component").agg(F.count("*").alias("size"))
     placed = clusters.join(sizes, "component").join(classes.select("rep", "copies"), F.col("node") == F.col("rep")).select(F.col("node").alias("at"), "component", "size", "copies")

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from linkwright.llm import jaccard, phrases, suffix_dedup
+from linkwright.llm.components import components, forest
 from linkwright.llm.hashing import words_of
 
 from .fixtures import SCHEMA, documents, messy, write
@@ -249,3 +250,46 @@ def test_words_are_lower_cased_runs_of_letters_and_digits():
 
 def test_pruning_keeps_what_may_reach_the_threshold():
     assert jaccard.least_matches(20, 0.8, 1e-6) < 12 < jaccard.least_matches(180, 0.8, 1e-6) < 144
+
+
+def test_forest_names_components():
+    rng = np.random.default_rng(2)
+    a, b = rng.integers(0, 300, 200) * 7, rng.integers(0, 300, 200) * 7
+    links = defaultdict(set)
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        links[x].add(y)
+        links[y].add(x)
+    got = dict(forest(a, b).T.tolist())
+    assert got == {x: min(reach(links, x)) for x in links if min(reach(links, x)) != x}
+    assert forest(a[:0], b[:0]).shape == (2, 0)
+
+
+def test_loosely_similar_pages_do_not_grow_into_one_cluster(monkeypatch, spark):
+    """A chain of pages, each at 0.55 to the next: bands join them, the pairs of buckets don't."""
+    rng = random.Random(4)
+    page, texts = [f"c{rng.randrange(10**6)}" for _ in range(120)], []
+    for _ in range(300):
+        at = rng.randrange(0, 90)
+        page = page[:at] + [f"c{rng.randrange(10**6)}" for _ in range(30)] + page[at + 30 :]
+        texts.append(" ".join(page))
+    clusters = []
+    monkeypatch.setattr(jaccard, "components", lambda edges: clusters.append(components(edges)) or clusters[-1])
+    got = jaccard.join(keyed(spark, texts)).collect()
+    assert all(r["n_links"] == 0 and r["component"] == r["rid"] for r in got)
+    assert clusters[0].count() < 30
+
+
+@pytest.mark.parametrize("limits", [{"BUCKET": 3}, {"SENT": 1}])
+def test_large_buckets_lose_no_link(monkeypatch, spark, limits):
+    rng = random.Random(9)
+    base = [f"v{rng.randrange(300)}" for _ in range(150)]
+    rows = []
+    for i in range(40):
+        near = list(base)
+        for _ in range(rng.randrange(0, 8)):
+            near[rng.randrange(len(near))] = f"q{rng.randrange(50)}"
+        rows.append((i, " ".join(near)))
+    for k, v in limits.items():
+        monkeypatch.setattr(jaccard, k, v)
+    links = linked(rows)
+    assert {r["rid"]: r["n_links"] for r in jaccard.join(keyed(spark, [r[1] for r in rows])).collect()} == {i: len(links[i]) for i in range(40)}
