@@ -26,9 +26,9 @@ WORDS, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
 BANDS, ROWS, SLICE = 36, 5, 20
 #: Documents in one side of a unit of work.
 BLOCK = 512
-#: MinHash values that a bucket's pairs compare, members of a bucket that are compared with each other at most (beyond that
-#: the bucket is joined as it is, and its pairs are compared in their cluster), and members that a batch sends of a bucket.
-SHORT, BUCKET, SENT = 60, 1024, 64
+#: Members of a bucket that are compared with each other at most (beyond that the bucket is joined as it is, and its pairs
+#: are compared in their cluster), and members that a batch sends of a bucket.
+BUCKET, SENT = 1024, 64
 _RANDOM = np.random.default_rng(914)
 _FACTORS = _RANDOM.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _TERMS = _RANDOM.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
@@ -86,6 +86,21 @@ def least_matches(seen: int, threshold: float, tolerance: float) -> int:
     return seen
 
 
+def still_possible(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float, tolerance: float):
+    """The pairs (i, j) that are left when the MinHash values a[i] and b[j] have been compared, a slice at a time.
+
+    Values may be cut to their last byte: that makes one in 256 different values equal, and so drops no more pairs.
+    """
+    matches = np.zeros(len(i), np.int64)
+    for s in range(0, a.shape[1], SLICE):
+        if not len(i):
+            break
+        matches += (a[i, s : s + SLICE] == b[j, s : s + SLICE]).sum(axis=1)
+        keep = matches >= least_matches(min(s + SLICE, a.shape[1]), threshold, tolerance)
+        i, j, matches = i[keep], j[keep], matches[keep]
+    return i, j
+
+
 def _overlaps(a: list[np.ndarray], b: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Sizes of the intersections of a[i] and b[j]."""
     rows, cols = np.unique(i), np.unique(j)
@@ -114,13 +129,7 @@ def similar(a: list[np.ndarray], b: list[np.ndarray], sig_a: np.ndarray, sig_b:
         i += lo
         if within:
             i, j = i[i < j], j[i < j]
-        matches = np.zeros(len(i), np.int64)
-        for s in range(0, sig_a.shape[1], SLICE):
-            if not len(i):
-                break
-            matches += (sig_a[i, s : s + SLICE] == sig_b[j, s : s + SLICE]).sum(axis=1)
-            keep = matches >= least_matches(min(s + SLICE, sig_a.shape[1]), threshold, tolerance)
-            i, j, matches = i[keep], j[keep], matches[keep]
+        i, j = still_possible(sig_a, sig_b, i, j, threshold, tolerance)
         if len(i):
             shared = _overlaps(a, b, i, j)
             link = shared / (na[i] + nb[j] - shared) >= threshold
@@ -164,7 +173,7 @@ def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, tole
                 full = [k for k, s in enumerate(sets) if len(s)]
                 sigs = signatures([sets[k] for k in full]) if full else np.empty((0, BANDS * ROWS), np.uint32)
                 bands = dict(zip(full, band_keys(sigs), strict=True))
-                short = dict(zip(full, sigs[:, :SHORT].astype(np.uint16), strict=True))
+                short = dict(zip(full, sigs.astype(np.uint8), strict=True))
                 key = [(int(mix(s.copy()).sum().view(np.int64)), int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum().view(np.int64))) if len(s) else (0, int(r)) for s, (r, _) in zip(sets, rows, strict=True)]
                 yield pd.DataFrame({"rid": [r for r, _ in rows], "n": [len(s) for s in sets], "k1": [k for k, _ in key], "k2": [k for _, k in key], "bands": [pack(bands[k]) if k in bands else None for k in range(len(rows))], "short": [pack(short[k]) if k in short else None for k in range(len(rows))]})
 
@@ -207,18 +216,18 @@ def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, tole
 
     def compared(t: pd.DataFrame) -> pd.DataFrame:
         """Members of buckets joined by pairs that may reach the threshold, with the smallest member that they reach."""
-        short = np.frombuffer(b"".join(t.short), np.uint16).reshape(len(t), SHORT)
+        short = np.frombuffer(b"".join(t.short), np.uint8).reshape(len(t), BANDS * ROWS)
         rid, bucket = t.v.to_numpy(), t.u.to_numpy()
         order = np.lexsort((rid, bucket))
         size = np.diff(np.flatnonzero(np.concatenate([[True], bucket[order][1:] != bucket[order][:-1], [True]])))
         after = np.repeat(size, size) - 1 - (np.arange(len(order)) - np.repeat(np.cumsum(size) - size, size))
-        edges, least = [np.empty((2, 0), np.int64)], least_matches(SHORT, threshold, tolerance)
+        edges = [np.empty((2, 0), np.int64)]
         for some in np.split(np.arange(len(order)), np.flatnonzero(np.diff(np.cumsum(after) // 100_000)) + 1):
             i = np.repeat(some, after[some])
             j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(after[some]) - after[some], after[some])
             i, j = order[i], order[j]
-            keep = (short[i] == short[j]).sum(axis=1) >= least
-            edges.append(forest(rid[i[keep]], rid[j[keep]]))
+            i, j = still_possible(short, short, i, j, threshold, tolerance)
+            edges.append(forest(rid[i], rid[j]))
         edges = forest(*np.concatenate(edges, axis=1))
         return pd.DataFrame({"u": edges[0], "v": edges[1]})
 
