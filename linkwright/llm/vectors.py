@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from .common import RID, checkpoint, parts_for, table, with_rid
 from .components import components, local_forest
 
-#: Vectors in one side of a unit of work, and rows that pivots are chosen from.
-BLOCK, PIVOT_SAMPLE = 8192, 2048
+#: Vectors in one side of a unit of work, rows that pivots are chosen from for each pivot (and in all, at least).
+BLOCK, PIVOT_SAMPLE, PER_PIVOT = 8192, 2048, 4
+#: The largest component that top_k takes, and the score that stands for one beyond 64 bits until the end.
+LARGEST, BEYOND = 2.0**500, 2**63 - 1
 _UNIT = "unit string, side int, id long, dim int, vector binary"
 
 
@@ -35,6 +37,15 @@ def choose_pivots(sample: np.ndarray, n: int) -> np.ndarray:
     return sample[chosen]
 
 
+def pivots_for(n: int, cell_rows: int) -> int:
+    """How many pivots n vectors get: cells hold about cell_rows of them, or the root of n where that is more.
+
+    Pivots and what is collected to choose them so grow as the root of n (for 1e9 vectors 31,000 pivots, 16 MB at 64
+    components), and a row's distances to all pivots stay affordable.
+    """
+    return max(4, n // max(cell_rows, int(n**0.5)))
+
+
 def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     square = (x**2).sum(axis=1)[:, None] + (pivots**2).sum(axis=1)[None, :] - 2 * x @ pivots.T
     return np.sqrt(np.maximum(square, 0))
@@ -60,6 +71,8 @@ def _prepared(rows: DataFrame, unit_length: bool) -> DataFrame:
                     x = x / top if top > 0 else None
                     x = None if x is None else x / np.linalg.norm(x)
                 elif x is not None:
+                    if np.abs(x).max() >= LARGEST:
+                        raise OverflowError(f"row {i} has a component of {LARGEST:g} or more")
                     x = np.floor(256 * x)
                 if x is not None:
                     out.append((i, len(x), x.tobytes()))
@@ -122,7 +135,8 @@ def range_join(vectors: DataFrame, floor: float = 0.9, block: int = BLOCK, cell_
     n, width = clean.agg(F.count("*"), F.max("dim")).first()
     if not n:
         return vectors.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
-    pivots = choose_pivots(_sample(clean, PIVOT_SAMPLE, width), int(np.clip(n // cell_rows, 4, 256)))
+    number = pivots_for(n, cell_rows)
+    pivots = choose_pivots(_sample(clean, max(PIVOT_SAMPLE, PER_PIVOT * number), width), number)
     r = float(np.sqrt(max(0.0, 2 - 2 * floor))) + 1e-9
     spark = vectors.sparkSession
     sent = spark.sparkContext.broadcast(pivots)
@@ -263,8 +277,9 @@ def top_k(vectors: DataFrame, is_query: str, k: int = 5, block: int = BLOCK, cel
     """(query, rank, id, score) with the k highest integer inner products of each query among all other rows.
 
     Rows are (id unique, vector). Index rows are keyed by their nearest pivot and dealt out in blocks. Every query first
-    searches the cell of its own nearest pivot, which bounds its k-th score from below, then those cells and annuli
-    that could still reach it. Ties go to the smaller id. Vectors of other lengths count as padded with zeros.
+    searches the cell of its own nearest pivot, which bounds its k-th score from below. It then goes to those cells only
+    whose distances from their pivot could hold a better one, and there to such annuli. Ties go to the smaller id. Vectors
+    of other lengths count as padded with zeros. Components of 2**500 or more, and results beyond 64 bits, raise.
     """
     clean = checkpoint(_prepared(vectors.select("id", "vector"), unit_length=False))
     schema = "query long, id long, score long"
@@ -279,46 +294,70 @@ def top_k(vectors: DataFrame, is_query: str, k: int = 5, block: int = BLOCK, cel
     if not n:
         return empty
     top_norm = clean.mapInPandas(norms, "norm double").agg(F.max("norm")).first()[0] * (1 + 1e-9) + 1e-9
-    sample = _sample(clean, PIVOT_SAMPLE, width)
+    number = pivots_for(n, cell_rows)
+    sample = _sample(clean, max(PIVOT_SAMPLE, PER_PIVOT * number), width)
     lift = lambda x: np.column_stack([x, np.sqrt(np.maximum(top_norm**2 - (x**2).sum(axis=1), 0))])
-    pivots = choose_pivots(lift(sample), int(np.clip(n // cell_rows, 4, 256)))
+    pivots = choose_pivots(lift(sample), number)
     sent = vectors.sparkSession.sparkContext.broadcast(pivots)
-    queries = clean.filter(is_query)
-    n_queries = queries.count()
+
+    def asking(x: np.ndarray) -> np.ndarray:
+        """Distances of queries to all pivots."""
+        return distances(np.column_stack([x, np.zeros(len(x))]), sent.value)
 
     def home_of(batches):
         for t in batches:
             if len(t):
-                x = lift(_matrix(unpack_each(t.vector), width))
-                d = distances(x, sent.value)
-                y = x.copy()
-                y[:, -1] = 0
-                yield t.assign(cell=d.argmin(axis=1), near=distances(y, sent.value).argmin(axis=1))
-
-    indexed = checkpoint(clean.mapInPandas(home_of, "id long, dim int, vector binary, cell int, near int"))
-    sizes = {x["cell"]: x["count"] for x in indexed.groupBy("cell").count().collect()}
+                x = _matrix(unpack_each(t.vector), width)
+                d = distances(lift(x), sent.value)
+                yield t.assign(cell=d.argmin(axis=1), far=d.min(axis=1), near=asking(x).argmin(axis=1))
+
+    indexed = checkpoint(clean.mapInPandas(home_of, "id long, dim int, vector binary, cell int, far double, near int"))
+    sizes, low, high = {}, np.full(len(pivots), np.inf), np.full(len(pivots), -np.inf)
+    for x in indexed.groupBy("cell").agg(F.count("*").alias("n"), F.min("far").alias("low"), F.max("far").alias("high")).collect():
+        sizes[x["cell"]], low[x["cell"]], high[x["cell"]] = x["n"], x["low"], x["high"]
     blocks = {c: parts_for(m, block, 1) for c, m in sizes.items()}
-    query_blocks = parts_for(n_queries, block, 1)
 
     def mixed(x) -> int:
         return (int(x) * 0x9E3779B97F4A7C15 % 2**64) >> 33
 
-    def deal_rows(batches):
-        for t in batches:
-            out = []
-            for row in t.itertuples(index=False):
-                b = mixed(row.id) % blocks[row.cell]
-                out += [(f"{row.cell}/{b}/{q}", 1, row.id, 0.0, row.vector) for q in range(query_blocks)]
-            yield pd.DataFrame(out, columns=["unit", "side", "id", "floor", "vector"])
+    def cells_of(t: pd.DataFrame, first: bool) -> np.ndarray:
+        """Which cells each query visits: first that of its nearest pivot, then others in which its floor can be reached."""
+        here = t.near.to_numpy()[:, None] == np.arange(len(pivots))[None, :]
+        full = np.isfinite(low)[None, :]
+        if first:
+            return here & full
+        x = _matrix(unpack_each(t.vector), width)
+        d, square = asking(x), (x**2).sum(axis=1) + top_norm**2
+        gap = np.maximum(0, np.maximum(low[None, :] - d, d - high[None, :]) - 1e-7 * (1 + d))
+        return ~here & full & ((square[:, None] - gap**2) / 2 + 1e-6 * (1 + square)[:, None] >= t.floor.to_numpy()[:, None])
+
+    def visits(first: bool):
+        def count(batches):
+            for t in batches:
+                if len(t):
+                    yield pd.DataFrame({"cell": np.arange(len(pivots)), "n": cells_of(t, first).sum(axis=0)})
 
-    def deal_queries(first: bool):
+        return count
+
+    def deal_rows(asked: dict[int, int]):
         def deal(batches):
             for t in batches:
                 out = []
                 for row in t.itertuples(index=False):
-                    q = mixed(row.id) % query_blocks
-                    for c in sizes:
-                        if (c == row.near) == first:
+                    b = mixed(row.id) % blocks[row.cell]
+                    out += [(f"{row.cell}/{b}/{q}", 1, row.id, 0.0, row.vector) for q in range(asked.get(row.cell, 0))]
+                yield pd.DataFrame(out, columns=["unit", "side", "id", "floor", "vector"])
+
+        return deal
+
+    def deal_queries(first: bool, asked: dict[int, int]):
+        def deal(batches):
+            for t in batches:
+                out = []
+                if len(t):
+                    for row, some in zip(t.itertuples(index=False), cells_of(t, first), strict=True):
+                        for c in np.flatnonzero(some).tolist():
+                            q = mixed(row.id) % asked[c]
                             out += [(f"{c}/{b}/{q}", 0, row.id, row.floor, row.vector) for b in range(blocks[c])]
                 yield pd.DataFrame(out, columns=["unit", "side", "id", "floor", "vector"])
 
@@ -330,21 +369,25 @@ def top_k(vectors: DataFrame, is_query: str, k: int = 5, block: int = BLOCK, cel
         if not len(q) or not len(v):
             return pd.DataFrame({"query": [], "id": [], "score": []})
         found = search_unit(_matrix(unpack_each(q.vector), width), q.id.to_numpy(), q.floor.to_numpy(), _matrix(unpack_each(v.vector), width), v.id.to_numpy(), sent.value[cell], top_norm, k)
-        return pd.DataFrame([(a, i, s) for a, (ids, scores) in zip(q.id, found, strict=True) for i, s in zip(ids, scores, strict=True)], columns=["query", "id", "score"])
+        return pd.DataFrame([(a, i, int(max(-BEYOND, min(BEYOND, s)))) for a, (ids, scores) in zip(q.id, found, strict=True) for i, s in zip(ids, scores, strict=True)], columns=["query", "id", "score"])
 
     dealt = "unit string, side int, id long, floor double, vector binary"
-    rows = indexed.mapInPandas(deal_rows, dealt)
     asked = indexed.filter(is_query)
 
-    def searched(asked: DataFrame, first: bool) -> DataFrame:
-        return rows.unionByName(asked.mapInPandas(deal_queries(first), dealt)).groupBy("unit").applyInPandas(unit, schema)
+    def searched(queries: DataFrame, first: bool) -> DataFrame:
+        counts = queries.mapInPandas(visits(first), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).filter("n > 0")
+        slots = {x["cell"]: parts_for(x["n"], block, 1) for x in counts.collect()}
+        rows = indexed.mapInPandas(deal_rows(slots), dealt)
+        return rows.unionByName(queries.mapInPandas(deal_queries(first, slots), dealt)).groupBy("unit").applyInPandas(unit, schema)
 
     best = F.row_number().over(_by_score())
     near = checkpoint(searched(asked.withColumn("floor", F.lit(float("-inf"))), True).withColumn("rank", best).filter(F.col("rank") <= k))
-    floors = near.filter(F.col("rank") == k).select(F.col("query").alias("__q"), F.col("score").cast("double").alias("floor"))
-    rest = asked.join(floors, F.col("id") == F.col("__q"), "left").drop("__q").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+    floors = near.filter(F.col("rank") == k).select(F.col("query").alias("q"), F.col("score").cast("double").alias("floor"))
+    rest = checkpoint(asked.join(floors, F.col("id") == F.col("q"), "left").select(*asked.columns, F.coalesce("floor", F.lit(float("-inf"))).alias("floor")))
     both = near.select("query", "id", "score").unionByName(searched(rest, False))
-    return both.withColumn("rank", best.cast("int")).filter(F.col("rank") <= k).select("query", "rank", "id", "score")
+    beyond = F.raise_error(F.lit("a score is beyond 64 bits")).cast("long")
+    exact = F.when(F.abs("score") < F.lit(BEYOND), F.col("score")).otherwise(beyond)
+    return both.withColumn("rank", best.cast("int")).filter(F.col("rank") <= k).select("query", "rank", "id", exact.alias("score"))
 
 
 def _by_score():

@@ -92,3 +92,37 @@ def test_components_of_chains_and_stars(spark):
 def test_usable():
     assert vectors.usable(None) is None and vectors.usable([1.0, None]) is None and vectors.usable(np.array([1.0, 2.0])).tolist() == [1, 2]
     assert isinstance(vectors._link_unit(pd.DataFrame({"side": [0, 0], "id": [4, 2], "dim": [1, 1], "vector": [np.array([1.0]).tobytes()] * 2}), 0.9, 1), pd.DataFrame)
+
+
+@pytest.mark.parametrize("top", [1e8, 1e12])
+def test_top_k_of_large_components(spark, top):
+    """Scores beyond 2**53 are exact; one beyond 64 bits in a result raises, elsewhere it doesn't matter."""
+    rows = [(i, [float(i % 11) - 5, 0.125 * i, 1.0]) for i in range(60)] + [(99, [-top, 0.0, 0.0])]
+    v = spark.createDataFrame(rows, "id long, vector array<double>")
+    whole = {i: [int(np.floor(256 * c)) for c in x] for i, x in rows}
+    got = {}
+    for r in vectors.top_k(v, "id % 50 = 0").collect():
+        got.setdefault(r["query"], []).append((-r["score"], r["id"]))
+    for q in (0, 50):
+        expected = sorted((-sum(a * b for a, b in zip(whole[q], whole[i], strict=True)), i) for i in whole if i != q)[:5]
+        assert sorted(got[q]) == expected
+    wide = spark.createDataFrame([(0, [top * 1e3]), (1, [top * 1e3])], "id long, vector array<double>")
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        vectors.top_k(wide, "id = 0").collect()
+    with pytest.raises(Exception, match="component"):
+        vectors.top_k(spark.createDataFrame([(0, [1e307]), (1, [1.0])], "id long, vector array<double>"), "id = 0").collect()
+
+
+def test_queries_go_only_where_their_floor_can_be_reached(monkeypatch, spark):
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((12, 6)) * 40
+    data = centres[rng.integers(0, 12, 1200)] + rng.standard_normal((1200, 6)) * 0.2
+    rows = [(i, [float(c) for c in x]) for i, x in enumerate(data)]
+    v = spark.createDataFrame(rows, "id long, vector array<double>")
+    got = {(r["query"], r["rank"]): (r["id"], r["score"]) for r in vectors.top_k(v, "id % 50 = 0", cell_rows=100).collect()}
+    whole = np.floor(256 * data).astype(np.int64)
+    for q in range(0, 1200, 50):
+        s = whole @ whole[q]
+        order = [i for i in np.lexsort((np.arange(1200), -s)) if i != q][:5]
+        assert [got[q, k + 1] for k in range(5)] == [(i, int(s[i])) for i in order]
+    assert vectors.pivots_for(10**9, 4096) > 30_000 and vectors.pivots_for(50_000, 4096) == 12
