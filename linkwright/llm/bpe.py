@@ -18,6 +18,7 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import RID, modest_batches, releasing, table, with_rid
 
@@ -90,7 +91,7 @@ def _inner(window: str, start: int, lead: list[int], trail: list[int], path: str
 
 
 def encode(docs: DataFrame, path: str = VOCABULARY, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """doc_id and ids (binary: little-endian unsigned 32-bit integers) of each row of docs.
+    """doc_id and ids (binary: little-endian unsigned 32-bit integers) of each row of docs. doc_ids that are no integers are text.
 
     A null text counts as empty and has no ids. Repeated and null doc_ids keep a row each; other columns are ignored.
     """
@@ -110,24 +111,29 @@ def decode(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
 def _encoded(docs: DataFrame, path: str, chunk: int, overlap: int, digest: bool) -> DataFrame:
     if not 0 < overlap < chunk:
         raise ValueError("overlap must be positive and below chunk")
-    docs = modest_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "doc_id long, ids binary"
+    whole_ids = isinstance(docs.schema["doc_id"].dataType, T.IntegralType)
+    id_type, id_kind = ("long", "Int64") if whole_ids else ("string", "object")
+    docs = modest_batches(docs).select(F.col("doc_id").cast(id_type).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    schema = f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else f"doc_id {id_type}, ids binary"
+
+    def own(x):
+        return None if pd.isna(x) else int(x) if whole_ids else x
 
     def result(ids: list, blobs: list[bytes]) -> pd.DataFrame:
         if not digest:
-            return pd.DataFrame({"doc_id": pd.Series(ids, dtype="Int64"), "ids": blobs})
+            return pd.DataFrame({"doc_id": pd.Series(ids, dtype=id_kind), "ids": blobs})
         hexed = lambda x: hashlib.sha256(x).hexdigest()
-        return pd.DataFrame({"doc_id": pd.Series(ids, dtype="Int64"), "n_tokens": [len(b) // 4 for b in blobs], "ids_sha256": [hexed(b) for b in blobs], "decoded_sha256": [hexed(decode_ids(b, path)) for b in blobs]})
+        return pd.DataFrame({"doc_id": pd.Series(ids, dtype=id_kind), "n_tokens": [len(b) // 4 for b in blobs], "ids_sha256": [hexed(b) for b in blobs], "decoded_sha256": [hexed(decode_ids(b, path)) for b in blobs]})
 
     def whole(batches):
         for t in batches:
-            yield result([None if pd.isna(x) else int(x) for x in t.doc_id], [encode_text(x or "", path) for x in t.text])
+            yield result([own(x) for x in t.doc_id], [encode_text(x or "", path) for x in t.text])
 
     def cut(batches):
         for t in batches:
             for rid, doc, text in zip(t[RID], t.doc_id, t.text, strict=True):
                 parts = chunks_of(text, chunk, overlap)
-                yield pd.DataFrame([(rid, doc, k, len(parts), *x) for k, x in enumerate(parts)], columns=["rid", "doc_id", "k", "n", "start", "end", "window"]).astype({"doc_id": "Int64"})
+                yield pd.DataFrame([(rid, doc, k, len(parts), *x) for k, x in enumerate(parts)], columns=["rid", "doc_id", "k", "n", "start", "end", "window"]).astype({"doc_id": id_kind})
 
     def inner(batches):
         for t in batches:
@@ -135,16 +141,16 @@ def _encoded(docs: DataFrame, path: str, chunk: int, overlap: int, digest: bool)
             for r in t.to_dict("records"):
                 lead, trail = pretokenise(r["window"], r["start"], r["end"], overlap, r["k"] == 0, r["k"] == r["n"] - 1)
                 rows.append(r | {"lead": lead, "trail": trail, "ids": _inner(r["window"], r["start"], lead, trail, path)})
-            yield pd.DataFrame(rows, columns=[*t.columns, "lead", "trail", "ids"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=[*t.columns, "lead", "trail", "ids"]).astype({"doc_id": id_kind})
 
     def one(t: pd.DataFrame) -> pd.DataFrame:
         rows = [r | {"lead": list(r["lead"]), "trail": list(r["trail"])} for r in t.sort_values("k").to_dict("records")]
-        return result([None if pd.isna(rows[0]["doc_id"]) else int(rows[0]["doc_id"])], [stitch(rows, path)])
+        return result([own(rows[0]["doc_id"])], [stitch(rows, path)])
 
     length = F.coalesce(F.length("text"), F.lit(0))
     short = docs.filter(length <= chunk).mapInPandas(releasing(whole), schema)
     long = with_rid(docs.filter(length > chunk), "doc_id", "text")
-    kind = "rid long, doc_id long, k int, n int, start long, end long, window string"
+    kind = f"rid long, doc_id {id_type}, k int, n int, start long, end long, window string"
     parts = long.mapInPandas(cut, kind)
     parts = parts.repartition(F.col("rid"), F.col("k")).mapInPandas(releasing(inner), kind + ", lead array<long>, trail array<long>, ids binary")
     return short.unionByName(parts.groupBy("rid").applyInPandas(one, schema))

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 RID = "__rid"
 
@@ -18,13 +21,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a folder of our own only where it is unset."""
+    """The folder that spark.checkpoint.dir names. Where it is unset, a local master gets a folder of its own; a cluster raises."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="linkwright-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="linkwright-"))
     return context.getCheckpointDir()
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of ours in the shared store, if it is there."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def sheltered(docs: DataFrame, named: tuple[str, ...]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with the columns not in named under names that clash with nothing, and what gives them back their names and order."""
+    names = {c: c if c in named else f"__other_{i}" for i, c in enumerate(docs.columns)}
+    inner = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    return inner, lambda out: out.select(*[F.col(n).alias(c) for c, n in names.items()])
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in shared_folder()."""
     shared_folder(df.sparkSession)
@@ -34,26 +53,31 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def with_rid(df: DataFrame, key: str, then: str) -> DataFrame:
     """Add a unique long row key that sorts as ``key`` does.
 
-    It is ``key`` itself where that is unique and never null. Otherwise rows are ranked by ``key`` (null first), then by
+    It is ``key`` itself where that is an integer, unique and never null. Otherwise rows are ranked by ``key`` (null first), then by
     a hash of ``then`` (short, as sorting samples its keys): rows that repeat an id are told apart, and equal rows are
     interchangeable.
     """
     odd = df.groupBy(key).count().filter((F.col("count") > 1) | F.col(key).isNull())
-    if odd.isEmpty():
+    if isinstance(df.schema[key].dataType, T.IntegralType) and odd.isEmpty():
         return df.withColumn(RID, F.col(key).cast("long"))
     ranked = df.orderBy(F.col(key).asc_nulls_first(), F.xxhash64(then))
     return checkpoint(ranked.withColumn(RID, F.monotonically_increasing_id()))
 
 
-#: Rows in an Arrow batch at most: texts may be long.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch at most: texts may be long.
+BATCH_ROWS, BATCH_BYTES = 1000, 32 << 20
 
 
 def modest_batches(df: DataFrame) -> DataFrame:
-    """df, with Arrow batches of its session held to BATCH_ROWS rows, so that a batch of long texts fits a worker."""
-    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
-    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
-        conf.set(name, str(BATCH_ROWS))
+    """df, with Arrow batches of its session held to BATCH_ROWS and BATCH_BYTES, so that a batch of long texts fits a worker.
+
+    Plans run after we return, so that the session keeps these settings; smaller ones stay.
+    """
+    conf = df.sparkSession.conf
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = re.sub(r"[^0-9]", "", conf.get(name))
+        if not (now and 0 < int(now) <= most):
+            conf.set(name, str(most))
     return df
 
 

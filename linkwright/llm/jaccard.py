@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import RID, checkpoint, modest_batches, pack, parts_for, releasing, slices, table, unpack, with_rid
+from .common import RID, checkpoint, modest_batches, pack, parts_for, releasing, sheltered, slices, table, unpack, with_rid
 from .components import components, forest, local_forest
 from .hashing import ALNUM_BYTE, blocks, mix, prefix, span, words_of
 
@@ -278,9 +278,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     All columns stay. Rows without a word stay, as they link with nothing.
     """
-    keyed = with_rid(docs, "doc_id", "text")
+    inner, back = sheltered(docs, ("doc_id", "text"))
+    keyed = with_rid(inner, "doc_id", "text")
     kept = join(keyed).filter("rid = component").select("rid")
-    return keyed.join(kept, keyed[RID] == kept["rid"], "left_semi").select(*docs.columns)
+    return back(keyed.join(kept, keyed[RID] == kept["rid"], "left_semi"))
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

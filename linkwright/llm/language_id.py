@@ -7,18 +7,25 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import modest_batches, pack, releasing, table, unpack
+from .common import modest_batches, releasing, table
 from .hashing import mix
 
 UNDETERMINED = "und"
 #: Labelled rows of each language that the classifier is fitted on, about.
 SAMPLE_ROWS = 5000
 BUCKETS, ORDERS, SMOOTHING = 1 << 15, (1, 2, 3), 0.5
-_BLOCK = 1 << 18
+#: n-grams whose evidence counts at most in a score; letters of the runs that tell a text's languages apart, about.
+EVIDENCE, RUN = 30, 240
+BEHIND = max(ORDERS) - 1
+#: Letters and texts that are counted at a time.
+_BLOCK, _ROWS, _SLICE = 1 << 18, 16, 1 << 20
 
 
 def letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of the lower-cased texts with every run of other characters as one space, and offsets."""
+    """Code points of the lower-cased texts with every run of other characters as one space, and offsets.
+
+    BEHIND more spaces follow each text; they count as part of it in the offsets.
+    """
     whole = " ".join(["", *[x.lower().replace("\x00", " ") for x in texts], ""])
     codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
     offsets = np.concatenate([[1], 1 + np.cumsum([len(x.lower()) + 1 for x in texts])]).astype(np.int64)
@@ -28,7 +35,12 @@ def letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     keep[1:] |= is_letter[:-1]
     keep[0] = True
     place = np.concatenate([[0], np.cumsum(keep)])
-    return codes[keep], place[offsets]
+    codes, offsets = codes[keep], place[offsets]
+    # Spaces behind each text, so that no n-gram reaches into the next.
+    apart = np.full(len(codes) + BEHIND * len(texts), 32, np.uint64)
+    moved = np.arange(len(codes)) + BEHIND * np.searchsorted(offsets[1:-1], np.arange(len(codes)), "right")
+    apart[moved] = codes
+    return apart, offsets + BEHIND * np.arange(len(offsets))
 
 
 _TABLE: list[np.ndarray] = []
@@ -40,22 +52,39 @@ def _letter_table() -> np.ndarray:
     return _TABLE[0]
 
 
-def grams(codes: np.ndarray, buckets: int):
-    """For each order the bucket of the n-gram that starts at each place."""
-    rolled = np.zeros(len(codes), np.uint64)
-    for n in ORDERS:
-        shifted = np.full(len(codes), 32, np.uint64)
-        shifted[: len(codes) - n + 1] = codes[n - 1 :]
+def grams(codes: np.ndarray, buckets: int, order: int, lo: int, hi: int) -> np.ndarray:
+    """The buckets of the n-grams of this order that start at places lo to hi; spaces follow the end."""
+    rolled = np.zeros(hi - lo, np.uint64)
+    for n in range(order):
+        shifted = np.full(hi - lo, 32, np.uint64)
+        here = codes[lo + n : hi + n]
+        shifted[: len(here)] = here
         rolled = rolled * np.uint64(0x100000001B3) + shifted
-        yield (mix(rolled + np.uint64(n)) & np.uint64(buckets - 1)).astype(np.int64)
+    return (mix(rolled + np.uint64(order)) & np.uint64(buckets - 1)).astype(np.int64)
+
+
+def rows_of(offsets: np.ndarray) -> np.ndarray:
+    """The number of the text at each place from offsets[0] on; -1 for the spaces behind it."""
+    out = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    for k in range(1, BEHIND + 1):
+        out[offsets[1:] - offsets[0] - k] = -1
+    return out
+
+
+def count_rows(codes: np.ndarray, first: int, rows: np.ndarray, number: int, buckets: int, order: int) -> np.ndarray:
+    """number rows of counts by bucket: how often n-grams of this order start at the places of each row. Long texts go in slices."""
+    out = np.zeros(number * buckets)
+    for lo in range(0, len(rows), _SLICE):
+        some = rows[lo : lo + _SLICE]
+        found = grams(codes, buckets, order, first + lo, first + lo + len(some))
+        out += np.bincount((some * buckets + found)[some >= 0], minlength=len(out))
+    return out.reshape(-1, buckets)
 
 
 def counts_of(texts: list[str], buckets: int) -> np.ndarray:
-    total = np.zeros(buckets, np.int64)
-    codes, _ = letters(texts)
-    for g in grams(codes, buckets):
-        total += np.bincount(g, minlength=buckets)
-    return total
+    codes, offsets = letters(texts)
+    rows = np.minimum(rows_of(offsets), 0)
+    return sum(count_rows(codes, int(offsets[0]), rows, 1, buckets, order)[0] for order in ORDERS).astype(np.int64)
 
 
 def fit(labelled: DataFrame, per_language: int = SAMPLE_ROWS, buckets: int = BUCKETS) -> tuple[list[str], np.ndarray]:
@@ -81,37 +110,74 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE_ROWS, buckets: int = BUC
                 for lo in range(0, len(rows), 64):
                     got = counts_of(list(rows.text[lo : lo + 64]), buckets)
                     total[lang] = total[lang] + got if lang in total else got
-        yield pd.DataFrame({"lang": list(total), "counts": [pack(x) for x in total.values()]})
+        for lang, x in total.items():
+            some = np.flatnonzero(x)
+            yield pd.DataFrame({"lang": lang, "bucket": some, "n": x[some]})
 
     sums = {k: np.zeros(buckets) for k in names}
-    for r in sample.mapInPandas(releasing(count), "lang string, counts binary").toLocalIterator():
-        sums[r["lang"]] += unpack([r["counts"]], np.int64)[0]
+    for lang, t in sample.mapInPandas(releasing(count), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas().groupby("lang"):
+        sums[lang][t.bucket.to_numpy()] = t.n.to_numpy()
     logs = [np.log(sums[k] + SMOOTHING) - np.log(sums[k].sum() + SMOOTHING * buckets) for k in names]
     return names, np.stack(logs, axis=1).astype(np.float32)
 
 
-def predict_texts(texts: list[str | None], names: list[str], logs: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """(language, score) of each text; score is the posterior under equal priors."""
-    langs, scores = [], []
+def usual_fit(logs: np.ndarray) -> np.ndarray:
+    """What a language's own n-grams have on average as log probability."""
+    return (np.exp(logs.astype(np.float64)) * logs).sum(axis=0)
+
+
+def shares(codes: np.ndarray, offsets: np.ndarray, logs: np.ndarray, best: np.ndarray) -> np.ndarray:
+    """The share of each text's runs of about RUN letters whose trigrams are likeliest in its language best."""
+    size = np.diff(offsets) - BEHIND
+    runs = np.maximum(1, np.round(size / RUN)).astype(np.int64) * (size > 0)
+    text = np.repeat(np.arange(len(size)), runs)
+    nth = np.arange(len(text)) - np.repeat(np.cumsum(runs) - runs, runs)
+    starts = offsets[text] + nth * size[text] // runs[text]
+    if not len(starts):
+        return np.zeros(len(size))
+    ends = np.append(starts[1:], offsets[-1])  # spaces behind a text count with its last run
+    sums = np.empty((len(starts), logs.shape[1]))
+    for lo in range(0, len(starts), _SLICE // RUN):
+        a, b = starts[lo], ends[min(lo + _SLICE // RUN, len(starts)) - 1]
+        sums[lo : lo + _SLICE // RUN] = np.add.reduceat(logs[grams(codes, len(logs), ORDERS[-1], a, b)], starts[lo : lo + _SLICE // RUN] - a, axis=0)
+    won = sums.argmax(axis=1) == best[text]
+    return np.where(runs == 1, 1.0, np.bincount(text, won, len(size)) / np.maximum(runs, 1))
+
+
+def predict_texts(texts: list[str | None], names: list[str], logs: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """(language, score, fit, share) of each text.
+
+    score is the posterior under equal priors if no more than EVIDENCE n-grams spoke, as neighbouring n-grams share
+    letters. fit is how likely an n-gram of the text is in the language (mean log probability), less what is usual there. share is
+    that of the text's runs which are in its language by themselves.
+    """
+    langs, scores, fits, parts = [], [], [], []
     block: list[str] = []
+    usual = usual_fit(logs)
 
     def flush():
         codes, offsets = letters(block)
-        sums = np.zeros((len(block), len(names)))
-        seen = np.zeros(len(block), np.int64)
         is_letter = np.concatenate([[0], np.cumsum(codes != 32)])
         seen = is_letter[offsets[1:]] - is_letter[offsets[:-1]]
-        if names and len(codes):
-            for g in grams(codes, len(logs)):
-                for j in range(len(names)):
-                    run = np.concatenate([[0.0], np.cumsum(logs[g, j], dtype=np.float64)])
-                    sums[:, j] += run[offsets[1:]] - run[offsets[:-1]]
+        sums = np.zeros((len(block), len(names)))
+        for lo in range(0, len(block) if names else 0, _ROWS):
+            some = offsets[lo : lo + _ROWS + 1]
+            rows = rows_of(some)
+            for order in ORDERS:
+                sums[lo : lo + _ROWS] += count_rows(codes, int(some[0]), rows, len(some) - 1, len(logs), order) @ logs
+        if names:
+            number = np.maximum(1, len(ORDERS) * (np.diff(offsets) - BEHIND))[:, None]
             best = sums.argmax(axis=1)
-            chance = 1 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
+            odds = (sums - sums.max(axis=1, keepdims=True)) * np.minimum(1, EVIDENCE / number)
+            chance = 1 / np.exp(odds).sum(axis=1)
+            fit = (sums / number)[np.arange(len(block)), best] - usual[best]
+            share = shares(codes, offsets, logs, best)
         for i in range(len(block)):
             known = bool(names) and seen[i] > 0
             langs.append(names[best[i]] if known else UNDETERMINED)
             scores.append(float(chance[i]) if known else 0.0)
+            fits.append(float(fit[i]) if known else -np.inf)
+            parts.append(float(share[i]) if known else 0.0)
 
     size = 0
     for x in texts:
@@ -122,23 +188,22 @@ def predict_texts(texts: list[str | None], names: list[str], logs: np.ndarray) -
             block, size = [], 0
     if block:
         flush()
-    return langs, np.array(scores)
+    return langs, np.array(scores), np.array(fits), np.array(parts)
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
-    """Adds struct __lid (lang_pred, score) to every row of docs, whatever its other columns.
+def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], name: str = "__lid") -> DataFrame:
+    """Adds struct ``name`` (lang_pred, score, fit, share) to every row of docs, in place of a column of that name.
 
-    Null texts and texts without a letter get ``und`` and 0.0, as all do if nothing was learned. Ties go to the
-    language that comes first by code point.
+    Null texts and texts without a letter get ``und``, 0.0, -inf and 0.0, as all do if nothing was learned. Ties go to the
+    language that comes first by code point. Repeated rows get equal results; long texts are counted in slices.
     """
     sent = modest_batches(docs).sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, fit double, share double")
     def predicted(texts: pd.Series) -> pd.DataFrame:
-        langs, scores = predict_texts([None if x is None else x for x in texts], *sent.value)
-        return pd.DataFrame({"lang_pred": langs, "score": scores})
+        return pd.DataFrame(dict(zip(("lang_pred", "score", "fit", "share"), predict_texts([None if x is None else x for x in texts], *sent.value), strict=True)))
 
-    return docs.withColumn("__lid", predicted(F.col("text").cast("string")))
+    return docs.withColumn(name, predicted(F.col("text").cast("string")))
 
 
 def held_out(folds: int, fold: int) -> F.Column:
@@ -147,6 +212,7 @@ def held_out(folds: int, fold: int) -> F.Column:
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row of each document, repeated and null ids included; a null doc_id is in no held-out fold."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out(3, 1))
     model = fit(docs.filter(~F.col("held_out")))
     return identify(docs.drop("lang"), model).select("doc_id", "held_out", F.col("__lid.lang_pred").alias("lang_pred"), F.col("__lid.score").alias("score"))

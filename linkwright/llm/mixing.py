@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import RID, checkpoint, table, with_rid
+from .common import RID, checkpoint, sheltered, table, with_rid
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, SHARE, MOST_EPOCHS, SEED = (3.0, 1.0, 2.0), 1.5, 2.0, 17
@@ -55,11 +55,10 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     sized = docs.withColumn("__size", F.coalesce(F.regexp_count("text", F.lit(WORD)).cast("long"), F.lit(0).cast("long")))
     digits = F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("doc_id"), F.col("text")).cast("binary")), 1, 13)
     chance = (F.conv(digits, 16, 10).cast("long") + 0.5) / F.lit(float(2**52))
-    sized = sized.withColumn("__key", -F.log(chance) / quality())
-    spread = sized.repartitionByRange(F.col("source"), F.col("__key")).sortWithinPartitions("source", "__key", "doc_id")
-    light = spread.select("doc_id", "source", "__size", "__key", F.spark_partition_id().alias("__pid"), F.monotonically_increasing_id().alias("__nth"))
-    light = checkpoint(light)
-    return _taken(light)
+    keys = checkpoint(sized.select("doc_id", "source", "__size", (-F.log(chance) / quality()).alias("__key")))
+    # Range partitions sample their input first: texts are read and hashed once, before.
+    spread = keys.repartitionByRange(F.col("source"), F.col("__key")).sortWithinPartitions("source", "__key", "doc_id")
+    return _taken(checkpoint(spread.select("*", F.spark_partition_id().alias("__pid"), F.monotonically_increasing_id().alias("__nth"))))
 
 
 def repeated(docs: DataFrame, seed: int = SEED) -> DataFrame:
@@ -67,7 +66,8 @@ def repeated(docs: DataFrame, seed: int = SEED) -> DataFrame:
 
     All columns stay; n_chars, if present, follows a cut text. Documents without a word are not taken.
     """
-    keyed = with_rid(docs, "doc_id", "text")
+    inner, back = sheltered(docs, ("doc_id", "text", "source", "n_chars"))
+    keyed = with_rid(inner, "doc_id", "text")
     plan = mix(keyed.withColumn("doc_id", F.col(RID)), seed).select(F.col("doc_id").alias("__id"), F.col("__size").alias("__n"), "taken").filter("taken > 0")
     joined = keyed.join(plan, F.col(RID) == F.col("__id"))
     whole, rest = F.floor(F.col("taken") / F.col("__n")).cast("int"), (F.col("taken") % F.col("__n")).cast("int")
@@ -76,7 +76,7 @@ def repeated(docs: DataFrame, seed: int = SEED) -> DataFrame:
     out = out.withColumn("text", F.when(F.col("__words") < F.col("__n"), _first_words(F.col("text"), F.col("__words"))).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return back(out)
 
 
 def _first_words(text: Column, n: Column) -> Column:

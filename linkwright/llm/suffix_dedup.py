@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import BATCH_BYTES, ROWS, Dealt, Kind, arrow, batches_by, contexts, frame, merged, new_among, rows_of, runs_by_row, sorted_once
-from .common import release, slices, table, unpack, with_rid
+from .common import release, sheltered, slices, table, unpack, with_rid
 from .hashing import BYTE_CODES, mix, prefix, span
 
 LENGTH, GRAM, SEGMENT = 100, 32, 1 << 20
@@ -315,15 +315,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     Order is by doc_id (null first; rows that repeat one by a hash of text), then by place. Where a cut splits a character,
     its remaining bytes go too. A null text stays null; n_chars, if present, follows the text. Other columns stay.
     """
-    others = [c for c in docs.columns if c != "text"]
+    inner, back = sheltered(docs, ("doc_id", "text", "n_chars"))
 
     def kept(text, runs):
         return (None if text is None else without(text, runs).decode("utf-8", "ignore"),)
 
-    out = _spans(with_rid(docs, "doc_id", "text"), length, kept, "text string", others)
+    out = _spans(with_rid(inner, "doc_id", "text"), length, kept, "text string", [c for c in inner.columns if c != "text"])
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return back(out)
 
 
 def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:

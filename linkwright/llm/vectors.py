@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import RID, checkpoint, parts_for, table, with_rid
 from .components import components, local_forest
@@ -208,8 +209,9 @@ def range_join(vectors: DataFrame, floor: float = 0.9, block: int = BLOCK, cell_
 
 
 def keyed(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """(id unique, key, vector) of each row."""
-    df = df.select(F.col(key).cast("long").alias("key"), F.col(vector).alias("vector"))
+    """(id unique, key, vector) of each row; keys that are no integers stay text, in whose order ids are."""
+    whole = isinstance(df.schema[key].dataType, T.IntegralType)
+    df = df.select(F.col(key).cast("long" if whole else "string").alias("key"), F.col(vector).alias("vector"))
     return with_rid(df, "key", "vector").select(F.col(RID).alias("id"), "key", "vector")
 
 
@@ -397,11 +399,11 @@ def _by_score():
 def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that repeat a vec_id or lack one are told apart; a null vec_id is never a query."""
     rows = keyed(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
-    if rows.filter("not (id <=> key)").isEmpty():
+    if rows.filter("not (id <=> try_cast(key as long))").isEmpty():
         found = top_k(rows, "id % 50 = 0")
         return found.select(F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score")
     # Twice the row key orders as the row key does, and its last bit tells queries.
-    marked = rows.withColumn("id", F.col("id") * 2 + F.coalesce((F.col("key") % 50 == 0).cast("int"), F.lit(0)))
+    marked = rows.withColumn("id", F.col("id") * 2 + F.coalesce(F.expr("try_cast(key as long) % 50 = 0").cast("int"), F.lit(0)))
     found = top_k(marked, "id % 2 = 1")
     names = lambda a, b: marked.select(F.col("id").alias(a), F.col("key").alias(b))
     return found.join(names("query", "query_id"), "query").join(names("id", "vec_id"), "id").select("query_id", "rank", "vec_id", "score")

@@ -70,6 +70,30 @@ def test_language_scores_do_not_depend_on_neighbours():
     for i, x in enumerate(texts):
         alone = language_id.predict_texts([x], *model)
         assert alone[0][0] == together[0][i] and math.isclose(alone[1][0], together[1][i], abs_tol=1e-6)
+        assert np.isclose(alone[2][0], together[2][i]) and alone[3][0] == together[3][i]
+
+
+@pytest.mark.parametrize("slice_", [7, 1 << 20])
+def test_naive_bayes_by_hand(monkeypatch, slice_):
+    """Counts of lower-cased letters with one space for everything else, whatever the slices."""
+    monkeypatch.setattr(language_id, "_SLICE", slice_ * 240 if slice_ < 100 else slice_)
+    buckets, texts = 64, ["Ab, c!", "zz top AB", "ß", "ab" * 900]
+    logs = np.log(np.random.default_rng(1).dirichlet(np.ones(buckets), 3)).T.astype(np.float32)
+    langs, scores, fits, _ = language_id.predict_texts(texts, ["x", "y", "z"], logs)
+
+    def bucket(gram):
+        value = 0
+        for c in gram:
+            value = (value * 0x100000001B3 + ord(c)) % 2**64
+        return int(language_id.mix(np.array([value + len(gram)], np.uint64))[0]) % buckets
+
+    for i, x in enumerate(texts):
+        text = re.sub("[^a-zß]+", " ", x.lower()).strip() + " "
+        grams = [(text + "  ")[k : k + n] for n in (1, 2, 3) for k in range(len(text))]
+        sums = sum(logs[bucket(g)].astype(float) for g in grams)
+        odds = np.exp((sums - sums.max()) * min(1, language_id.EVIDENCE / len(grams)))
+        assert langs[i] == "xyz"[sums.argmax()] and math.isclose(scores[i], 1 / odds.sum(), rel_tol=1e-4)
+        assert math.isclose(fits[i], sums.max() / len(grams) - (np.exp(logs) * logs).sum(axis=0)[sums.argmax()], rel_tol=1e-3)
 
 
 def filled(sizes, weights=(3.0, 1.0, 2.0)):
