@@ -7,8 +7,8 @@ states of all lines together, so that a line without a marker, or a word that on
 
 from __future__ import annotations
 
-import hashlib
 import re
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -27,16 +27,40 @@ _END = re.compile(r"\s*(?:<\|(?:im_)?end\|>|</(?:user|assistant|system)>)\s*$",
 #: Turns of one conversation that are parsed together; a longer one is parsed in segments by turn number.
 SEGMENT = 4096
 
-# States 0-2 open a turn of a role, 3-5 continue it.
-_START = np.log(np.array([0.15, 0.65, 0.14, 0.01, 0.03, 0.02]))
-_NEXT_ROLE = np.array([[0.02, 0.88, 0.10], [0.02, 0.08, 0.90], [0.01, 0.94, 0.05]])
-_OPEN = 0.35
-_MOVE = np.log(np.vstack([np.hstack([_OPEN * _NEXT_ROLE, (1 - _OPEN) * np.eye(3) + 1e-6])] * 2))
-#: P(marker of the same role, of another role, none) of lines that open a turn and of those that go on.
-_MARK = np.log(np.array([[0.80, 0.01, 0.19], [0.01, 0.01, 0.98]]))
-#: P(feature | state) for: a blank line before, ends with '?', more than 200 characters, starts like code or a list, blank.
-_FEATURES = np.array([[0.92, 0.05, 0.35, 0.05, 0.01], [0.92, 0.30, 0.10, 0.04, 0.01], [0.92, 0.06, 0.40, 0.15, 0.01], [0.05, 0.04, 0.30, 0.25, 0.3], [0.05, 0.12, 0.12, 0.15, 0.3], [0.05, 0.05, 0.35, 0.30, 0.3]])
-_YES, _NO = np.log(_FEATURES), np.log(1 - _FEATURES)
+
+
+@dataclass(frozen=True)
+class Tables:
+    """Log probabilities of the model. States 0-2 open a turn of a role, 3-5 continue it.
+
+    mark: of a marker of the state's role, of another role, of none; yes and no: of the features of a line.
+    """
+
+    start: np.ndarray
+    move: np.ndarray
+    mark: np.ndarray
+    yes: np.ndarray
+    no: np.ndarray
+
+
+#: Features of a line, in this order: behind a blank line, ends with '?', more than 200 characters, starts like code or a list, blank.
+FEATURES = 5
+#: How often start, transition, marker kind and feature are seen with each state, in one vector of counts.
+_SHAPES = {"start": (6,), "move": (6, 6), "mark": (6, 3), "yes": (6, FEATURES), "lines": (6,)}
+_SIZES = [int(np.prod(s)) for s in _SHAPES.values()]
+
+
+def tables_of(counts: np.ndarray, prior: float = 0.5) -> Tables:
+    """Tables from counts, each with ``prior`` added; without counts all states are alike but for what markers say."""
+    parts = dict(zip(_SHAPES, np.split(counts.astype(float), np.cumsum(_SIZES)[:-1]), strict=True))
+    start, move, mark, yes, lines = (parts[k].reshape(s) for k, s in _SHAPES.items())
+    share = lambda x: np.log((x + prior) / (x + prior).sum(axis=-1, keepdims=True))
+    told = (yes + prior) / (lines[:, None] + 2 * prior)
+    return Tables(share(start), share(move), share(mark + _BELIEF), np.log(told), np.log(1 - told))
+
+
+#: What markers say before anything is seen: one line's worth.
+_BELIEF = np.array([[0.8, 0.01, 0.19]] * 3 + [[0.01, 0.01, 0.98]] * 3)
 _CODE = re.compile(r"\s*(?:[-*•]\s|\d+[.)]\s|```|    |\t|def |class |import )")
 
 
@@ -48,22 +72,25 @@ def marker_of(line: str) -> tuple[int, int]:
     return -1, 0
 
 
-def emissions(lines: list[str]) -> tuple[np.ndarray, list[tuple[int, int]]]:
+def observed(lines: list[str]) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """(features, kind of marker by state, markers) of lines."""
     marks = [marker_of(x) for x in lines]
     seen = np.array([[k > 0 and not lines[k - 1].strip(), x.rstrip().endswith("?"), len(x) > 200, bool(_CODE.match(x)), not x.strip()] for k, x in enumerate(lines)], float)
-    logs = seen @ _YES.T + (1 - seen) @ _NO.T
-    role = np.array([m[0] for m in marks])
-    for state in range(6):
-        kind = np.where(role < 0, 2, np.where(role == state % 3, 0, 1))
-        logs[:, state] += _MARK[state // 3][kind]
-    return logs, marks
+    role = np.array([m[0] for m in marks])[:, None]
+    kind = np.where(role < 0, 2, np.where(role == np.arange(6) % 3, 0, 1))
+    return seen, kind, marks
+
 
+def emissions(lines: list[str], tables: Tables) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    seen, kind, marks = observed(lines)
+    return seen @ tables.yes.T + (1 - seen) @ tables.no.T + tables.mark[np.arange(6)[None, :], kind], marks
 
-def viterbi(logs: np.ndarray) -> np.ndarray:
+
+def viterbi(logs: np.ndarray, tables: Tables) -> np.ndarray:
     """The likeliest states; ties fall to the smaller state."""
-    best, back = _START + logs[0], np.zeros(logs.shape, np.int8)
+    best, back = tables.start + logs[0], np.zeros(logs.shape, np.int8)
     for t in range(1, len(logs)):
-        ways = best[:, None] + _MOVE
+        ways = best[:, None] + tables.move
         back[t] = ways.argmax(axis=0)
         best = ways.max(axis=0) + logs[t]
     path = np.empty(len(logs), np.int64)
@@ -73,14 +100,64 @@ def viterbi(logs: np.ndarray) -> np.ndarray:
     return path
 
 
-def parse(transcript: str | None) -> list[tuple[str, str]]:
+def lines_of(transcript: str) -> list[str]:
+    return re.split(r"\r\n|\r|\n", transcript)
+
+
+def counted(turns: list[tuple[str | None, str]]) -> np.ndarray:
+    """Counts of one transcript, written as these (role, text) with markers and blank lines, with the states of its lines.
+
+    A turn's first line that isn't blank opens it, what is blank before it goes on with the turn before. Turns without a
+    known role teach nothing, nor does the step to the turn behind them.
+    """
+    lines, states = [], []
+    for role, text in turns:
+        number, opened = ROLES.index(role) if role in ROLES else -1, False
+        for line in lines_of(text):
+            lines.append(line)
+            if not opened and line.strip():
+                states.append(number)
+                opened = True
+            else:
+                states.append(-1 if number < 0 else number + 3 if opened else states[-1] % 3 + 3 if states and states[-1] >= 0 else -1)
+    counts = {k: np.zeros(s) for k, s in _SHAPES.items()}
+    if lines:
+        seen, kind, _ = observed(lines)
+        state = np.array(states)
+        known = np.flatnonzero(state >= 0)
+        if state[0] >= 0:
+            counts["start"][state[0]] += 1
+        both = np.flatnonzero((state[1:] >= 0) & (state[:-1] >= 0))
+        np.add.at(counts["move"], (state[both], state[both + 1]), 1)
+        np.add.at(counts["mark"], (state[known], kind[known, state[known]]), 1)
+        np.add.at(counts["yes"], state[known], seen[known])
+        np.add.at(counts["lines"], state[known], 1)
+    return np.concatenate([counts[k].ravel() for k in _SHAPES])
+
+
+def fit(written: DataFrame) -> Tables:
+    """Tables from rows (roles, lines: arrays of what was written as each turn); counts of all rows, summed in the cluster."""
+
+    def count(batches):
+        total = np.zeros(sum(_SIZES))
+        for t in batches:
+            for roles, texts in zip(t.roles, t.lines, strict=True):
+                total += counted(list(zip(roles, texts, strict=True)))
+        yield pd.DataFrame({"place": np.arange(len(total)), "n": total})
+
+    sums = written.select("roles", "lines").mapInPandas(count, "place long, n double").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
+    return tables_of(np.bincount(sums.place.to_numpy(np.int64), sums.n.to_numpy(float), sum(_SIZES)))
+
+
+def parse(transcript: str | None, tables: Tables | None = None) -> list[tuple[str, str]]:
     """(role, text) of the turns of a transcript. A null or blank transcript has none; turns without text are dropped."""
     if not transcript or not transcript.strip():
         return []
-    lines = re.split(r"\r\n|\r|\n", transcript)
-    logs, marks = emissions(lines)
+    tables = tables or USUAL
+    lines = lines_of(transcript)
+    logs, marks = emissions(lines, tables)
     turns: list[tuple[int, list[str]]] = []
-    for state, line, (role, width) in zip(viterbi(logs).tolist(), lines, marks, strict=True):
+    for state, line, (role, width) in zip(viterbi(logs, tables).tolist(), lines, marks, strict=True):
         opens = state < 3 or not turns or turns[-1][0] != state % 3
         text = _END.sub("", line[width:] if opens and role == state % 3 else line)
         if opens:
@@ -101,39 +178,87 @@ def render(turns: list[tuple[str, str]]) -> str:
     return "".join(f"<|{role}|>\n{text}\n<|end|>\n" for role, text in joined)
 
 
-def format_chats(transcripts: DataFrame) -> DataFrame:
-    """Adds turns (array of role, text) and rendered to rows with a column transcript; other columns stay."""
+#: Tables for transcripts of unknown making: counts of a few small talks in common styles.
+USUAL = tables_of(
+    sum(
+        5 * counted(x)
+        for x in (
+            [("system", "System: Be brief."), ("user", "\nUser: Hello there"), ("assistant", "\nAssistant: Hello.\nHow can I help?"), ("user", "\nhow do I sort a list?"), ("assistant", "\nAssistant: Like this:\n- one\n- two\nand so on.")],
+            [("user", "<|user|>\nwhat is it?"), ("assistant", "<|assistant|>\nA test.\n\nIt has two parts.")],
+            [("user", "Human: hi"), ("assistant", "AI: hello"), ("user", "Human: why?"), ("assistant", "AI: because")],
+        )
+    )
+)
+
+
+def format_chats(transcripts: DataFrame, tables: Tables | None = None) -> DataFrame:
+    """Adds turns (array of role, text) and rendered to rows with a column transcript.
+
+    Columns that were named turns or rendered are replaced, all others stay. Null and blank transcripts have no turns and
+    render as an empty text; repeated rows get equal results; a long transcript is decoded whole, in one row.
+    """
 
     @F.pandas_udf("turns array<struct<role:string,text:string>>, rendered string")
     def formatted(texts: pd.Series) -> pd.DataFrame:
-        turns = [parse(x) for x in texts]
+        turns = [parse(x, tables) for x in texts]
         return pd.DataFrame({"turns": [[{"role": r, "text": x} for r, x in t] for t in turns], "rendered": [render(t) for t in turns]})
 
-    out = transcripts.withColumn("__chat", formatted(F.col("transcript").cast("string")))
-    return out.withColumn("turns", F.col("__chat.turns")).withColumn("rendered", F.col("__chat.rendered")).drop("__chat")
+    others = {f"__other_{i}": c for i, c in enumerate(transcripts.columns) if c not in ("turns", "rendered")}
+    inner = transcripts.select(*[F.col(f"`{c}`").alias(n) for n, c in others.items()], formatted(F.col("transcript").cast("string")).alias("__chat"))
+    return inner.select(*[F.col(n).alias(c) for n, c in others.items()], "__chat.turns", "__chat.rendered")
+
+
+#: How transcripts are written: how a marker follows its role, what stands between turns, and what makes it harder.
+STYLES = ("colon", "tags", "headings", "paragraphs", "look-alikes")
 
 
 def transcripts_of(conversations: DataFrame) -> DataFrame:
-    """(conv_id, segment, transcript, roles) from rows (conv_id, turn, role, text).
+    """(conv_id, segment, style, roles, lines, transcript) from rows (conv_id, turn, role, text).
 
-    Turns stand in the order of turn, then role and text. Each bears its role's marker, in one of three styles by
-    conv_id, as exports of chats do; one in seven has lost it. Null texts are empty, null roles have no marker.
+    Turns stand in the order of turn, then role and text. Each bears its role's marker, in one of STYLES by conv_id, as
+    exports of chats do; one in seven has lost it. Only headings and paragraphs have a blank line between turns;
+    paragraphs have them inside turns too; look-alikes have lines in turns of users that look like an assistant's marker.
+    Null texts are empty, null roles have no marker, a null turn comes first.
     """
-    style = F.pmod(F.xxhash64("conv_id"), F.lit(3))
-    role = F.col("role")
-    marker = F.when(style == 0, F.concat(F.initcap(role), F.lit(": "))).when(style == 1, F.concat(F.lit("<|"), role, F.lit("|>\n"))).otherwise(F.concat(F.lit("### "), F.when(role == "user", "Human").otherwise(F.initcap(role)), F.lit(":\n")))
-    lost = (F.pmod(F.xxhash64("conv_id", "turn", "text"), F.lit(7)) == 0) & (F.col("turn") > 0)
-    line = F.concat(F.when(lost | role.isNull(), F.lit("")).otherwise(marker), F.coalesce("text", F.lit("")))
-    row = F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("text"), line.alias("line"))
-    grouped = conversations.select("conv_id", F.coalesce(F.floor(F.col("turn") / SEGMENT), F.lit(-1)).alias("segment"), row.alias("row"))
-    rows = grouped.groupBy("conv_id", "segment").agg(F.sort_array(F.collect_list("row")).alias("rows"))
-    return rows.select("conv_id", "segment", F.array_join(F.transform("rows", lambda r: r["line"]), "\n\n").alias("transcript"), F.transform("rows", lambda r: r["role"]).alias("roles"))
+    style = F.pmod(F.xxhash64("conv_id"), F.lit(len(STYLES))).cast("int")
+    role, text = F.col("role"), F.coalesce("text", F.lit(""))
+    chance = lambda n, k: F.pmod(F.xxhash64("conv_id", "turn", "text", F.lit(k)), F.lit(n)) == 0
+    colon = F.concat(F.initcap(role), F.lit(": "))
+    marker = F.when(style == 1, F.concat(F.lit("<|"), role, F.lit("|>\n"))).when(style == 2, F.concat(F.lit("### "), F.when(role == "user", "Human").otherwise(F.initcap(role)), F.lit(":\n")))
+    marker = marker.when(style == 4, F.when(role == "user", "Q: ").when(role == "assistant", "A: ").otherwise(colon)).otherwise(colon)
+    lost = chance(7, 0) & (F.col("turn") > 0)
+    shown = F.when(style == 3, F.regexp_replace(text, r"([.?!]) ", "$1\n\n")).when((style == 4) & (role == "user") & chance(5, 1), F.concat(text, F.lit("\nanswer: in one line"))).otherwise(text)
+    line = F.concat(F.when((style == 2) | (style == 3), F.when(F.col("turn") > 0, "\n").otherwise("")).otherwise(""), F.when(lost | role.isNull(), F.lit("")).otherwise(marker), shown)
+    row = F.struct("turn", "role", text.alias("text"), shown.alias("shown"), line.alias("line"))
+    grouped = conversations.select("conv_id", F.coalesce(F.floor(F.col("turn") / SEGMENT), F.lit(-1)).alias("segment"), style.alias("style"), row.alias("row"))
+    rows = grouped.groupBy("conv_id", "segment", "style").agg(F.sort_array(F.collect_list("row")).alias("rows"))
+    part = lambda k: F.transform("rows", lambda r: r[k])
+    return rows.select("conv_id", "segment", "style", part("role").alias("roles"), part("line").alias("lines"), part("shown").alias("texts"), F.array_join(part("line"), "\n").alias("transcript"))
 
 
 def sha256(column: str) -> Column:
     return F.sha2(F.col(column).cast("binary"), 256)
 
 
+def held_out(column: str) -> Column:
+    """Conversations that don't teach: crc32 of the id as text leaves 1 by 3."""
+    return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chats = format_chats(transcripts_of(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
-    return chats.select("conv_id", "segment", F.size("roles").alias("n_written"), F.size("turns").alias("n_turns"), F.array_join(F.transform("turns", lambda t: t["role"]), " ").alias("roles_found"), F.array_join("roles", " ", "?").alias("roles_written"), sha256("rendered").alias("rendered_sha256"))
+    """A row of each conversation (or SEGMENT of it) with the roles written and found, and digests of the canonical turns.
+
+    The tables are fitted on conversations that aren't held out. written_sha256 is of the turns as they were written.
+    """
+    written = transcripts_of(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")).withColumn("held_out", held_out("conv_id"))
+    chats = format_chats(written, fit(written.filter(~F.col("held_out"))))
+
+    @F.pandas_udf("string")
+    def canonical(roles: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([render([(r, x.strip()) for r, x in zip(a, b, strict=True) if r in ROLES and x.strip()]) for a, b in zip(roles, texts, strict=True)], dtype=object)
+
+    chats = chats.withColumn("written", canonical("roles", "texts"))
+    return chats.select(
+        "conv_id", "segment", F.element_at(F.array(*[F.lit(x) for x in STYLES]), F.col("style") + 1).alias("style"), "held_out", F.size("roles").alias("n_written"), F.size("turns").alias("n_turns"),
+        F.array_join(F.transform("turns", lambda t: t["role"]), " ").alias("roles_found"), F.array_join("roles", " ", "?").alias("roles_written"), sha256("rendered").alias("rendered_sha256"), sha256("written").alias("written_sha256"),
+    )
