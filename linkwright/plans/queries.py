@@ -16,7 +16,7 @@ from linkwright.operators import evaluate as I
 from linkwright.operators import features as D
 from linkwright.operators import review as L
 from linkwright.operators import scoring as G
-from linkwright.operators.blocking import ClassicalBlocker, Settings, per_left_counts, ranked_quantiles, rule_report, totals, with_provenance
+from linkwright.operators.blocking import ClassicalBlocker, Settings, per_left_counts, ranked_quantiles, rule_report, totals
 from linkwright.plans import sql as Q
 from linkwright.sources import tables as A
 from linkwright.sources.tables import ID, LEFT, RIGHT
@@ -24,8 +24,7 @@ from linkwright.sources.views import catalogue, products, sides, table
 from linkwright.streaming import windows as K
 
 _FOUND: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
-#: Cutoffs for whole documents: their words are many and their sides small.
-DOCUMENTS = Settings(rare_word=3, rare_ngram=2)
+DOCUMENTS = Settings()
 PRODUCTS = Settings(columns=("title",))
 
 
@@ -235,7 +234,7 @@ def feature_coverage(spark, sf):
 # Blocking
 
 
-@query(Q.with_(Q.CAT, Q.TOK) + Q.pairs_sharing("tok", 3))
+@query(Q.with_(Q.CAT, Q.TOK) + Q.pairs_sharing("tok", 100))
 def block_r1(spark, sf):
     return ClassicalBlocker(DOCUMENTS).rule_word(*sides(catalogue(spark, sf)))
 
@@ -250,7 +249,7 @@ def block_r3(spark, sf):
     return ClassicalBlocker(DOCUMENTS).rule_brand(*sides(catalogue(spark, sf)))
 
 
-@query(Q.with_(Q.CAT, Q.GRAM) + Q.pairs_sharing("gram", 2))
+@query(Q.with_(Q.CAT, Q.GRAM) + Q.pairs_sharing("gram", 50))
 def block_r5(spark, sf):
     return ClassicalBlocker(DOCUMENTS).rule_ngram(*sides(catalogue(spark, sf)))
 
@@ -274,13 +273,13 @@ def block_r4_short(spark, sf):
     return _rescue(spark, sf).filter("rule = 'R4-short'").select(LEFT, RIGHT)
 
 
-_ALL = "allr AS (" + Q.pairs_sharing("tok", 3).replace("SELECT DISTINCT", "SELECT DISTINCT 'R1' AS rule,") + " UNION ALL " + Q.pairs_sharing("tok", None, Q.IDENTIFIER).replace("SELECT DISTINCT", "SELECT DISTINCT 'R2' AS rule,") + " UNION ALL " + Q.BRAND_RULE.replace("SELECT", "SELECT 'R3' AS rule,", 1) + " UNION ALL " + Q.pairs_sharing("gram", 2).replace("SELECT DISTINCT", "SELECT DISTINCT 'R5' AS rule,") + ")"
+_ALL = "allr AS (" + Q.pairs_sharing("tok", 100).replace("SELECT DISTINCT", "SELECT DISTINCT 'R1' AS rule,") + " UNION ALL " + Q.pairs_sharing("tok", None, Q.IDENTIFIER).replace("SELECT DISTINCT", "SELECT DISTINCT 'R2' AS rule,") + " UNION ALL " + Q.BRAND_RULE.replace("SELECT", "SELECT 'R3' AS rule,", 1) + " UNION ALL " + Q.pairs_sharing("gram", 50).replace("SELECT DISTINCT", "SELECT DISTINCT 'R5' AS rule,") + ")"
 _CAND = (Q.CAT, Q.TOK, Q.GRAM, Q.VOCABULARY, Q.HARVEST, Q.BRAND_PAIRS, _ALL, "cand AS (SELECT unique_id_l, unique_id_r, array_to_string(list_sort(list(rule)), '+') AS rules FROM allr GROUP BY ALL)".replace("GROUP BY ALL", "GROUP BY unique_id_l, unique_id_r"))
 
 
 def _candidates(spark, sf):
-    """The four first rules over whole documents; block_r4* have the rescue rules, over products."""
-    return with_provenance(ClassicalBlocker(DOCUMENTS).first_rules(*sides(catalogue(spark, sf))))
+    """All seven rules over whole documents. The SQL has the four first: they leave no record of the tables for the others."""
+    return ClassicalBlocker(DOCUMENTS).generate_candidates(*sides(catalogue(spark, sf)))
 
 
 @query(Q.with_(*_CAND) + "SELECT * FROM cand")
@@ -321,7 +320,7 @@ def per_left_spread(spark, sf):
     return ranked_quantiles(per_left_counts(pairs, a), "n")
 
 
-_LOOSE = f"kept AS ({Q.pairs_sharing('tok', 3)}), more AS (SELECT 'R1' AS rule, * FROM ({Q.pairs_sharing('tok', 4)} EXCEPT SELECT * FROM kept) UNION ALL SELECT 'R5', * FROM ({Q.pairs_sharing('gram', 3)} EXCEPT SELECT * FROM kept) UNION ALL SELECT 'R3', * FROM ({Q.BRAND_RULE.replace('>= 2', '>= 1')} EXCEPT SELECT * FROM kept))"
+_LOOSE = f"kept AS ({Q.pairs_sharing('tok', 100)}), more AS (SELECT 'R1' AS rule, * FROM ({Q.pairs_sharing('tok', 150)} EXCEPT SELECT * FROM kept) UNION ALL SELECT 'R5', * FROM ({Q.pairs_sharing('gram', 75)} EXCEPT SELECT * FROM kept) UNION ALL SELECT 'R3', * FROM ({Q.BRAND_RULE.replace('>= 2', '>= 1')} EXCEPT SELECT * FROM kept))"
 
 
 @query(Q.with_(Q.CAT, Q.TOK, Q.GRAM, Q.VOCABULARY, Q.HARVEST, Q.BRAND_PAIRS, _LOOSE) + "SELECT rule, count(*) AS n FROM more GROUP BY rule UNION ALL SELECT 'any', count(*) FROM (SELECT DISTINCT unique_id_l, unique_id_r FROM more)")
@@ -420,6 +419,38 @@ def match_bits(spark, sf):
     return _scored(spark, sf).withColumn("match_probability", F.round("match_probability", 9))
 
 
+_FEAT6 = "ft AS (SELECT cat.unique_id, " + f"CASE WHEN len({Q.token_set('title')}) > 0 THEN {Q.token_set('title')} END AS title_tokens, f.rare_identifier_tokens, f.common_identifier_tokens, f.brand_terms, f.rare_tokens, {Q.price('price')} AS price_value FROM cat LEFT JOIN f USING (unique_id))"
+_JAC = "coalesce(" + Q.jaccard("a.title_tokens", "b.title_tokens") + ", 1.0)"
+_SHARED = lambda c: f"len(list_intersect(a.{c}, b.{c}))"
+_NULL = lambda c: f"a.{c} IS NULL OR b.{c} IS NULL THEN -1"
+_GAP = "abs(a.price_value - b.price_value) / greatest(a.price_value, b.price_value)"
+_GAMMA6 = ", ".join(
+    [
+        f"CASE WHEN {_NULL('title_tokens')} WHEN {_JAC} = 1 THEN 4 WHEN {_JAC} >= 0.6 THEN 3 WHEN {_JAC} >= 0.35 THEN 2 WHEN {_JAC} >= 0.2 THEN 1 ELSE 0 END AS gamma_title_tokens",
+        *[f"CASE WHEN {_NULL(c)} WHEN {_SHARED(c)} >= 1 THEN 1 ELSE 0 END AS gamma_{c}" for c in ("rare_identifier_tokens", "common_identifier_tokens")],
+        *[f"CASE WHEN {_NULL(c)} WHEN {_SHARED(c)} >= 2 THEN 2 WHEN {_SHARED(c)} >= 1 THEN 1 ELSE 0 END AS gamma_{c}" for c in ("brand_terms", "rare_tokens")],
+        f"CASE WHEN {_NULL('price_value')} WHEN a.price_value = b.price_value THEN 4 WHEN {_GAP} <= 0.02 THEN 3 WHEN {_GAP} <= 0.10 THEN 2 WHEN {_GAP} <= 0.20 THEN 1 ELSE 0 END AS gamma_price_value",
+    ]
+)
+
+
+@query(_FEAT.removesuffix(" ") + f", {_FEAT6}, pr AS ({Q.pairs_sharing('tok', 100)}) SELECT pr.*, {_GAMMA6} FROM pr JOIN ft a ON a.unique_id = pr.unique_id_l JOIN ft b ON b.unique_id = pr.unique_id_r")
+def gamma6(spark, sf):
+    """All six comparisons of the pairs of rule R1 over whole documents."""
+    a, b = sides(catalogue(spark, sf))
+    return G.gammas(G.pair_features(ClassicalBlocker(DOCUMENTS).rule_word(a, b), *D.features_of(a, b)))
+
+
+@query()
+def linked_products(spark, sf):
+    """From tables to decisions: all rules at their cutoffs, six features compared, u and m trained, scores, outcomes."""
+    a, b = sides(products(spark, sf))
+    candidates = ClassicalBlocker().generate_candidates(a, b)
+    fa, fb = (f.persist() for f in D.features_of(a, b))
+    matcher = G.FellegiSunterMatcher(G.train(fa, fb))
+    return H.outcomes(C.validate_scores(matcher.score(candidates, fa, fb), candidates))
+
+
 @query(Q.with_(Q.PROD, _BRAND_CAND) + "SELECT unique_id_l, unique_id_r FROM bc")
 def pair_key_explode(spark, sf):
     return G.exploded_keys(*_title_pairs(spark, sf))
