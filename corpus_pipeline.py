@@ -16,7 +16,7 @@ from linkwright.llm import bpe, common, jaccard, language_id, mixing, suffix_ded
 
 #: A document is rejected if no language can be told, if its n-grams are less usual in its best language by this in mean
 #: log probability (random letters are below -3, names and license lines above -2), or if less of it than this is in one language.
-LEAST_SCORE, LEAST_FIT, LEAST_SHARE = 0.5, -2.5, 0.7
+LEAST_SCORE, LEAST_FIT, LEAST_SHARE = 0.5, -2.5, 0.65
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -127,7 +127,7 @@ def usual_fit(logs: np.ndarray) -> np.ndarray:
 
 
 def shares(codes: np.ndarray, offsets: np.ndarray, logs: np.ndarray, best: np.ndarray) -> np.ndarray:
-    """The share of each text's runs of about RUN letters whose trigrams are likeliest in its language best."""
+    """The share of each text's runs of about RUN letters whose trigrams are likeliest in its language best, and one more such run."""
     size = np.diff(offsets) - BEHIND
     runs = np.maximum(1, np.round(size / RUN)).astype(np.int64) * (size > 0)
     text = np.repeat(np.arange(len(size)), runs)
@@ -141,7 +141,7 @@ def shares(codes: np.ndarray, offsets: np.ndarray, logs: np.ndarray, best: np.nd
         a, b = starts[lo], ends[min(lo + _SLICE // RUN, len(starts)) - 1]
         sums[lo : lo + _SLICE // RUN] = np.add.reduceat(logs[grams(codes, len(logs), ORDERS[-1], a, b)], starts[lo : lo + _SLICE // RUN] - a, axis=0)
     won = sums.argmax(axis=1) == best[text]
-    return np.where(runs == 1, 1.0, np.bincount(text, won, len(size)) / np.maximum(runs, 1))
+    return np.where(runs == 1, 1.0, (np.bincount(text, won, len(size)) + 1) / (runs + 1))
 
 
 def predict_texts(texts: list[str | None], names: list[str], logs: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
