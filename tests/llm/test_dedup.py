@@ -183,14 +183,20 @@ def test_names_of_last_buckets_are_those_of_windows():
 
 
 def test_automata_find_every_occurrence():
-    firsts = np.array([3, 5, 8])
-    compiled = phrases.automata([b"a b c d", b"b c d"], firsts, 3, shard=2)
+    firsts = np.array([3, 5, 8, 3, 9])
+    compiled = phrases.automata([b"a b c d", b"b c d", b"a b c d"], firsts, 3, shard=1)
     assert len(compiled[1]) == 2
     text = b"x a b c d y b c d"
-    assert {s for s, _ in phrases.occurrences(text, compiled, 3)} == {1, 2, 6}
-    assert phrases.covered_runs(text, 5, compiled, firsts, 3) == [(1, 4)]
-    assert phrases.covered_runs(text, 6, compiled, firsts, 3) == [(1, 5), (6, 9)]
-    assert phrases.covered_runs(text, 6, phrases.automata([], firsts[:0], 3), firsts, 3) == []
+    assert sorted(phrases.occurrences(text, compiled, 3)) == [(1, 0), (2, 1), (6, 1)]
+    assert phrases.covered_runs(text, 5, compiled, 3) == [(1, 4)]
+    assert phrases.covered_runs(text, 6, compiled, 3) == [(1, 5)]
+    assert phrases.covered_runs(text, 9, compiled, 3) == [(1, 5), (6, 9)]
+    assert phrases.covered_runs(text, 9, phrases.automata([], firsts[:0], 3), 3) == phrases.covered_runs(None, 9, compiled, 3) == []
+
+
+def test_phrases_are_runs_of_shared_windows():
+    got = dict(phrases.confirm([7, 2, 4], [False, False, True], [b"p a b c d q", b"r a b c d", b"x y z w"], 3))
+    assert got == {b"a b c d": [2, 2], b"x y z w": [4, 4]}
 
 
 def linked(rows):
