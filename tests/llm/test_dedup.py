@@ -186,12 +186,15 @@ def test_automata_find_every_occurrence():
     firsts = np.array([3, 5, 8, 3, 9])
     compiled = phrases.automata([b"a b c d", b"b c d", b"a b c d"], firsts, 3, shard=1)
     assert len(compiled[1]) == 2
-    text = b"x a b c d y b c d"
-    assert sorted(phrases.occurrences(text, compiled, 3)) == [(1, 0), (2, 1), (6, 1)]
-    assert phrases.covered_runs(text, 5, compiled, 3) == [(1, 4)]
-    assert phrases.covered_runs(text, 6, compiled, 3) == [(1, 5)]
-    assert phrases.covered_runs(text, 9, compiled, 3) == [(1, 5), (6, 9)]
-    assert phrases.covered_runs(text, 9, phrases.automata([], firsts[:0], 3), 3) == phrases.covered_runs(None, 9, compiled, 3) == []
+    texts = [b"x a b c d y b c d", None, b"b c", b"d b c d"]
+    start, place, first = phrases.occurrences(texts, compiled, 3)
+    assert first.tolist() == [0, 10, 11, 14, 19]
+    assert sorted(zip(start.tolist(), place.tolist(), strict=True)) == [(1, 0), (2, 1), (6, 1), (15, 1)]
+    assert phrases.covered_runs(texts, [5, 0, 0, 0], compiled, 3) == [[(1, 4)], [], [], []]
+    assert phrases.covered_runs(texts, [6, 0, 0, 9], compiled, 3) == [[(1, 5)], [], [], [(1, 4)]]
+    assert phrases.covered_runs(texts, [9, 9, 9, 8], compiled, 3) == [[(1, 5), (6, 9)], [], [], []]
+    assert phrases.covered_runs(texts, [9] * 4, phrases.automata([], firsts[:0], 3), 3) == [[]] * 4
+    assert phrases.covered_runs([], [], compiled, 3) == []
 
 
 def test_phrases_are_runs_of_shared_windows():
