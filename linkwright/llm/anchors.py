@@ -2,7 +2,8 @@
 
 A text is a sequence of tokens (bytes or words). In every window of ``window`` tokens the n-gram with the least hash is
 an anchor. Equal windows have equal anchors at equal offsets, so only texts that share an anchor can share a window, and
-one token in about (window - gram) / 2 is an anchor. The context of an anchor holds all windows around it.
+one token in about (window - gram) / 2 is an anchor. The context of an anchor holds all windows around it, or only those
+whose anchor it is.
 
 Texts lie in parts of bounded size, dealt by row key; anchors lie in groups, dealt by hash. There are as many groups as
 parts, and as many tasks: their number follows the size of the corpus. Arrays travel packed in binary values. Anchors
@@ -41,6 +42,8 @@ class Kind:
     codes: Callable[[list[tuple[int, bytes]]], tuple]
     #: (text, first tokens, last tokens) -> payload of each context.
     cut: Callable[[bytes, np.ndarray, np.ndarray], list[bytes]]
+    #: Whether contexts hold only the windows whose anchor theirs is.
+    own: bool = False
 
 
 def _slide(a: np.ndarray, width: int, reduce) -> np.ndarray:
@@ -52,10 +55,13 @@ def _slide(a: np.ndarray, width: int, reduce) -> np.ndarray:
 
 
 def anchors(codes: np.ndarray, low: np.ndarray, high: np.ndarray, window: int, gram: int):
-    """(places of anchors, their hashes, prefix sums); window starts from low to high (exclusive) of each piece count."""
+    """(places of anchors, their hashes, prefix sums, a function for how far before each the first and the last of its windows start).
+
+    Window starts from low to high (exclusive) of each piece count.
+    """
     sums = prefix(codes)
     if len(codes) < window:
-        return np.empty(0, np.int64), np.empty(0, np.uint64), sums
+        return np.empty(0, np.int64), np.empty(0, np.uint64), sums, lambda: (np.empty(0, np.int64), np.empty(0, np.int64))
     hashes = mix((sums[gram:] - sums[:-gram]) * _powers("down", len(sums))[: len(codes) - gram + 1])
     order = (hashes >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
     width = window - gram + 1
@@ -67,7 +73,13 @@ def anchors(codes: np.ndarray, low: np.ndarray, high: np.ndarray, window: int, g
     least = np.where(np.cumsum(edge[:-1]) > 0, least, np.uint32(0))
     pad = np.zeros(width - 1, np.uint32)
     chosen = np.flatnonzero(_slide(np.concatenate([pad, least, pad]), width, np.maximum) == order)
-    return chosen, hashes[chosen], sums
+
+    def reach():
+        start = chosen[:, None] - np.arange(width)
+        own = (least[np.clip(start, 0, len(least) - 1)] == order[chosen][:, None]) & (start >= 0) & (start < len(least))
+        return width - 1 - own[:, ::-1].argmax(axis=1), own.argmax(axis=1)
+
+    return chosen, hashes[chosen], sums, reach
 
 
 def contexts(kind: Kind, rids: list[int], texts: list[bytes]):
@@ -78,10 +90,14 @@ def contexts(kind: Kind, rids: list[int], texts: list[bytes]):
     held = []
     for block in blocks(zip(rids, texts, strict=True), lambda x: len(x[1]), BLOCK_BYTES):
         codes, offset, rid, begin, total, low, high = kind.codes(block)
-        at, h, sums = anchors(codes, low, high, kind.window, kind.gram)
+        at, h, sums, reach = anchors(codes, low, high, kind.window, kind.gram)
         piece = np.searchsorted(offset, at, "right") - 1
         pos = at - offset[piece] + begin[piece]
-        left, right = np.minimum(kind.window - kind.gram, pos), np.minimum(kind.window, total[piece] - pos)
+        if kind.own:
+            left, last = reach()
+            right = kind.window - last
+        else:
+            left, right = np.minimum(kind.window - kind.gram, pos), np.minimum(kind.window, total[piece] - pos)
         held.append((h, span(sums, at - left, at + right), rid[piece], pos - left, left + right))
     if not held:
         return tuple(np.empty(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
