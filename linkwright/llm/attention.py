@@ -17,6 +17,8 @@ SHAPES = {"embed": (INPUTS, WIDTH), "place": (LENGTH, WIDTH), "qkv": (WIDTH, 3 *
 SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
 #: Windows of a batch: its largest array stays in the cache.
 BATCH = 32
+#: Logits within this have exponentials, and sums of them, that single precision holds.
+LARGE = 60
 _FUTURE = np.where(np.arange(LENGTH)[None, :] > np.arange(CONTEXT, LENGTH)[:, None], np.float32(-1e9), np.float32(0))
 
 
@@ -30,6 +32,11 @@ def initial(seed: int) -> np.ndarray:
     return flat
 
 
+def moderate(a: np.ndarray) -> bool:
+    """Whether exponentials of a and their sums by row need no greatest value taken off first."""
+    return bool(-LARGE < a.min() <= a.max() < LARGE)
+
+
 def views(flat: np.ndarray) -> dict[str, np.ndarray]:
     out, at = {}, 0
     for name, shape in SHAPES.items():
@@ -52,7 +59,7 @@ class Machine:
         self.ds, self.dall = np.empty_like(self.s), np.empty_like(self.all)
 
     def forward(self, x: np.ndarray) -> np.ndarray:
-        """Logits less their greatest of the scored places of windows x (inputs; x[:, CONTEXT + j] is before place j)."""
+        """Logits, but for a constant of each row, of the scored places of windows x (inputs; x[:, CONTEXT + j] is before place j)."""
         n, p = len(x), self.p
         e, s, o = self.e[:n], self.s[:n], self.o[:n]
         np.take(p["embed"], x, axis=0, out=e, mode="clip")
@@ -60,19 +67,22 @@ class Machine:
         flat = np.matmul(e.reshape(-1, WIDTH), p["qkv"], out=self.all[: n * LENGTH]).reshape(n, LENGTH, 3 * WIDTH)
         np.matmul(flat[:, CONTEXT:, :WIDTH], flat[:, :, WIDTH : 2 * WIDTH].transpose(0, 2, 1), out=s)
         s *= np.float32(WIDTH**-0.5)
+        small = moderate(s)
         s += _FUTURE
         if (empty := x[:, :CONTEXT] == PAD).any():
             s[:, :, :CONTEXT] += np.where(empty, np.float32(-1e9), np.float32(0))[:, None, :]
-        s -= s.max(axis=2, keepdims=True)
+        if not small:
+            s -= s.max(axis=2, keepdims=True)
         np.exp(s, out=s)
-        s /= s.sum(axis=2, keepdims=True)
+        s /= (s @ np.ones(LENGTH, np.float32))[:, :, None]
         np.matmul(s, flat[:, :, 2 * WIDTH :], out=o)
         h = np.matmul(o.reshape(-1, WIDTH), p["mix"], out=self.h[: n * STRIDE])
         h += e[:, CONTEXT:].reshape(-1, WIDTH)
         logits = np.matmul(h, p["out"], out=self.logits[: n * STRIDE])
         logits += np.take(self.prior, x[:, CONTEXT:].ravel(), axis=0, out=self.rows[: n * STRIDE], mode="clip")
         logits += p["bias"]
-        logits -= logits.max(axis=1, keepdims=True)
+        if not moderate(logits):
+            logits -= logits.max(axis=1, keepdims=True)
         return logits
 
     def log_probabilities(self, x: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -82,7 +92,7 @@ class Machine:
             logits, y = self.forward(x[lo : lo + BATCH]), target[lo : lo + BATCH]
             chosen = logits[np.arange(len(logits)), y.ravel()]
             np.exp(logits, out=logits)
-            out[lo : lo + BATCH] = (chosen - np.log(logits.sum(axis=1))).reshape(y.shape)
+            out[lo : lo + BATCH] = (chosen - np.log(logits @ np.ones(CLASSES, np.float32))).reshape(y.shape)
         return out
 
     def gradient(self, x: np.ndarray, target: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -93,9 +103,8 @@ class Machine:
         every = self.all[: n * LENGTH].reshape(n, LENGTH, 3 * WIDTH)
         q, k, v = every[:, CONTEXT:, :WIDTH], every[:, :, WIDTH : 2 * WIDTH], every[:, :, 2 * WIDTH :]
         np.exp(logits, out=logits)
-        logits /= logits.sum(axis=1, keepdims=True)
-        logits[np.arange(len(logits)), target.ravel()] -= 1
-        logits *= (weight.ravel() / max(1.0, float(weight.sum())))[:, None]
+        logits *= (weight.ravel() / max(1.0, float(weight.sum())) / (logits @ np.ones(CLASSES, np.float32)))[:, None]
+        logits[np.arange(len(logits)), target.ravel()] -= weight.ravel() / np.float32(max(1.0, float(weight.sum())))
         out = np.zeros(SIZE, np.float32)
         g = views(out)
         np.matmul(h.T, logits, out=g["out"])
@@ -117,9 +126,8 @@ class Machine:
         de = (flat @ p["qkv"].T).reshape(n, LENGTH, WIDTH)
         de[:, CONTEXT:] += dh.reshape(n, STRIDE, WIDTH)
         de.sum(axis=0, out=g["place"])
-        rows, inputs = de.reshape(-1, WIDTH), x.ravel()
-        for j in range(WIDTH):
-            g["embed"][:, j] = np.bincount(inputs, rows[:, j], INPUTS)
+        at = x.reshape(-1, 1) * WIDTH + np.arange(WIDTH)
+        g["embed"][...] = np.bincount(at.ravel(), de.ravel(), INPUTS * WIDTH).reshape(INPUTS, WIDTH)
         return out
 
 
