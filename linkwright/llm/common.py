@@ -37,11 +37,14 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
 
 
-def sheltered(docs: DataFrame, named: tuple[str, ...]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
-    """docs with the columns not in named under names that clash with nothing, and what gives them back their names and order."""
+def sheltered(docs: DataFrame, named: tuple[str, ...]) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """docs with the columns not in named under names that clash with nothing, and what gives them back their names and order.
+
+    That function also appends other columns of its frame, given as column=name.
+    """
     names = {c: c if c in named else f"__other_{i}" for i, c in enumerate(docs.columns)}
     inner = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
-    return inner, lambda out: out.select(*[F.col(n).alias(c) for c, n in names.items()])
+    return inner, lambda out, **more: out.select(*[F.col(n).alias(c) for c, n in names.items()], *[F.col(n).alias(c) for n, c in more.items()])
 
 
 def checkpoint(df: DataFrame) -> DataFrame:

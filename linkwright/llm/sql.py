@@ -91,3 +91,15 @@ counted AS (SELECT u, sum(copies) AS n FROM links GROUP BY u)
 SELECT sets.doc_id, class_id, (copies - 1 + coalesce(n, 0))::BIGINT AS n_links, component_id, sets.doc_id = component_id AS kept
 FROM sets JOIN classes ON sets.s = classes.s AND (len(sets.s) > 0 OR class_id = doc_id) JOIN least ON classes.c = least.u LEFT JOIN counted ON classes.c = counted.u
 """
+
+_KEY = "translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+LINE_DEDUP = f"""
+WITH lines AS MATERIALIZED (SELECT doc_id, nth, line, {_KEY} AS key FROM (
+    SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS nth FROM documents)),
+common AS (SELECT key FROM lines WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10),
+told AS (SELECT *, key IN (SELECT key FROM common) AS gone FROM lines)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY nth) FILTER (NOT gone), '')) AS kept_sha256
+FROM told GROUP BY doc_id
+"""
