@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 _RANDOM = np.random.default_rng(20240607)
@@ -17,6 +19,9 @@ for _c in range(256):
     ALNUM_BYTE[_c] = _c >= 0x80 or chr(_c).isalnum() or chr(_c) == "_"
 LOWER_BYTE = np.arange(256, dtype=np.uint8)
 LOWER_BYTE[65:91] += 32
+#: Bytes of a word up to which span() hashes it. Sums of powers modulo 2**64 are the same for some long texts that differ
+#: (patterns in which every half repeats the other one inverted), so longer words take a cryptographic hash.
+SHORT = 32
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -70,12 +75,18 @@ def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def words_of(texts: list[bytes], is_word: np.ndarray = WORD_BYTE, lower: bool = False):
-    """(hash of each word, first word of each text (and of the end), starts, ends) over joined(texts)."""
+    """(hash of each word, first word of each text (and of the end), starts, ends) over joined(texts).
+
+    The hash of a word is the same wherever it lies, whatever its length.
+    """
     data, offsets = joined(texts)
     if lower:
         data = LOWER_BYTE[data]
     starts, ends = word_spans(data, is_word)
-    return span(prefix(BYTE_CODES[data]), starts, ends), np.searchsorted(starts, offsets), starts, ends
+    hashes = span(prefix(BYTE_CODES[data]), starts, ends)
+    for i in np.flatnonzero(ends - starts > SHORT).tolist():
+        hashes[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return hashes, np.searchsorted(starts, offsets), starts, ends
 
 
 def blocks(items, size, limit: int):
