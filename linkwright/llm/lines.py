@@ -3,8 +3,8 @@
 Texts are exploded into normalised lines, whose keys are hashed; documents are counted for each hash; a second join tells
 each document the positions of its lines over the threshold, and the lines left are put together in their order.
 
-Counting sends one row for each distinct line of a document, added up before they move. A line that a third of all documents
-holds is one row on the side of the counts, so that the join's other side may be split at will (adaptive skew join).
+Counting sends one row for each distinct line of a document, added up before they move. In the join, a line that a third of
+all documents holds is dealt by a salt of the document, and each line over the threshold is there once for each salt.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ WHITE = b" \t\n\x0b\x0c\r"
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: A line goes if its key has this many code points at least and this many documents hold it.
 LEAST_CHARS, DOCUMENTS = 1, 10
+#: Tasks that the documents of one line are dealt to.
+SALTS = 32
 _KEYS = pa.schema([("rid", pa.int64()), ("h", pa.int64()), ("g", pa.int64()), ("places", pa.list_(pa.int32()))])
 
 
@@ -68,7 +70,9 @@ def dropped_places(docs: DataFrame, documents: int = DOCUMENTS, least_chars: int
     """(RID, places) of the rows of docs (RID unique, text) that hold lines over the threshold, with their positions."""
     keys = exploded(docs, least_chars)
     common = keys.groupBy("h", "g").agg(F.count("*").alias("n")).filter(F.col("n") >= documents).select("h", "g")
-    met = keys.join(common, ["h", "g"]).select(F.col("rid").alias(RID), "places")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    salt = F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast("int").alias("salt")
+    met = keys.select("*", salt).join(common.select("h", "g", salts), ["h", "g", "salt"]).select(F.col("rid").alias(RID), "places")
     return met.groupBy(RID).agg(F.flatten(F.collect_list("places")).alias("places"))
 
 
