@@ -4,7 +4,7 @@ Both encode a text; cumulative sums of token lengths give the bytes at which tok
 groups, and tokens of one group are linked. Documents are counted for each linked pair of ids, and each document reads the
 counts of its own pairs.
 
-Tasks gather documents into blocks of bounded size. A block has one table of its distinct pairs with the number of its
+Tasks gather documents into blocks of bounded size, whose distinct words are encoded, cut and linked once. A block has one table of its distinct pairs with the number of its
 documents that hold each; documents point into that table. Only tables move: they are added up in two stages (first by pair
 and a salt of the block, then by pair), and the counts travel back to the blocks, so that no pair has more rows in a shuffle
 than there are blocks, however many documents hold it.
@@ -15,8 +15,10 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +34,12 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .common import checkpoint, modest_batches, release, releasing, table
 
 BYTE_LEVEL, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
-#: Bytes of text of a block, and of a call of the tokenizers; links of a group above which ids are counted before they are linked.
-BLOCK_BYTES, CALL_BYTES, LARGE = 8 << 20, 1 << 19, 1 << 12
+#: Characters of a block, words in a call of the tokenizers; links of a group above which ids are counted before they are linked.
+BLOCK_BYTES, CALL_WORDS, LARGE = 8 << 20, 1 << 10, 1 << 12
 SALTS = 16
+#: White space other than the space, as either tokenizer may see it.
+WHITE = tuple("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000 ")
+_CUT = re.compile(f"(?<=[^{''.join(WHITE)}]) ")
 
 
 @dataclass(frozen=True)
@@ -47,6 +52,8 @@ class Pair:
     b_bytes: list[bytes]
     a_size: np.ndarray
     b_size: np.ndarray
+    #: What the second one makes of a lone space.
+    space: list[int]
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -68,18 +75,66 @@ def loaded(path_a: str, path_b: str) -> Pair:
     names_a, names_b = ([f(i) for i in range(n)] for f, n in ((a.id_to_token, a.get_vocab_size()), (b.id_to_piece, b.vocab_size())))
     a_bytes = [x.encode() if i in added else bytes(of[c] for c in x) for i, x in enumerate(names_a)]
     b_bytes = [bytes([int(x[3:-1], 16)]) if b.is_byte(i) else x.replace("▁", " ").encode() for i, x in enumerate(names_b)]
+    if any("▁" in x.lstrip("▁") for i, x in enumerate(names_b) if not b.is_control(i)):
+        raise ValueError(f"{path_b} has pieces with a space behind other characters")
     sizes = [np.array([len(x) for x in y], np.int64) for y in (a_bytes, b_bytes)]
-    return Pair(a, b, a_bytes, b_bytes, *sizes)
+    space = b.piece_to_id("▁")
+    return Pair(a, b, a_bytes, b_bytes, *sizes, [] if b.is_unknown(space) else [space])
 
 
-def encoded(texts: list[str], pair: Pair) -> list[tuple[list[int], list[int]]]:
-    """The ids of both tokenizers for each text; none where a text is empty or joined tokens aren't a space and the text."""
-    out = []
-    for x, y, text in zip(pair.a.encode_batch([f" {t}" for t in texts], add_special_tokens=False), pair.b.encode(texts, num_threads=1), texts, strict=True):
-        ids, raw = x.ids, f" {text}".encode()
-        same = text and b"".join(map(pair.a_bytes.__getitem__, ids)) == raw and b"".join(map(pair.b_bytes.__getitem__, y)) == raw
-        out.append((ids, y) if same else ([], []))
-    return out
+def words_of(text: str) -> list[str]:
+    """The words of a text: " " + text is a space and a word, time and again.
+
+    A word ends where a space follows a character that isn't white space. No token of either tokenizer crosses such a place:
+    the byte-level one looks for tokens from there anew, and no piece of the other has a space behind another character
+    (loaded() makes sure). So each distinct word of a block is encoded once.
+    """
+    if not text:
+        return []
+    plain = text[0] != " " and not any(w + " " in text for w in WHITE)
+    return text.split(" ") if plain else _CUT.split(text)
+
+
+def _alone(words: list[str], pair: Pair) -> tuple[list[list[int]], list[list[int]]]:
+    a = [x.ids for x in pair.a.encode_batch([f" {w}" for w in words], add_special_tokens=False)]
+    return a, [y if w else pair.space for y, w in zip(pair.b.encode(words, num_threads=1), words, strict=True)]
+
+
+def encoded(words: list[str], pair: Pair) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """For both tokenizers (ids of all words, how many each has), and whether a word's joined tokens are a space and the word.
+
+    Words go to the tokenizers in long texts, and are told apart by their bytes. Those that end in white space, and those of a
+    text whose bytes differ, go by themselves. Words with other bytes have no ids.
+    """
+    ids: list[list] = [[()] * len(words), [()] * len(words)]
+    single = [i for i, w in enumerate(words) if not w or w[-1] in WHITE or w[-1] == " "]
+    apart = set(single)
+    others = [i for i in range(len(words)) if i not in apart]
+    for lo in range(0, len(others), CALL_WORDS):
+        part = others[lo : lo + CALL_WORDS]
+        text = " ".join([words[i] for i in part])
+        raw, ends = f" {text}".encode(), np.cumsum([len(words[i].encode()) + 1 for i in part])
+        both = pair.a.encode(f" {text}", add_special_tokens=False).ids, pair.b.encode(text, num_threads=1)
+        if any(b"".join(map(known.__getitem__, x)) != raw for x, known in zip(both, (pair.a_bytes, pair.b_bytes), strict=True)):
+            single += part
+            continue
+        for own, x, size in zip(ids, both, (pair.a_size, pair.b_size), strict=True):
+            cuts = np.searchsorted(np.cumsum(size[x]), ends) + 1
+            for i, begin, end in zip(part, [0, *cuts.tolist()], cuts.tolist(), strict=False):
+                own[i] = x[begin:end]
+    for lo in range(0, len(single), CALL_WORDS):
+        part = single[lo : lo + CALL_WORDS]
+        for own, x in zip(ids, _alone([words[i] for i in part], pair), strict=True):
+            for i, y in zip(part, x, strict=True):
+                own[i] = y
+    good = np.ones(len(words), bool)
+    for i in single:
+        raw = f" {words[i]}".encode()
+        if any(b"".join(map(known.__getitem__, own[i])) != raw for own, known in zip(ids, (pair.a_bytes, pair.b_bytes), strict=True)):
+            good[i] = False
+            ids[0][i] = ids[1][i] = ()
+    sizes = [np.fromiter(map(len, own), np.int64, len(words)) for own in ids]
+    return [(np.fromiter(chain.from_iterable(own), np.int64, int(n.sum())), n) for own, n in zip(ids, sizes, strict=True)], good
 
 
 def grouped(a: np.ndarray, b: np.ndarray, pair: Pair) -> tuple[np.ndarray, np.ndarray]:
@@ -120,26 +175,55 @@ def rendered(a: list[int], b: list[int], na: list[int], nb: list[int]) -> str:
     return ";".join(out)
 
 
-def _call(texts: list[str], pair: Pair, digest: bool):
+def _sums(values: np.ndarray, places: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Sums of values[places] between cuts."""
+    return np.diff(np.concatenate([[0], np.cumsum(values[places])])[cuts])
+
+
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of ranges, one range behind the other."""
+    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+def _block(texts: list[str], pair: Pair, digest: bool):
     """Of some texts: (n_a, n_b, n_groups, n_links, groups) of each, and (text, code of the pair, how often) of their distinct links."""
-    ids = encoded(texts, pair)
-    size_a, size_b = (np.array([len(x[k]) for x in ids], np.int64) for k in (0, 1))
-    a, b = (np.fromiter((i for x in ids for i in x[k]), np.int64) for k in (0, 1))
+    numbers: dict[str, int] = {}
+    split = [[numbers.setdefault(w, len(numbers)) for w in words_of(t)] for t in texts]
+    words = list(numbers)
+    ((a, size_a), (b, size_b)), good = encoded(words, pair)
     group_a, group_b = grouped(a, b, pair)
-    doc_of_a = np.repeat(np.arange(len(texts)), size_a)
-    n = group_a[-1] + 1 if len(a) else 0
-    doc = np.zeros(n, np.int64)
-    doc[group_a] = doc_of_a
+    n = int(group_a[-1]) + 1 if len(a) else 0
+    word = np.zeros(n, np.int64)
+    word[group_a] = np.repeat(np.arange(len(words)), size_a)
     na, nb = np.bincount(group_a, minlength=n), np.bincount(group_b, minlength=n)
-    groups, links = (np.bincount(doc, w, minlength=len(texts)).astype(np.int64) for w in (None, na * nb))
-    cut = np.concatenate([[0], np.cumsum(groups)])
-    text_of = [rendered(*ids[k], na[cut[k] : cut[k + 1]].tolist(), nb[cut[k] : cut[k + 1]].tolist()) for k in range(len(texts))]
+    groups, links = (np.bincount(word, w, minlength=len(words)).astype(np.int64) for w in (None, na * nb))
+    cut_a, cut_b, cut = ([0, *np.cumsum(x).tolist()] for x in (size_a, size_b, groups))
+    list_a, list_b, list_na, list_nb = (x.tolist() for x in (a, b, na, nb))
+    said = [rendered(list_a[cut_a[k] : cut_a[k + 1]], list_b[cut_b[k] : cut_b[k + 1]], list_na[cut[k] : cut[k + 1]], list_nb[cut[k] : cut[k + 1]]) for k in range(len(words))]
+
+    # The distinct pairs of each word.
     group, ia, ib, times = linked(a, b, group_a, group_b)
     codes = len(pair.a_bytes) * len(pair.b_bytes)
-    key, place = np.unique(doc[group] * codes + ia * len(pair.b_bytes) + ib, return_inverse=True)
+    key, place = np.unique(word[group] * codes + ia * len(pair.b_bytes) + ib, return_inverse=True)
     often = np.bincount(place, times, minlength=len(key)).astype(np.int64)
-    rows = list(zip(size_a.tolist(), size_b.tolist(), groups.tolist(), links.tolist(), [hashlib.sha256(t.encode()).hexdigest() if t and digest else t for t in text_of], strict=True))
-    return rows, key // codes, key % codes, often
+    per_word = np.bincount(key // codes, minlength=len(words)).astype(np.int64)
+
+    # Texts as numbers of words; those with a word of other bytes have none.
+    length = np.array([len(x) for x in split], np.int64)
+    at = np.fromiter(chain.from_iterable(split), np.int64, int(length.sum()))
+    bad = _sums((~good).astype(np.int64), at, np.concatenate([[0], np.cumsum(length)])) > 0
+    at, length = at[np.repeat(~bad, length)], np.where(bad, 0, length)
+    cuts = np.concatenate([[0], np.cumsum(length)])
+    figures = [_sums(x, at, cuts).tolist() for x in (size_a, size_b, groups, links)]
+    shown = ["" if bad[i] else ";".join(map(said.__getitem__, x)) for i, x in enumerate(split)]
+    rows = list(zip(*figures, [hashlib.sha256(t.encode()).hexdigest() if t and digest else t for t in shown], strict=True))
+
+    # The distinct pairs of each text, from its distinct words.
+    held, count = np.unique(np.repeat(np.arange(len(texts)), length) * max(1, len(words)) + at, return_counts=True)
+    doc, of = held // max(1, len(words)), held % max(1, len(words))
+    entry = _ranges((np.cumsum(per_word) - per_word)[of], per_word[of])
+    pairs, place = np.unique(np.repeat(doc, per_word[of]) * codes + key[entry] % codes, return_inverse=True)
+    return rows, pairs // codes, pairs % codes, np.bincount(place, often[entry] * np.repeat(count, per_word[of]), minlength=len(pairs)).astype(np.int64)
 
 
 def _small(a: np.ndarray) -> bytes:
@@ -168,43 +252,25 @@ def blocks_of(docs: DataFrame, path_a: str, path_b: str, digest: bool, block_byt
     def run(batches):
         pair = loaded(path_a, path_b)
         task, number = TaskContext.get().partitionId(), 0
-        ids, rows, texts, found, size = [], [], [], [], 0
-
-        def call():
-            done, doc, code, often = _call(texts, pair, digest)
-            found.append((code, often, np.bincount(doc, minlength=len(texts))))
-            rows.extend(done)
-            texts.clear()
+        ids, texts, size = [], [], 0
 
         def block():
-            code, often, entries = (np.concatenate(x) for x in zip(*found, strict=True))
+            rows, doc, code, often = _block(texts, pair, digest)
             codes, pairs = np.unique(code, return_inverse=True)
-            held = np.bincount(pairs, minlength=len(codes)).astype(np.int64)
-            key = (task << 24) + number
-            columns = [[key] * (len(rows) + 1), [*range(len(rows)), -1], [*ids, None], *[[*x, None] for x in zip(*rows, strict=True)], [*entries.tolist(), None]]
-            blobs = [[None] * len(rows) + [x] for x in (codes.tobytes(), held.tobytes(), _small(pairs.astype(np.int32)), _small(often.astype(np.int64)))]
-            out = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip([*columns, *blobs], schema.types, strict=True)], schema=schema)
-            ids.clear(), rows.clear(), found.clear()
-            return out
-
-        waiting = 0
+            held, entries = np.bincount(pairs, minlength=len(codes)).astype(np.int64), np.bincount(doc, minlength=len(rows))
+            columns = [[(task << 24) + number] * (len(rows) + 1), [*range(len(rows)), -1], [*ids, None], *[[*x, None] for x in zip(*rows, strict=True)], [*entries.tolist(), None]]
+            blobs = [[None] * len(rows) + [x] for x in (codes.tobytes(), held.tobytes(), _small(pairs.astype(np.int32)), _small(often))]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip([*columns, *blobs], schema.types, strict=True)], schema=schema)
+
         for b in batches:
             for doc, text in zip(b.column(0).cast(to_arrow_type(id_type)).to_pylist(), b.column(1), strict=True):
-                raw = text.as_py() or ""
                 ids.append(doc)
-                texts.append(raw)
-                size, waiting = size + len(raw) + 64, waiting + len(raw) + 64
-                if waiting >= CALL_BYTES:
-                    call()
-                    waiting = 0
+                texts.append(text.as_py() or "")
+                size += len(texts[-1]) + 64
                 if size >= block_bytes:
-                    if texts:
-                        call()
                     yield block()
-                    number, size, waiting = number + 1, 0, 0
-        if texts:
-            call()
-        if rows:
+                    ids, texts, size, number = [], [], 0, number + 1
+        if ids:
             yield block()
 
     return modest_batches(docs).select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(releasing(run), ddl)

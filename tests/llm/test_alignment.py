@@ -107,3 +107,19 @@ def test_groups_as_text_and_odd_rows(spark):
 def test_a_missing_file_raises(spark):
     with pytest.raises(Exception):
         al.align(spark.createDataFrame([(1, "a")], "doc_id long, text string"), path_b="/nowhere.model").collect()
+
+
+def test_words_are_encoded_as_in_their_text():
+    """Texts of everything that could join two words: white space of all kinds, marks of spaces, bytes, accents, special tokens."""
+    rng = np.random.default_rng(7)
+    some = [" ", " ", " ", "\n", "\t", "a", "b", "é", "▁", "中", "😀", "'s", "'", "1", "23", "　", "\xa0", "​", "᠎", "\x00", "\x1f", "\x85", "fi", "ﬁ", "é", "<s>", "<0x0A>", "<unk>", " ", "the ", "  ", "<|endoftext|>"]
+    texts = ["".join(some[i] for i in rng.integers(0, len(some), rng.integers(1, 16))) for _ in range(6000)]
+    pair = al.loaded(al.BYTE_LEVEL, al.PIECES)
+    rows, doc, code, often = al._block(texts, pair, digest=False)
+    for k, text in enumerate(texts):
+        own, other = pieces(text)
+        assert rows[k][:2] == (len(own), len(other)), text
+        sides = [x.split("|") for x in rows[k][4].split(";")] if rows[k][4] else []
+        assert [int(i) for g in sides for i in g[0].split(",")] == [i for i, _ in own], text
+        assert [int(i) for g in sides for i in g[1].split(",")] == [i for i, _ in other], text
+    assert sum(r[0] > 0 for r in rows) > 4000
