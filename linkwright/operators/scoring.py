@@ -1,9 +1,9 @@
-"""Fellegi-Sunter scoring: comparison levels, exact u, m from labels or by EM on pattern counts, match weights."""
+"""Fellegi-Sunter scoring: comparison levels, pattern counts, m from labels, match weights."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import partial, reduce
 from math import log2
 from typing import Protocol
 
@@ -22,18 +22,19 @@ class Matcher(Protocol):
     def score(self, candidates: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame: ...
 
 
-def title_level(a: Column, b: Column) -> Column:
-    """4 same set, 3, 2, 1 by Jaccard, 0 else; a and b hold nothing twice."""
+def title_level_of(j: Column) -> Column:
+    """4 for the same set, 3, 2, 1 by Jaccard, 0 else."""
+    level = F.when(j == 1, 4)
+    for k, t in zip((3, 2, 1), TITLE, strict=True):
+        level = level.when(j >= t, k)
+    return level.otherwise(0)
 
-    def of(j: Column) -> Column:
-        level = F.when(j == 1, 4)
-        for k, t in zip((3, 2, 1), TITLE, strict=True):
-            level = level.when(j >= t, k)
-        return level.otherwise(0)
 
+def title_level(a: Column, b: Column) -> Column:
+    """The level of the Jaccard of two arrays that hold nothing twice."""
     # Two empty sets have no Jaccard, but they are the same.
     j = F.coalesce(S.jaccard_of_sets(a, b), F.lit(1.0))
-    return F.when(a.isNull() | b.isNull(), MISSING).otherwise(S.once(j, of))
+    return F.when(a.isNull() | b.isNull(), MISSING).otherwise(S.once(j, title_level_of))
 
 
 def overlap_level(a: Column, b: Column, sizes: tuple[int, ...]) -> Column:
@@ -57,13 +58,12 @@ def price_level(a: Column, b: Column) -> Column:
     return level.otherwise(0)
 
 
+#: Numbers of shared members that make a level of an array comparison, the highest level first.
+ARRAYS = {"rare_identifier_tokens": (1,), "common_identifier_tokens": (1,), "brand_terms": (2, 1), "rare_tokens": (2, 1)}
 #: Name, highest level, and level expression from the columns l and r of a feature.
 COMPARISONS = {
     "title_tokens": (4, title_level),
-    "rare_identifier_tokens": (1, lambda a, b: overlap_level(a, b, (1,))),
-    "common_identifier_tokens": (1, lambda a, b: overlap_level(a, b, (1,))),
-    "brand_terms": (2, lambda a, b: overlap_level(a, b, (2, 1))),
-    "rare_tokens": (2, lambda a, b: overlap_level(a, b, (2, 1))),
+    **{c: (len(sizes), partial(overlap_level, sizes=sizes)) for c, sizes in ARRAYS.items()},
     "price_value": (4, price_level),
 }
 GAMMAS = [f"gamma_{k}" for k in COMPARISONS]
@@ -112,80 +112,6 @@ def level_shares(levels: DataFrame, names: list[str] | None = None) -> DataFrame
     return counts.join(total, "comparison").select("comparison", "level", "n", F.round(F.col("n") / F.col("total"), 9).alias("share"))
 
 
-def random_pairs(a: DataFrame, b: DataFrame, most: int = 50_000_000, seed: int = 0) -> DataFrame:
-    """All pairs of both tables, or about ``most`` pairs of seeded samples where there are more."""
-    na, nb = a.count(), b.count()
-    share = min(1.0, (most / max(1, na * nb)) ** 0.5)
-    if share < 1:
-        a, b = a.sample(share, seed), b.sample(share, seed + 1)
-    return a.select(F.col(ID).alias(LEFT)).crossJoin(b.select(F.col(ID).alias(RIGHT)))
-
-
-def training_pairs(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
-    """Pairs that share a member of an array column: explode and equi-join."""
-    left = a.select(F.col(ID).alias(LEFT), F.explode(column).alias("item"))
-    right = b.select(F.col(ID).alias(RIGHT), F.explode(column).alias("item"))
-    return left.join(right, "item").select(LEFT, RIGHT).distinct()
-
-
-def collect_u(levels: DataFrame) -> dict[str, dict[int, float]]:
-    """u of every level, at most 21 rows; unseen levels get half a pair."""
-    seen: dict[str, dict[int, float]] = {c: {} for c in COMPARISONS}
-    for r in level_shares(levels).collect():
-        seen[r["comparison"]][r["level"]] = r["n"]
-    out = {}
-    for c, (top, _) in COMPARISONS.items():
-        counts = {k: seen[c].get(k, 0.5) for k in range(top + 1)}
-        out[c] = {k: v / sum(counts.values()) for k, v in counts.items()}
-    return out
-
-
-def em_session(counts: list[tuple[tuple[int, ...], int]], names: list[str], model: Model, blocked: str) -> dict[str, dict[int, float]]:
-    """m of every comparison but the blocked one, u fixed, from pattern counts of the session's pairs."""
-    free = [(i, c) for i, c in enumerate(names) if c != blocked]
-    m = {c: {k: (k + 1.0) ** 2 for k in model.u[c]} for _, c in free}
-    m = {c: {k: v / sum(x.values()) for k, v in x.items()} for c, x in m.items()}
-    prior, total = 0.1, sum(n for _, n in counts)
-    for _ in range(model.max_rounds):
-        sums = {c: dict.fromkeys(model.u[c], 1e-9) for _, c in free}
-        matches = 0.0
-        for pattern, n in counts:
-            odds = prior / (1 - prior)
-            for i, c in free:
-                if (k := pattern[i]) != MISSING:
-                    odds *= m[c][k] / model.u[c][k]
-            expected = n * odds / (1 + odds)
-            matches += expected
-            for i, c in free:
-                if (k := pattern[i]) != MISSING:
-                    sums[c][k] += expected
-        new = {c: {k: v / sum(x.values()) for k, v in x.items()} for c, x in sums.items()}
-        change = max(abs(new[c][k] - m[c][k]) for c in new for k in new[c])
-        m, prior = new, min(0.999, max(1e-9, matches / max(1, total)))
-        if change < model.tolerance:
-            break
-    return m
-
-
-def train(a: DataFrame, b: DataFrame, model: Model | None = None, blocks: tuple[str, ...] = ("rare_identifier_tokens", "common_identifier_tokens", "rare_tokens", "brand_terms")) -> Model:
-    """u from random pairs; m by one EM session for each block, the median over sessions for each level.
-
-    What comes to the driver are levels and their patterns (at most 5,184). A block without pairs has no session.
-    """
-    model = model or Model()
-    model.u = collect_u(gammas(pair_features(random_pairs(a, b), a, b)))
-    names, sessions = list(COMPARISONS), []
-    for block in blocks:
-        levels = gammas(pair_features(training_pairs(a, b, block), a, b))
-        counts = [(tuple(r[g] for g in GAMMAS), r["n"]) for r in pattern_counts(levels).collect()]
-        if counts:
-            sessions.append(em_session(counts, names, model, block))
-    for c in names:
-        got = [s[c] for s in sessions if c in s]
-        model.m[c] = {k: sorted(x[k] for x in got)[len(got) // 2] if got else model.u[c][k] for k in model.u[c]}
-    return model
-
-
 def m_from_matches(levels: DataFrame, names: list[str] | None = None) -> DataFrame:
     """m by comparison and level, from labelled matches alone."""
     return level_shares(levels, names).withColumnRenamed("share", "m").select("comparison", "level", "n", "m")
@@ -208,9 +134,20 @@ class FellegiSunterMatcher:
         self.model = model
 
     def score(self, candidates: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
-        weights = {c: {k: self.model.weight(c, k) for k in self.model.u[c]} for c in COMPARISONS}
-        levels = gammas(pair_features(candidates, a, b))
-        return weighted(levels, weights, log2(self.model.prior / (1 - self.model.prior))).select(LEFT, RIGHT, "bits", "match_probability")
+        return scored(gammas(pair_features(candidates, a, b)), self.model)
+
+
+def scored(levels: DataFrame, model: Model) -> DataFrame:
+    """bits and match_probability of pairs whose levels are known."""
+    weights = {c: {k: model.weight(c, k) for k in model.u[c]} for c in COMPARISONS}
+    return weighted(levels, weights, log2(model.prior / (1 - model.prior))).select(LEFT, RIGHT, "bits", "match_probability")
+
+
+def density_shift(scores: DataFrame, trained: float, given: float) -> DataFrame:
+    """Scores for pairs of which a share ``given`` match, from a model for pairs of which ``trained`` do: the log odds move, the evidence stays."""
+    move = log2(given / (1 - given)) - log2(trained / (1 - trained))
+    bits = F.col("bits") + F.lit(move)
+    return scores.withColumn("bits", bits).withColumn("match_probability", S.probability(F.col("bits")))
 
 
 def exploded_keys(candidates: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:

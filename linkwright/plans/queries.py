@@ -16,32 +16,27 @@ from linkwright.operators import evaluate as I
 from linkwright.operators import features as D
 from linkwright.operators import review as L
 from linkwright.operators import scoring as G
+from linkwright.operators import training as T
 from linkwright.operators.blocking import ClassicalBlocker, Settings, per_left_counts, ranked_quantiles, rule_report, totals
 from linkwright.plans import sql as Q
+from linkwright.plans.registry import FOUND, query
 from linkwright.sources import tables as A
 from linkwright.sources.tables import ID, LEFT, RIGHT
 from linkwright.sources.views import catalogue, products, sides, table
 from linkwright.streaming import windows as K
 
-_FOUND: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 DOCUMENTS = Settings()
 PRODUCTS = Settings(columns=("title",))
 
 
-def query(sql: str | None = None):
-    def add(f):
-        _FOUND[f.__name__] = (f, sql)
-        return f
-
-    return add
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, (f, _) in _FOUND.items()}
+    from linkwright.plans import trained  # noqa: F401  it registers its own, which build on these
+
+    return {k: f for k, (f, _) in FOUND.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: s for k, (_, s) in _FOUND.items() if s}
+    return {k: FOUND[k][1] for k in queries() if FOUND[k][1]}
 
 
 def _md5(items):
@@ -320,13 +315,14 @@ def per_left_spread(spark, sf):
     return ranked_quantiles(per_left_counts(pairs, a), "n")
 
 
-_LOOSE = f"kept AS ({Q.pairs_sharing('tok', 100)}), more AS (SELECT 'R1' AS rule, * FROM ({Q.pairs_sharing('tok', 150)} EXCEPT SELECT * FROM kept) UNION ALL SELECT 'R5', * FROM ({Q.pairs_sharing('gram', 75)} EXCEPT SELECT * FROM kept) UNION ALL SELECT 'R3', * FROM ({Q.BRAND_RULE.replace('>= 2', '>= 1')} EXCEPT SELECT * FROM kept))"
+_LOOSE = f"kept AS (SELECT unique_id_l, unique_id_r FROM cand), more AS (SELECT 'R1' AS rule, * FROM ({Q.pairs_sharing('tok', 150)} EXCEPT SELECT * FROM kept) UNION ALL SELECT 'R5', * FROM ({Q.pairs_sharing('gram', 75)} EXCEPT SELECT * FROM kept) UNION ALL SELECT 'R3', * FROM ({Q.BRAND_RULE.replace('>= 2', '>= 1')} EXCEPT SELECT * FROM kept))"
 
 
-@query(Q.with_(Q.CAT, Q.TOK, Q.GRAM, Q.VOCABULARY, Q.HARVEST, Q.BRAND_PAIRS, _LOOSE) + "SELECT rule, count(*) AS n FROM more GROUP BY rule UNION ALL SELECT 'any', count(*) FROM (SELECT DISTINCT unique_id_l, unique_id_r FROM more)")
+@query(Q.with_(*_CAND, _LOOSE) + "SELECT rule, count(*) AS n FROM more GROUP BY rule UNION ALL SELECT 'any', count(*) FROM (SELECT DISTINCT unique_id_l, unique_id_r FROM more)")
 def near_misses(spark, sf):
+    """Against all candidates, of whatever rule."""
     a, b = sides(catalogue(spark, sf))
-    return J.near_misses(ClassicalBlocker(DOCUMENTS).rule_word(a, b), a, b, DOCUMENTS)
+    return J.near_misses(_candidates(spark, sf), a, b, DOCUMENTS)
 
 
 @query(Q.with_(Q.PROD, _BRAND_CAND, f"t AS (SELECT side, unique_id, brand, {Q.token_set(Q.SHORT_RECORD)} AS tokens, {Q.ngrams(Q.SHORT_RECORD, 3)} AS grams FROM prod)", "pr AS (SELECT a.brand = b.brand AS same, len(list_intersect(a.tokens, b.tokens)) AS w, len(list_intersect(a.grams, b.grams)) AS g FROM t a, t b WHERE a.side = 'A' AND b.side = 'B' AND NOT EXISTS (SELECT 1 FROM bc WHERE bc.unique_id_l = a.unique_id AND bc.unique_id_r = b.unique_id))") + "SELECT CASE WHEN same THEN 'brand' WHEN w > 0 THEN 'common_words' WHEN g > 0 THEN 'common_sequences' ELSE 'nothing' END AS reason, CAST(least(w, 5) AS INTEGER) AS shared, count(*) AS n FROM pr GROUP BY ALL")
@@ -391,15 +387,12 @@ _SHARES = "SELECT comparison, level, n, round(CAST(n AS DOUBLE) / sum(n) OVER (P
 
 @query(Q.with_(Q.PROD, _EVERY) + _SHARES.format("lev").replace("@", "share"))
 def u_exact(spark, sf):
-    """Over all pairs of both sides, as the definition of u has it; scoring.random_pairs() samples beyond its limit."""
-    p = products(spark, sf).withColumn("brand", F.lit("x")).withColumn("t", X.token_set(F.col("title"))).withColumn("p", X.parse_price(F.col("price")))
+    """Over all pairs of both sides, as the definition of u has it, counted from classes of equal values: no pair of records is listed."""
+    p = products(spark, sf).select(ID, "side", X.token_set(F.col("title")).alias("t"), X.parse_price(F.col("price")).alias("price_value"), F.array("category").alias("c"))
     a, b = sides(p)
-    # Equal records give equal levels: count them before pairing, so that pairs are of distinct records.
-    kinds = [d.groupBy("t", "p", "category").agg(F.count("*").alias("n")) for d in (a, b)]
-    l, r = (d.select(*[F.col(c).alias(f"{k}{c}") for c in ("t", "p", "category", "n")]) for d, k in zip(kinds, "lr", strict=True))
-    category = F.when(F.col("lcategory") == F.col("rcategory"), 1).otherwise(0)
-    levels = l.crossJoin(r).select(F.explode(F.array(*[F.struct(F.lit(n).alias("comparison"), g.alias("level")) for n, g in (("title", G.title_level(F.col("lt"), F.col("rt"))), ("category", category), ("price", G.price_level(F.col("lp"), F.col("rp"))))])).alias("x"), (F.col("ln") * F.col("rn")).alias("w"))
-    counts = levels.groupBy("x.comparison", "x.level").agg(F.sum("w").alias("n"))
+    named = lambda d, c: d.groupBy(F.col("level").cast("int").alias("level")).agg(F.sum("n").alias("n")).select(F.lit(c).alias("comparison"), "level", "n")
+    category = T.shared_counts(a, b, "c").withColumn("level", F.least("shared", F.lit(1)))
+    counts = named(T.title_counts(a, b, "t"), "title").unionByName(named(category, "category")).unionByName(named(T.price_counts(a, b), "price")).filter("n > 0")
     return counts.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("comparison")), 9))
 
 
@@ -441,28 +434,11 @@ def gamma6(spark, sf):
     return G.gammas(G.pair_features(ClassicalBlocker(DOCUMENTS).rule_word(a, b), *D.features_of(a, b)))
 
 
-@query()
-def linked_products(spark, sf):
-    """From tables to decisions: all rules at their cutoffs, six features compared, u and m trained, scores, outcomes."""
-    a, b = sides(products(spark, sf))
-    candidates = ClassicalBlocker().generate_candidates(a, b)
-    fa, fb = (f.persist() for f in D.features_of(a, b))
-    matcher = G.FellegiSunterMatcher(G.train(fa, fb))
-    return H.outcomes(C.validate_scores(matcher.score(candidates, fa, fb), candidates))
-
-
 @query(Q.with_(Q.PROD, _BRAND_CAND) + "SELECT unique_id_l, unique_id_r FROM bc")
 def pair_key_explode(spark, sf):
     return G.exploded_keys(*_title_pairs(spark, sf))
 
 
-@query()
-def em_params(spark, sf):
-    """m and u of all levels after EM on the catalogue of documents."""
-    a, b = D.features_of(*sides(catalogue(spark, sf)))
-    return G.train(a.persist(), b.persist(), G.Model(max_rounds=100)).rows(spark)
-
-
 # Decisions
 
 
