@@ -52,6 +52,8 @@ class Pair:
     b_bytes: list[bytes]
     a_size: np.ndarray
     b_size: np.ndarray
+    a_text: list[str]
+    b_text: list[str]
     #: What the second one makes of a lone space.
     space: list[int]
 
@@ -79,7 +81,8 @@ def loaded(path_a: str, path_b: str) -> Pair:
         raise ValueError(f"{path_b} has pieces with a space behind other characters")
     sizes = [np.array([len(x) for x in y], np.int64) for y in (a_bytes, b_bytes)]
     space = b.piece_to_id("▁")
-    return Pair(a, b, a_bytes, b_bytes, *sizes, [] if b.is_unknown(space) else [space])
+    texts = [list(map(str, range(len(x)))) for x in (a_bytes, b_bytes)]
+    return Pair(a, b, a_bytes, b_bytes, *sizes, *texts, [] if b.is_unknown(space) else [space])
 
 
 def words_of(text: str) -> list[str]:
@@ -100,41 +103,45 @@ def _alone(words: list[str], pair: Pair) -> tuple[list[list[int]], list[list[int
     return a, [y if w else pair.space for y, w in zip(pair.b.encode(words, num_threads=1), words, strict=True)]
 
 
-def encoded(words: list[str], pair: Pair) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
-    """For both tokenizers (ids of all words, how many each has), and whether a word's joined tokens are a space and the word.
+def encoded(words: list[str], pair: Pair) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """(words in the order of what follows, ids of both tokenizers one word behind the other, how many each word has,
+    whether a word's joined tokens are a space and the word).
 
     Words go to the tokenizers in long texts, and are told apart by their bytes. Those that end in white space, and those of a
-    text whose bytes differ, go by themselves. Words with other bytes have no ids.
+    text whose bytes differ, go by themselves, last. Words with other bytes have no ids.
     """
-    ids: list[list] = [[()] * len(words), [()] * len(words)]
-    single = [i for i, w in enumerate(words) if not w or w[-1] in WHITE or w[-1] == " "]
+    known = (pair.a_bytes, pair.b_bytes)
+    single = [i for i, w in enumerate(words) if not w or w[-1] in WHITE]
     apart = set(single)
     others = [i for i in range(len(words)) if i not in apart]
+    order: list[int] = []
+    ids: tuple[list, list] = ([np.empty(0, np.int64)], [np.empty(0, np.int64)])
+    sizes: tuple[list, list] = ([np.empty(0, np.int64)], [np.empty(0, np.int64)])
     for lo in range(0, len(others), CALL_WORDS):
         part = others[lo : lo + CALL_WORDS]
+        raws = [f" {words[i]}".encode() for i in part]
         text = " ".join([words[i] for i in part])
-        raw, ends = f" {text}".encode(), np.cumsum([len(words[i].encode()) + 1 for i in part])
         both = pair.a.encode(f" {text}", add_special_tokens=False).ids, pair.b.encode(text, num_threads=1)
-        if any(b"".join(map(known.__getitem__, x)) != raw for x, known in zip(both, (pair.a_bytes, pair.b_bytes), strict=True)):
+        raw, ends = b"".join(raws), np.cumsum(np.fromiter(map(len, raws), np.int64, len(raws)))
+        if any(b"".join(map(own.__getitem__, x)) != raw for x, own in zip(both, known, strict=True)):
             single += part
             continue
-        for own, x, size in zip(ids, both, (pair.a_size, pair.b_size), strict=True):
-            cuts = np.searchsorted(np.cumsum(size[x]), ends) + 1
-            for i, begin, end in zip(part, [0, *cuts.tolist()], cuts.tolist(), strict=False):
-                own[i] = x[begin:end]
+        order += part
+        for x, size, flat, n in zip(both, (pair.a_size, pair.b_size), ids, sizes, strict=True):
+            flat.append(np.array(x, np.int64))
+            n.append(np.diff(np.searchsorted(np.cumsum(size[flat[-1]]), ends), prepend=-1))
+    good = np.ones(len(words), bool)
     for lo in range(0, len(single), CALL_WORDS):
         part = single[lo : lo + CALL_WORDS]
-        for own, x in zip(ids, _alone([words[i] for i in part], pair), strict=True):
-            for i, y in zip(part, x, strict=True):
-                own[i] = y
-    good = np.ones(len(words), bool)
-    for i in single:
-        raw = f" {words[i]}".encode()
-        if any(b"".join(map(known.__getitem__, own[i])) != raw for own, known in zip(ids, (pair.a_bytes, pair.b_bytes), strict=True)):
-            good[i] = False
-            ids[0][i] = ids[1][i] = ()
-    sizes = [np.fromiter(map(len, own), np.int64, len(words)) for own in ids]
-    return [(np.fromiter(chain.from_iterable(own), np.int64, int(n.sum())), n) for own, n in zip(ids, sizes, strict=True)], good
+        both = _alone([words[i] for i in part], pair)
+        for k, i in enumerate(part):
+            good[i] = all(b"".join(map(own.__getitem__, x[k])) == f" {words[i]}".encode() for x, own in zip(both, known, strict=True))
+        order += part
+        for x, flat, n in zip(both, ids, sizes, strict=True):
+            own = [y if good[i] else [] for i, y in zip(part, x, strict=True)]
+            n.append(np.fromiter(map(len, own), np.int64, len(own)))
+            flat.append(np.fromiter(chain.from_iterable(own), np.int64, int(n[-1].sum())))
+    return np.array(order, np.int64), [np.concatenate(x) for x in ids], [np.concatenate(x) for x in sizes], good
 
 
 def grouped(a: np.ndarray, b: np.ndarray, pair: Pair) -> tuple[np.ndarray, np.ndarray]:
@@ -165,14 +172,23 @@ def linked(a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarra
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def rendered(a: list[int], b: list[int], na: list[int], nb: list[int]) -> str:
-    """Groups as a1,a2|b1;a3|b2,b3."""
-    out, i, j = [], 0, 0
-    sa, sb = list(map(str, a)), list(map(str, b))
-    for k, m in zip(na, nb, strict=True):
-        out.append(f"{sa[i]}|{sb[j]}" if k == m == 1 else f"{','.join(sa[i : i + k])}|{','.join(sb[j : j + m])}")
-        i, j = i + k, j + m
-    return ";".join(out)
+def rendered(words: np.ndarray, ids: list[np.ndarray], sizes: list[np.ndarray], groups: np.ndarray, group_sizes: list[np.ndarray], pair: Pair) -> list[str]:
+    """Groups of each word as a1,a2|b1;a3|b2,b3. words: the word of what comes first, second and so on; the result is by word."""
+    out = [""] * len(words)
+    a, b = (list(map(text.__getitem__, x.tolist())) for x, text in zip(ids, (pair.a_text, pair.b_text), strict=True))
+    na, nb = (x.tolist() for x in group_sizes)
+    i = j = g = 0
+    for w, n, k, m in zip(words.tolist(), groups.tolist(), *(x.tolist() for x in sizes), strict=True):
+        if n == 1:  # all of the word
+            out[w] = f"{a[i]}|{b[j]}" if k == m == 1 else f"{','.join(a[i : i + k])}|{','.join(b[j : j + m])}"
+        else:
+            parts, p, q = [], i, j
+            for x, y in zip(na[g : g + n], nb[g : g + n], strict=True):
+                parts.append(f"{a[p]}|{b[q]}" if x == y == 1 else f"{','.join(a[p : p + x])}|{','.join(b[q : q + y])}")
+                p, q = p + x, q + y
+            out[w] = ";".join(parts)
+        i, j, g = i + k, j + m, g + n
+    return out
 
 
 def _sums(values: np.ndarray, places: np.ndarray, cuts: np.ndarray) -> np.ndarray:
@@ -190,16 +206,16 @@ def _block(texts: list[str], pair: Pair, digest: bool):
     numbers: dict[str, int] = {}
     split = [[numbers.setdefault(w, len(numbers)) for w in words_of(t)] for t in texts]
     words = list(numbers)
-    ((a, size_a), (b, size_b)), good = encoded(words, pair)
+    order, (a, b), sizes, good = encoded(words, pair)
     group_a, group_b = grouped(a, b, pair)
     n = int(group_a[-1]) + 1 if len(a) else 0
     word = np.zeros(n, np.int64)
-    word[group_a] = np.repeat(np.arange(len(words)), size_a)
+    word[group_a] = np.repeat(order, sizes[0])
     na, nb = np.bincount(group_a, minlength=n), np.bincount(group_b, minlength=n)
     groups, links = (np.bincount(word, w, minlength=len(words)).astype(np.int64) for w in (None, na * nb))
-    cut_a, cut_b, cut = ([0, *np.cumsum(x).tolist()] for x in (size_a, size_b, groups))
-    list_a, list_b, list_na, list_nb = (x.tolist() for x in (a, b, na, nb))
-    said = [rendered(list_a[cut_a[k] : cut_a[k + 1]], list_b[cut_b[k] : cut_b[k + 1]], list_na[cut[k] : cut[k + 1]], list_nb[cut[k] : cut[k + 1]]) for k in range(len(words))]
+    said = rendered(order, [a, b], sizes, groups[order], [na, nb], pair)
+    size_a, size_b = np.zeros((2, len(words)), np.int64)
+    size_a[order], size_b[order] = sizes
 
     # The distinct pairs of each word.
     group, ia, ib, times = linked(a, b, group_a, group_b)
