@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from math import log2
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkwright.functions import sets as S
+from linkwright.operators.order import numbered
 from linkwright.sources.tables import ID, LEFT, RIGHT
 
 BASELINE = 0.34
@@ -73,8 +76,8 @@ def best_threshold(scored: DataFrame, value: str = "bits", label: str = "label")
 
 def acquisition(scored: DataFrame, value: str = "bits", label: str = "label") -> DataFrame:
     """Pairs in the order in which they would be labelled, with the matches found so far."""
-    order = Window.orderBy(F.col(value).desc(), LEFT, RIGHT)
-    return scored.withColumn("cost", F.row_number().over(order)).withColumn("found", F.sum(label).over(order).cast("long"))
+    placed = numbered(scored, [F.col(value).desc(), LEFT, RIGHT], "__place", {"found": F.col(label).cast("long")})
+    return placed.withColumn("cost", (F.col("__place") + 1).cast("int")).drop("__place")
 
 
 def budget(acquired: DataFrame, ks: list[int]) -> DataFrame:
@@ -120,6 +123,56 @@ def paired_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return percentile_interval(d, "d").crossJoin(d.agg(F.round(F.avg((F.col("d") > 0).cast("int")), 6).alias("favours_a"))).withColumn("significant", (F.col("low") > 0) | (F.col("high") < 0))
 
 
+def class_draws(records: DataFrame, columns: list[str], draws: int = 2000, seed: int = 0, most_classes: int = 100_000) -> DataFrame:
+    """(draw, columns): sums over ``draws`` resamples of records, by their classes.
+
+    Records with equal figures are one class, and a resample draws how many of each there are (a multinomial), so that work is
+    draws times classes, whatever the number of records. Classes go to the driver: they are few, as figures are small counts,
+    and more than ``most_classes`` raise.
+    """
+    classes = records.groupBy(*columns).agg(F.count("*").alias("__n")).limit(most_classes + 1).collect()
+    if len(classes) > most_classes:
+        raise ValueError(f"more than {most_classes} classes of {columns}")
+    if not classes:
+        raise ValueError("no records to draw from")
+    classes = sorted(tuple(r) for r in classes)
+    values, counts = np.array([r[:-1] for r in classes], np.int64), np.array([r[-1] for r in classes], np.int64)
+
+    def draw(batches):
+        for t in batches:
+            taken = np.stack([np.random.default_rng([seed, int(i)]).multinomial(counts.sum(), counts / counts.sum()) @ values for i in t["id"]])
+            yield pd.DataFrame(taken, columns=columns).assign(draw=t["id"].to_numpy())[["draw", *columns]]
+
+    kind = "draw long, " + ", ".join(f"{c} long" for c in columns)
+    return records.sparkSession.range(draws).mapInPandas(draw, kind)
+
+
+def f1_of(tp: Column, fp: Column, fn: Column) -> Column:
+    """F1 in percent; null where nothing was predicted or there."""
+    whole = 2 * tp + fp + fn
+    return F.when(whole > 0, 200.0 * tp / whole)
+
+
+def bootstrap_classes(records: DataFrame, draws: int = 2000, seed: int = 0) -> DataFrame:
+    """bootstrap() by classes of records: draw, f1. Records of which no draw is defined raise."""
+    if not records.filter("tp + fp + fn > 0").limit(1).count():
+        raise ValueError("F1 is undefined in every resample")
+    return class_draws(records, ["tp", "fp", "fn"], draws, seed).select("draw", f1_of(F.col("tp"), F.col("fp"), F.col("fn")).alias("f1"))
+
+
+def paired_classes(one: DataFrame, other: DataFrame, draws: int = 2000, seed: int = 0) -> DataFrame:
+    """paired_difference() of two systems over the same resamples of the same left records (left, tp, fp, fn), by classes of both."""
+    both = one.select(LEFT, *[F.col(c).alias(f"{c}_a") for c in ("tp", "fp", "fn")]).join(other.select(LEFT, *[F.col(c).alias(f"{c}_b") for c in ("tp", "fp", "fn")]), LEFT, "full").na.fill(0)
+    sums = class_draws(both, [f"{c}_{s}" for s in "ab" for c in ("tp", "fp", "fn")], draws, seed)
+    side = lambda s: sums.select("draw", f1_of(*[F.col(f"{c}_{s}") for c in ("tp", "fp", "fn")]).alias("f1"))
+    return paired_difference(side("a"), side("b"))
+
+
+def contains(interval: DataFrame, value: float) -> DataFrame:
+    """interval (low, high) with whether it holds a value, bounds included."""
+    return interval.withColumn("contains", F.lit(value).between(F.col("low"), F.col("high")))
+
+
 def error_classes(chosen: DataFrame, truth: DataFrame) -> DataFrame:
     """right, no partner, wrong partner: what becomes of accepted pairs."""
     marked = chosen.select(LEFT, RIGHT).join(truth.select(LEFT, RIGHT, F.lit(1).alias("true")).distinct(), [LEFT, RIGHT], "left")

@@ -18,9 +18,12 @@ from linkwright.operators import review as L
 from linkwright.operators import scoring as G
 from linkwright.operators import training as T
 from linkwright.operators.blocking import ClassicalBlocker, Settings, per_left_counts, ranked_quantiles, rule_report, totals
+from linkwright.operators.order import numbered
+from linkwright.operators.similarity import similar_sets
 from linkwright.plans import sql as Q
 from linkwright.plans.registry import FOUND, query
 from linkwright.sources import tables as A
+from linkwright.sources.shared import kept
 from linkwright.sources.tables import ID, LEFT, RIGHT
 from linkwright.sources.views import catalogue, products, sides, table
 from linkwright.streaming import windows as K
@@ -333,6 +336,16 @@ def discard_taxonomy(spark, sf):
     return J.discard_taxonomy(pairs, a, b).filter("n > 0")
 
 
+@query(Q.with_(*_CAND, f"t AS (SELECT side, unique_id, brand, {Q.token_set(Q.RECORD)} AS tokens, {Q.ngrams(Q.RECORD, 3)} AS grams FROM cat)", "pr AS (SELECT a.brand = b.brand AS same, len(list_intersect(a.tokens, b.tokens)) AS w, len(list_intersect(a.grams, b.grams)) AS g FROM t a, t b WHERE a.side = 'A' AND b.side = 'B' AND NOT EXISTS (SELECT 1 FROM cand WHERE cand.unique_id_l = a.unique_id AND cand.unique_id_r = b.unique_id))") + "SELECT *, n AS low, n AS high FROM (SELECT CASE WHEN same THEN 'brand' WHEN w > 0 THEN 'common_words' WHEN g > 0 THEN 'common_sequences' ELSE 'nothing' END AS reason, CAST(least(w, 5) AS INTEGER) AS shared, count(*) AS n FROM pr GROUP BY ALL)")
+def discard_sample(spark, sf):
+    """What the seven rules discard of whole documents: all pairs of small tables, as in the SQL; 250,000 random ones of others."""
+    a, b = sides(catalogue(spark, sf))
+    record = X.record_text(A.ATTRIBUTES)
+    pairs = _candidates(spark, sf)
+    a, b = (d.select(ID, "brand", X.token_set(record).alias("tokens"), X.char_ngrams(record, 3).alias("grams")) for d in (a, b))
+    return J.sampled_taxonomy(pairs, a, b)
+
+
 # Contracts, on tables broken on purpose
 
 
@@ -514,9 +527,9 @@ _BASE = "base AS (SELECT unique_id_l, unique_id_r, similarity FROM (SELECT *, ro
 
 
 def _similar(spark, sf):
-    a, b = sides(products(spark, sf))
-    pairs = a.select(F.col(ID).alias(LEFT), "brand").join(b.select(F.col(ID).alias(RIGHT), "brand"), "brand")
-    return I.token_similarity(pairs, D.tokenised(a), D.tokenised(b))
+    """Pairs of one brand that reach the baseline's threshold: the others can't be chosen."""
+    a, b = (D.tokenised(d).join(d.select(ID, "brand"), ID) for d in sides(products(spark, sf)))
+    return similar_sets(a, b, I.BASELINE, ["brand"])
 
 
 @query(Q.with_(Q.PROD, _BB, _SIM, _BASE) + "SELECT unique_id_l, unique_id_r, round(similarity, 9) AS similarity FROM base")
@@ -598,19 +611,27 @@ def _records(spark, sf, decided=None):
     by = truth.join(hit, [LEFT, RIGHT], "left").groupBy(LEFT).agg(F.count("*").alias("partners"), F.count("chosen").alias("tp"))
     rows = a.select(F.col(ID).alias(LEFT)).join(by, LEFT, "left").join(chosen.select(LEFT, F.lit(1).alias("any")), LEFT, "left").na.fill(0)
     rows = rows.select(LEFT, "tp", (F.col("any") * (F.col("tp") == 0).cast("int")).alias("fp"), (F.col("partners") - F.col("tp")).alias("fn"))
-    return rows.withColumn("nth", (F.row_number().over(Window.orderBy(LEFT)) - 1).cast("long"))
+    return rows
 
 
 @query(Q.with_(*Q.DECIDING, Q.TRUTH, _RECORDS) + f"SELECT round(quantile_cont(f1, 0.025), 6) AS low, round(quantile_cont(f1, 0.975), 6) AS high, count(f1) AS kept, count(*) - count(f1) AS dropped FROM {_draws('s')}")
 def bootstrap_ci(spark, sf):
-    return I.percentile_interval(I.bootstrap(_records(spark, sf), 200, "s"))
+    """By hashed slots, 200 resamples: draws that SQL repeats one by one."""
+    return I.percentile_interval(I.bootstrap(numbered(_records(spark, sf), [LEFT]), 200, "s"))
+
+
+@query()
+def bootstrap_2000(spark, sf):
+    """2,000 resamples by classes of records."""
+    return I.percentile_interval(I.bootstrap_classes(_records(spark, sf)))
 
 
 @query()
 def paired_bootstrap(spark, sf):
-    """The final policy against outcomes without the reciprocity veto, on the same resamples."""
-    one, other = _records(spark, sf), _records(spark, sf, H.outcomes(_scored(spark, sf)))
-    return I.paired_difference(I.bootstrap(one, 200, "s"), I.bootstrap(other, 200, "s"))
+    """The final policy against outcomes without the reciprocity veto, on the same 2,000 resamples."""
+    s = kept(_scored(spark, sf))
+    decided = H.outcomes(s)
+    return I.paired_classes(_records(spark, sf, H.reciprocity_veto(decided, H.reciprocal_best(s))), _records(spark, sf, decided))
 
 
 @query(Q.with_(*Q.DECIDING, Q.TRUTH) + "SELECT class, count(*) AS n FROM (SELECT CASE WHEN t.unique_id_r IS NOT NULL THEN 'right' WHEN f.unique_id_l IN (SELECT unique_id_l FROM tru) THEN 'wrong_partner' ELSE 'no_partner' END AS class FROM (SELECT unique_id_l, best_candidate FROM fin WHERE outcome = 'accept') f LEFT JOIN tru t ON t.unique_id_l = f.unique_id_l AND t.unique_id_r = f.best_candidate) GROUP BY class")
@@ -686,8 +707,8 @@ def windowed_reciprocity(spark, sf):
 
 @query()
 def window_curve(spark, sf):
-    s = _scored(spark, sf).persist()
-    return K.window_curve(s, H.outcomes(s).persist(), _truth(spark, sf).persist(), (1, 25, 100, 2554))
+    s = kept(_scored(spark, sf))
+    return K.window_curve(s, kept(H.outcomes(s)), _truth(spark, sf))
 
 
 # Judges

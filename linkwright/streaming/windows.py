@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from linkwright.operators import decide as H
 from linkwright.operators import evaluate as I
+from linkwright.operators.order import numbered
 from linkwright.sources.tables import LEFT, RIGHT
 
 WINDOWS = (1, 10, 25, 100, 250, 500, 1000, 2554)
@@ -18,7 +19,7 @@ WINDOWS = (1, 10, 25, 100, 250, 500, 1000, 2554)
 
 def arrival(scores: DataFrame) -> DataFrame:
     """(left, nth) of distinct left ids in string order, from 0."""
-    return scores.select(LEFT).distinct().withColumn("nth", F.row_number().over(Window.orderBy(LEFT)) - 1)
+    return numbered(scores.select(LEFT).distinct(), [LEFT])
 
 
 def windowed(scores: DataFrame, size: int) -> DataFrame:

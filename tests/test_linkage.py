@@ -10,6 +10,7 @@ from linkwright.operators import evaluate as I
 from linkwright.operators import features as D
 from linkwright.operators import review as L
 from linkwright.operators import scoring as G
+from linkwright.operators import training as T
 from linkwright.operators.blocking import ClassicalBlocker, Settings, candidate_map, nearest, rule_report
 from linkwright.sources import tables as A
 from linkwright.streaming import windows as K
@@ -176,7 +177,7 @@ def test_training_ranks_the_same_record_first(spark):
     a = make(spark, "A", [{"title": t, "brand": "acme", "price": str(i + 1)} for i, t in enumerate(names)])
     b = make(spark, "B", [{"title": t, "brand": "acme", "price": str(i + 1)} for i, t in enumerate(reversed(names))])
     fa, fb = D.features_of(a, b)
-    model = G.train(fa, fb, G.Model(prior=0.01))
+    model, _ = T.train(fa, fb, G.Model(prior=0.01), ruled=T.same_title_pairs(a, b))
     every = a.select(F.col("unique_id").alias(A.LEFT)).crossJoin(b.select(F.col("unique_id").alias(A.RIGHT)))
     scored = G.FellegiSunterMatcher(model).score(every, fa, fb)
     best = {r[A.LEFT]: r["best_candidate"] for r in H.outcomes(scored).collect()}
