@@ -346,7 +346,7 @@ def test_one_to_one_variants_and_threshold_churn(spark):
 
 def test_em_params_reads_the_texts(spark, data):
     """u of titles is the share of all pairs by the words of their texts (smoothed), not by their languages."""
-    from linkwright.plans.queries import em_params
+    from linkwright.plans.trained import em_params
     from linkwright.sources.views import catalogue
 
     rows = [(r["side"], frozenset(re.findall("[a-z0-9]+", (r["title"] or "").lower()))) for r in catalogue(spark, data).select("side", "title").collect()]
