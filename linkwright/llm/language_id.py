@@ -17,8 +17,8 @@ BUCKETS, ORDERS, SMOOTHING = 1 << 15, (1, 2, 3), 0.5
 #: n-grams whose evidence counts at most in a score; letters of the runs that tell a text's languages apart, about.
 EVIDENCE, RUN = 30, 240
 BEHIND = max(ORDERS) - 1
-#: Letters and texts that are counted at a time.
-_BLOCK, _ROWS, _SLICE = 1 << 18, 16, 1 << 20
+#: Letters of the texts that are scored together, places that are looked up at a time.
+_BLOCK, _SLICE = 1 << 18, 1 << 20
 
 
 def letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -81,6 +81,20 @@ def count_rows(codes: np.ndarray, first: int, rows: np.ndarray, number: int, buc
     return out.reshape(-1, buckets)
 
 
+def gram_sums(codes: np.ndarray, offsets: np.ndarray, logs: np.ndarray, order: int) -> np.ndarray:
+    """For each text, the sum of the rows of logs that its n-grams of this order have: only buckets that a text shows are read, so that work follows its letters."""
+    out = np.zeros((len(offsets) - 1, logs.shape[1]))
+    behind = np.concatenate([offsets[1:] - k for k in range(1, BEHIND + 1)])
+    for lo in range(int(offsets[0]), int(offsets[-1]), _SLICE):
+        hi = min(lo + _SLICE, int(offsets[-1]))
+        rows = logs[grams(codes, len(logs), order, lo, hi)]
+        rows[behind[(behind >= lo) & (behind < hi)] - lo] = 0
+        first = int(np.searchsorted(offsets, lo, "right")) - 1
+        starts = np.concatenate([[lo], offsets[(offsets > lo) & (offsets < hi)]])
+        out[first : first + len(starts)] += np.add.reduceat(rows, starts - lo, axis=0)
+    return out
+
+
 def counts_of(texts: list[str], buckets: int) -> np.ndarray:
     codes, offsets = letters(texts)
     rows = np.minimum(rows_of(offsets), 0)
@@ -153,18 +167,13 @@ def predict_texts(texts: list[str | None], names: list[str], logs: np.ndarray) -
     """
     langs, scores, fits, parts = [], [], [], []
     block: list[str] = []
-    usual = usual_fit(logs)
+    usual, exact = usual_fit(logs), logs.astype(np.float64)
 
     def flush():
         codes, offsets = letters(block)
         is_letter = np.concatenate([[0], np.cumsum(codes != 32)])
         seen = is_letter[offsets[1:]] - is_letter[offsets[:-1]]
-        sums = np.zeros((len(block), len(names)))
-        for lo in range(0, len(block) if names else 0, _ROWS):
-            some = offsets[lo : lo + _ROWS + 1]
-            rows = rows_of(some)
-            for order in ORDERS:
-                sums[lo : lo + _ROWS] += count_rows(codes, int(some[0]), rows, len(some) - 1, len(logs), order) @ logs
+        sums = sum(gram_sums(codes, offsets, exact, order) for order in ORDERS) if names else np.zeros((len(block), 0))
         if names:
             number = np.maximum(1, len(ORDERS) * (np.diff(offsets) - BEHIND))[:, None]
             best = sums.argmax(axis=1)
