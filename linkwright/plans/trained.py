@@ -155,10 +155,33 @@ def _half(spark, sf):
     """Labelled product pairs, and the half that each left record is in."""
     levels = base._levels(spark, sf).join(base._truth(spark, sf).withColumn("label", F.lit(1)), [LEFT, RIGHT], "left")
     scored = G.weighted(levels, base.WEIGHTS, Q.PRIOR_BITS).withColumn("label", F.coalesce("label", F.lit(0)))
-    return kept(scored.select(LEFT, RIGHT, *base.NAMES, "label", "bits", (F.crc32(F.col(LEFT).cast("binary")) % 2).alias("half")))
+    return kept(scored.select(LEFT, RIGHT, *base.NAMES, "label", "bits", (F.floor(F.substring(LEFT, 3, 20).cast("long") / 5) % 2).alias("half")))
+
+
+_TOPS = {"title": ("gt", 4), "category": ("gc", 1), "price": ("gp", 4)}
+_LEVELS = " UNION ALL ".join(f"SELECT '{c}' AS comparison, {k} AS level, CAST({V.DEFAULT_TOP if k == top else (1 - V.DEFAULT_TOP) / top} AS DOUBLE) AS usual" for c, (_, top) in _TOPS.items() for k in range(top + 1))
+_KINDS = lambda t: " UNION ALL ".join(f"SELECT k, d, '{c}' AS comparison, {g} AS level FROM {t} WHERE label = 1" for c, (g, _) in _TOPS.items())
+# One relation holds all models: by k, and by draw (-1 for the reader's own matches).
+_SWEEP = f"""pairs AS MATERIALIZED (SELECT l, r, gt, gc, gp, bits, label, (CAST(substr(l, 3) AS BIGINT) // 5) % 2 AS half FROM lev JOIN lab ON l = unique_id_l AND r = unique_id_r),
+ ks AS (SELECT unnest({list(V.KS)}) AS k), tr AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY bits DESC, l, r) AS pos FROM pairs WHERE half = 0), fm AS (SELECT pos, row_number() OVER (ORDER BY pos) AS nth FROM tr WHERE label = 1),
+ stop AS (SELECT ks.k, CASE WHEN ks.k = 0 THEN 0 ELSE coalesce(fm.pos, (SELECT count(*) FROM tr)) END AS stop FROM ks LEFT JOIN fm ON fm.nth = ks.k),
+ dr AS (SELECT d, row_number() OVER (PARTITION BY d ORDER BY md5('0#' || d || '#' || l || '#' || r), l, r) AS nth, gt, gc, gp FROM tr, range({V.DRAWS}) t(d) WHERE label = 1),
+ seen AS MATERIALIZED (SELECT k, -1 AS d, gt, gc, gp, label FROM tr JOIN stop ON pos <= stop UNION ALL SELECT k, d, gt, gc, gp, 1 FROM dr JOIN ks ON nth <= k WHERE k < (SELECT count(*) FROM tr WHERE label = 1)),
+ models AS (SELECT k, -1 AS d FROM ks UNION SELECT k, d FROM seen), lv AS ({_LEVELS}),
+ sh AS (SELECT comparison, level, round(CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY comparison), 9) AS u FROM (SELECT comparison, level, count(*) AS n FROM (SELECT unnest(['title', 'category', 'price']) AS comparison, unnest([gt, gc, gp]) AS level FROM pairs) GROUP BY ALL)),
+ ct AS (SELECT k, d, comparison, level, count(*) AS n, sum(count(*)) OVER (PARTITION BY k, d, comparison) AS t FROM ({_KINDS('seen')}) GROUP BY k, d, comparison, level),
+ w AS MATERIALIZED (SELECT m.k, m.d, lv.comparison, lv.level, log2(coalesce(CAST(ct.n AS DOUBLE) / ct.t, usual) / coalesce(sh.u, 1e-6)) AS w FROM models m CROSS JOIN lv LEFT JOIN ct ON ct.k = m.k AND ct.d = m.d AND ct.comparison = lv.comparison AND ct.level = lv.level LEFT JOIN sh ON sh.comparison = lv.comparison AND sh.level = lv.level),
+ pb AS MATERIALIZED (SELECT a.k, a.d, gt, gc, gp, {Q.PRIOR_BITS} + a.w + b.w + c.w AS b FROM (SELECT DISTINCT gt, gc, gp FROM pairs) JOIN w a ON a.comparison = 'title' AND a.level = gt JOIN w b ON b.comparison = 'category' AND b.level = gc AND b.k = a.k AND b.d = a.d JOIN w c ON c.comparison = 'price' AND c.level = gp AND c.k = a.k AND c.d = a.d),
+ ic AS MATERIALIZED (SELECT k, d, b, sum(n) AS n, sum(m) AS m FROM (SELECT k, d, gt, gc, gp, count(*) AS n, sum(label) AS m FROM seen GROUP BY ALL) JOIN pb USING (k, d, gt, gc, gp) GROUP BY k, d, b),
+ th AS (SELECT k, d, t FROM (SELECT *, row_number() OVER (PARTITION BY k, d ORDER BY 2.0 * tp / (predicted + actual) DESC, t) AS place FROM (SELECT x.k, x.d, x.t, sum(ic.n) FILTER (ic.b >= x.t) AS predicted, sum(ic.m) FILTER (ic.b >= x.t) AS tp, sum(ic.m) AS actual FROM (SELECT DISTINCT k, d, round(b, 2) AS t FROM ic) x JOIN ic ON ic.k = x.k AND ic.d = x.d GROUP BY x.k, x.d, x.t) WHERE tp > 0) WHERE place = 1),
+ tc AS (SELECT k, d, b, sum(n) AS n, sum(m) AS m FROM (SELECT gt, gc, gp, count(*) AS n, sum(label) AS m FROM pairs WHERE half = 1 GROUP BY ALL) JOIN pb USING (gt, gc, gp) GROUP BY k, d, b),
+ fs AS (SELECT m.k, m.d, coalesce(th.t, {V.UNTAUGHT}) AS threshold, CASE WHEN sum(tc.n) FILTER (tc.b >= coalesce(th.t, {V.UNTAUGHT})) + sum(tc.m) > 0 OR sum(tc.m) > 0 THEN 200.0 * coalesce(sum(tc.m) FILTER (tc.b >= coalesce(th.t, {V.UNTAUGHT})), 0) / (coalesce(sum(tc.n) FILTER (tc.b >= coalesce(th.t, {V.UNTAUGHT})), 0) + sum(tc.m)) ELSE 0.0 END AS f1 FROM models m LEFT JOIN th ON th.k = m.k AND th.d = m.d JOIN tc ON tc.k = m.k AND tc.d = m.d GROUP BY m.k, m.d, th.t)"""
 
 
-@query()
+@query(
+    Q.with_(*base._LAB, _SWEEP)
+    + "SELECT CAST(fs.k AS INTEGER) AS k, CAST((SELECT count(*) FROM seen WHERE seen.k = fs.k AND d = -1 AND label = 1) AS BIGINT) AS found, CAST((SELECT count(*) FROM seen WHERE seen.k = fs.k AND d = -1) AS BIGINT) AS spent, max(threshold) FILTER (d = -1) AS threshold, round(max(f1) FILTER (d = -1), 6) AS f1, CAST(count(*) FILTER (d >= 0) AS INTEGER) AS draws, round(quantile_cont(f1, 0.5) FILTER (d >= 0), 6) AS median, round(quantile_cont(f1, 0.025) FILTER (d >= 0), 6) AS low, round(quantile_cont(f1, 0.975) FILTER (d >= 0), 6) AS high FROM fs GROUP BY fs.k"
+)
 def label_value(spark, sf):
     """m from the first k matches that a reader finds, and from draws of k, against the model of one half's pairs on the other half."""
     pairs = _half(spark, sf)
