@@ -325,7 +325,7 @@ _LOOSE = f"kept AS (SELECT unique_id_l, unique_id_r FROM cand), more AS (SELECT
 def near_misses(spark, sf):
     """Against all candidates, of whatever rule."""
     a, b = sides(catalogue(spark, sf))
-    return J.near_misses(_candidates(spark, sf), a, b, DOCUMENTS)
+    return J.near_misses(kept(_candidates(spark, sf)), a, b, DOCUMENTS)
 
 
 @query(Q.with_(Q.PROD, _BRAND_CAND, f"t AS (SELECT side, unique_id, brand, {Q.token_set(Q.SHORT_RECORD)} AS tokens, {Q.ngrams(Q.SHORT_RECORD, 3)} AS grams FROM prod)", "pr AS (SELECT a.brand = b.brand AS same, len(list_intersect(a.tokens, b.tokens)) AS w, len(list_intersect(a.grams, b.grams)) AS g FROM t a, t b WHERE a.side = 'A' AND b.side = 'B' AND NOT EXISTS (SELECT 1 FROM bc WHERE bc.unique_id_l = a.unique_id AND bc.unique_id_r = b.unique_id))") + "SELECT CASE WHEN same THEN 'brand' WHEN w > 0 THEN 'common_words' WHEN g > 0 THEN 'common_sequences' ELSE 'nothing' END AS reason, CAST(least(w, 5) AS INTEGER) AS shared, count(*) AS n FROM pr GROUP BY ALL")
