@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 
 from linkwright.functions import text as X
 from linkwright.operators import features as D
+from linkwright.sources.shared import kept
 from linkwright.sources.tables import ATTRIBUTES, ID, LEFT, RIGHT
 
+#: Words in a signature (a long has that many bits), and shares of the left records of a brand.
+SIGNATURE, SALTS = 63, 16
 RULES = ("R1", "R2", "R3", "R5", "R4", "R4-sym", "R4-short")
 
 
@@ -60,6 +63,18 @@ def nearest(queries: DataFrame, targets: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k).select("q", "t", "similarity", "place")
 
 
+def frequent_words(tokens: DataFrame, most: int = SIGNATURE) -> DataFrame:
+    """One row with the words that most records hold, ties by word."""
+    held = D.document_frequency(D.postings(tokens, "tokens")).orderBy(F.col("df").desc(), "item").limit(most)
+    return held.agg(F.array_sort(F.collect_list("item")).alias("frequent"))
+
+
+def with_signature(words: DataFrame, common: DataFrame) -> DataFrame:
+    """(unique_id, signature): a bit for each of the frequent words, set where a record has it among its words."""
+    bits = "aggregate(array_intersect(words, frequent), 0L, (s, w) -> s + shiftleft(1L, cast(array_position(frequent, w) - 1 as int)))"
+    return words.crossJoin(F.broadcast(common)).select(ID, F.expr(bits).alias("signature"))
+
+
 class ClassicalBlocker:
     """The seven rules; the rescue rules work on what earlier ones leave."""
 
@@ -78,16 +93,25 @@ class ClassicalBlocker:
         return shared_items(self._tokens(a).filter(like), self._tokens(b).filter(like))
 
     def rule_brand(self, a: DataFrame, b: DataFrame) -> DataFrame:
-        """R3: a shared brand and enough other shared tokens that are no brand of the left record."""
-        ta, tb = (D.tokenised(t, list(self.settings.columns)) for t in (a, b))
+        """R3: a shared brand and enough other shared tokens that are no brand of the left record.
+
+        Most pairs of a brand share words that very many records hold: signatures of those words tell that, in a few bytes a
+        pair. Only the other pairs compare all their words. Left records of a brand are dealt by a salt.
+        """
+        ta, tb = (kept(D.tokenised(t, list(self.settings.columns))) for t in (a, b))
         vocabulary = D.brand_vocabulary(a, b)
         ha, hb = D.brand_harvest(a, ta, vocabulary), D.brand_harvest(b, tb, vocabulary)
         own = ha.groupBy(ID).agg(F.collect_set("brand").alias("brands"))
-        pairs = shared_items(ha, hb, "brand")
-        left = ta.join(own, ID).select(F.col(ID).alias(LEFT), F.array_except("tokens", "brands").alias("words"))
-        right = tb.select(F.col(ID).alias(RIGHT), F.col("tokens").alias("other"))
-        met = pairs.join(left, LEFT).join(right, RIGHT)
-        return met.filter(F.size(F.array_intersect("words", "other")) >= self.settings.brand_words).select(LEFT, RIGHT)
+        left = ta.join(own, ID).select(ID, F.array_except("tokens", "brands").alias("words"))
+        right = tb.join(hb.select(ID).distinct(), ID, "left_semi").select(ID, F.col("tokens").alias("words"))
+        common = frequent_words(tb)
+        la = ha.join(with_signature(left, common), ID).select(F.col(ID).alias(LEFT), "brand", F.col("signature").alias("sl"), F.pmod(F.xxhash64(ID), F.lit(SALTS)).cast("int").alias("salt"))
+        rb = hb.join(with_signature(right, common), ID).select(F.col(ID).alias(RIGHT), "brand", F.col("signature").alias("sr"), F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("salt"))
+        met = la.join(rb, ["brand", "salt"]).select(LEFT, RIGHT, (F.bit_count(F.col("sl").bitwiseAND(F.col("sr"))) >= self.settings.brand_words).alias("told"))
+        told = met.filter("told").select(LEFT, RIGHT).distinct()
+        rest = met.filter("not told").select(LEFT, RIGHT).distinct()
+        whole = rest.join(left.select(F.col(ID).alias(LEFT), "words"), LEFT).join(right.select(F.col(ID).alias(RIGHT), F.col("words").alias("other")), RIGHT)
+        return told.unionByName(whole.filter(F.size(F.array_intersect("words", "other")) >= self.settings.brand_words).select(LEFT, RIGHT))
 
     def rule_ngram(self, a: DataFrame, b: DataFrame) -> DataFrame:
         """R5: a shared n-gram that few right records hold."""

@@ -7,6 +7,7 @@ from itertools import product
 import pytest
 from pyspark.sql import functions as F
 
+from linkwright.operators.blocking import ClassicalBlocker
 from linkwright.operators import diagnostics as J
 from linkwright.operators import evaluate as I
 from linkwright.operators.order import numbered
@@ -95,3 +96,20 @@ def test_sampled_taxonomy_is_exact_or_close(spark):
     some = J.sampled_taxonomy(kept, a, b, most=3000).collect()
     inside = sum(r["low"] <= want[r["reason"], r["shared"]] <= r["high"] for r in some)
     assert len(some) >= len(want) - 1 and inside >= len(some) - 1 and all(r["low"] < r["n"] < r["high"] for r in some)
+
+
+def test_brand_rule_tells_frequent_words_from_others(spark):
+    """Signatures settle pairs of frequent words; pairs that share rare words, or only brands, are compared whole."""
+    words = [f"w{i}" for i in range(80)]
+    row = lambda i, text, brand: (i, " ".join(text), None, brand, None, None)
+    schema = "unique_id string, title string, category string, brand string, modelno string, price string"
+    lots = [row(f"B_{i}", words[: 70 - i], "acme") for i in range(20)]
+    a = spark.createDataFrame([row("A_0", words[:2], "acme"), row("A_1", ["rare", "seldom"], "acme"), row("A_2", ["acme", "bolt", "w0"], "bolt"), row("A_3", [], None), row("A_4", words[68:70], "acme")], schema)
+    b = spark.createDataFrame([*lots, row("B_r", ["rare", "seldom", "x"], "acme"), row("B_b", ["acme", "bolt", "w0"], "bolt"), row("B_n", ["rare", "seldom"], None), row("B_o", words[:2], "other")], schema)
+    got = {tuple(r) for r in ClassicalBlocker().rule_brand(a, b).collect()}
+    of = lambda d: {r[0]: (set(" ".join(str(x) for x in r[1:] if x is not None).split()), r["brand"]) for r in d.collect()}
+    left, right = of(a), of(b)
+    vocabulary = {br for _, br in [*left.values(), *right.values()] if br}
+    brands = lambda w, br: (w & vocabulary) | ({br} if br else set())
+    want = {(i, j) for i, (w, br) in left.items() for j, (v, bs) in right.items() if brands(w, br) & brands(v, bs) and len((w & v) - brands(w, br)) >= 2}
+    assert got == want and ("A_1", "B_r") in got and ("A_4", "B_0") in got
