@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import RID, checkpoint, parts_for, table, with_rid
+from .common import RID, checkpoint, modest_batches, parts_for, slices, table, with_rid
 from .components import components, local_forest
 
 #: Vectors in one side of a unit of work, rows that pivots are chosen from for each pivot (and in all, at least).
 BLOCK, PIVOT_SAMPLE, PER_PIVOT = 8192, 2048, 4
 #: The largest component that top_k takes, and the score that stands for one beyond 64 bits until the end.
 LARGEST, BEYOND = 2.0**500, 2**63 - 1
+#: Pivots that are chosen in one level, and entries of a matrix of rows by pivots (32 MB of doubles).
+FEW, CELLS = 256, 1 << 22
+#: Rows of a frame that goes back to Spark while vectors are dealt to units.
+DEALT = 16384
 _UNIT = "unit string, side int, id long, dim int, vector binary"
 
 
@@ -26,16 +32,59 @@ def usable(vector) -> np.ndarray | None:
     return x if len(x) and np.isfinite(x).all() else None
 
 
-def choose_pivots(sample: np.ndarray, n: int) -> np.ndarray:
-    """Up to n rows of the sample, each farthest from those before it."""
-    if not len(sample):
-        return sample
+def _farthest(sample: np.ndarray, n: int) -> np.ndarray:
+    """Indexes of up to n rows, each farthest from those before it."""
     chosen = [0]
     gap = ((sample - sample[0]) ** 2).sum(axis=1)
     while len(chosen) < min(n, len(sample)) and gap.max() > 1e-12:
         chosen.append(int(gap.argmax()))
         gap = np.minimum(gap, ((sample - sample[chosen[-1]]) ** 2).sum(axis=1))
-    return sample[chosen]
+    return np.array(chosen)
+
+
+def choose_pivots(sample: np.ndarray, n: int) -> np.ndarray:
+    """Up to n rows of the sample that lie far from each other.
+
+    Beyond FEW of them in two levels: about the root of n rows first, then each one's share among the rows nearest to it,
+    so that the time grows with the sample times the root of n. Every distinct row can be chosen.
+    """
+    if len(sample) < 2 or n <= FEW:
+        return sample[_farthest(sample, n)] if len(sample) else sample
+    first = sample[_farthest(sample, int(n**0.5))]
+    home = np.concatenate([distances(x, first).argmin(axis=1) for x in chunks(sample, len(first))])
+    shares = np.diff(np.floor(np.cumsum(np.bincount(home, minlength=len(first))) * (n / len(sample))).astype(int), prepend=0)
+    return np.concatenate([sample[rows][_farthest(sample[rows], max(1, int(shares[h])))] for h, rows in slices(home)])[:n]
+
+
+def chunks(x, across: int):
+    """Pieces of x (rows of an array or frame), so that a matrix of a piece's rows by ``across`` has at most CELLS entries."""
+    step = max(1, CELLS // max(1, across))
+    for lo in range(0, len(x), step):
+        yield x[lo : lo + step]
+
+
+def in_chunks(function, across: int):
+    """A function over batches, from one over frames that makes matrices of their rows by ``across``."""
+
+    def run(batches):
+        for t in batches:
+            for piece in chunks(t, across):
+                yield function(piece.reset_index(drop=True))
+
+    return run
+
+
+def dealing(function, across: int, columns: list[str]):
+    """The same from one that yields tuples; frames of them hold at most DEALT rows, however many a piece deals."""
+
+    def run(batches):
+        for t in batches:
+            for piece in chunks(t, across):
+                rows = function(piece.reset_index(drop=True))
+                while some := list(islice(rows, DEALT)):
+                    yield pd.DataFrame(some, columns=columns)
+
+    return run
 
 
 def pivots_for(n: int, cell_rows: int) -> int:
@@ -132,7 +181,7 @@ def range_join(vectors: DataFrame, floor: float = 0.9, block: int = BLOCK, cell_
     whose distance to that cell's pivot is at most 2r above its nearest. Large cells are worked off in blocks.
     Unusable, zero and differently long vectors link with nothing; equal vectors link with each other.
     """
-    clean = checkpoint(_prepared(vectors.select("id", "vector"), unit_length=True))
+    clean = checkpoint(_prepared(modest_batches(vectors.select("id", "vector")), unit_length=True))
     n, width = clean.agg(F.count("*"), F.max("dim")).first()
     if not n:
         return vectors.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
@@ -155,45 +204,38 @@ def range_join(vectors: DataFrame, floor: float = 0.9, block: int = BLOCK, cell_
         near = (d <= d[np.arange(len(d)), home][:, None] + 2 * r) & (d <= reach[None, :] + r)
         return near & (owner(home[:, None], cell[None, :]) == cell[None, :]) & (home[:, None] != cell[None, :])
 
-    def measure(batches):
-        for t in batches:
-            if len(t):
-                d, home = cells(t.id, t.vector)
-                yield pd.DataFrame({"cell": home, "reach": d[np.arange(len(d)), home], "n": 1}).groupby("cell", as_index=False).agg({"reach": "max", "n": "sum"})
+    def measure(t):
+        d, home = cells(t.id, t.vector)
+        return pd.DataFrame({"cell": home, "reach": d[np.arange(len(d)), home], "n": 1}).groupby("cell", as_index=False).agg({"reach": "max", "n": "sum"})
 
     reach, homes = np.zeros(len(pivots)), np.zeros(len(pivots), np.int64)
-    for x in clean.mapInPandas(measure, "cell long, reach double, n long").groupBy("cell").agg(F.max("reach").alias("reach"), F.sum("n").alias("n")).collect():
+    for x in clean.mapInPandas(in_chunks(measure, len(pivots)), "cell long, reach double, n long").groupBy("cell").agg(F.max("reach").alias("reach"), F.sum("n").alias("n")).collect():
         reach[x["cell"]], homes[x["cell"]] = x["reach"], x["n"]
 
-    def guests(batches):
-        for t in batches:
-            if len(t):
-                d, home = cells(t.id, t.vector)
-                yield pd.DataFrame({"cell": np.arange(d.shape[1]), "n": visits(d, home, reach).sum(axis=0)})
+    def guests(t):
+        d, home = cells(t.id, t.vector)
+        found = visits(d, home, reach).sum(axis=0)
+        return pd.DataFrame({"cell": np.flatnonzero(found), "n": found[found > 0]})
 
     foreign = np.zeros(len(pivots), np.int64)
-    for x in clean.mapInPandas(guests, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+    for x in clean.mapInPandas(in_chunks(guests, len(pivots)), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
         foreign[x["cell"]] = x["n"]
     home_blocks, guest_blocks = -(-np.maximum(homes, 1) // block), -(-np.maximum(foreign, 1) // block)
 
-    def deal(batches):
-        for t in batches:
-            out: list[tuple] = []
-            if len(t):
-                d, home = cells(t.id, t.vector)
-                visit = visits(d, home, reach)
-                mixed = t.id.to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
-                for k, row in enumerate(t.itertuples(index=False)):
-                    c, value = int(home[k]), (row.id, row.dim, row.vector)
-                    nb = int(home_blocks[c])
-                    a = int(mixed[k] % nb)
-                    out += [(f"{c}/{min(a, x)}/{max(a, x)}", int(x < a), *value) for x in range(nb)]
-                    if foreign[c]:
-                        out += [(f"{c}/{a}/g{x}", 0, *value) for x in range(int(guest_blocks[c]))]
-                    for g in np.flatnonzero(visit[k]):
-                        x = int(mixed[k] % int(guest_blocks[g]))
-                        out += [(f"{g}/{b}/g{x}", 1, *value) for b in range(int(home_blocks[g]))]
-            yield pd.DataFrame(out, columns=[x.split()[0] for x in _UNIT.split(", ")])
+    def deal(t):
+        d, home = cells(t.id, t.vector)
+        visit = visits(d, home, reach)
+        mixed = t.id.to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
+        for k, row in enumerate(t.itertuples(index=False)):
+            c, value = int(home[k]), (row.id, row.dim, row.vector)
+            nb = int(home_blocks[c])
+            a = int(mixed[k] % nb)
+            yield from ((f"{c}/{min(a, x)}/{max(a, x)}", int(x < a), *value) for x in range(nb))
+            if foreign[c]:
+                yield from ((f"{c}/{a}/g{x}", 0, *value) for x in range(int(guest_blocks[c])))
+            for g in np.flatnonzero(visit[k]):
+                x = int(mixed[k] % int(guest_blocks[g]))
+                yield from ((f"{g}/{b}/g{x}", 1, *value) for b in range(int(home_blocks[g])))
 
     def unit(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
         first, _, second = key[0].partition("/")[2].partition("/")
@@ -201,7 +243,7 @@ def range_join(vectors: DataFrame, floor: float = 0.9, block: int = BLOCK, cell_
             return pd.DataFrame({"id": [], "n": [], "least": []})
         return _link_unit(t, floor, width)
 
-    found = checkpoint(clean.mapInPandas(deal, _UNIT).groupBy("unit").applyInPandas(unit, "id long, n long, least long"))
+    found = checkpoint(clean.mapInPandas(dealing(deal, len(pivots), [x.split()[0] for x in _UNIT.split(", ")]), _UNIT).groupBy("unit").applyInPandas(unit, "id long, n long, least long"))
     links = found.groupBy("id").agg(F.sum("n").alias("n_links"))
     groups = components(found.select(F.col("id").alias("u"), F.col("least").alias("v")))
     out = vectors.select("id").join(links, "id", "left").join(groups, F.col("id") == F.col("node"), "left")
@@ -283,7 +325,7 @@ def top_k(vectors: DataFrame, is_query: str, k: int = 5, block: int = BLOCK, cel
     whose distances from their pivot could hold a better one, and there to such annuli. Ties go to the smaller id. Vectors
     of other lengths count as padded with zeros. Components of 2**500 or more, and results beyond 64 bits, raise.
     """
-    clean = checkpoint(_prepared(vectors.select("id", "vector"), unit_length=False))
+    clean = checkpoint(_prepared(modest_batches(vectors.select("id", "vector")), unit_length=False))
     schema = "query long, id long, score long"
     empty = vectors.sparkSession.createDataFrame([], "query long, rank int, id long, score long")
 
@@ -306,14 +348,12 @@ def top_k(vectors: DataFrame, is_query: str, k: int = 5, block: int = BLOCK, cel
         """Distances of queries to all pivots."""
         return distances(np.column_stack([x, np.zeros(len(x))]), sent.value)
 
-    def home_of(batches):
-        for t in batches:
-            if len(t):
-                x = _matrix(unpack_each(t.vector), width)
-                d = distances(lift(x), sent.value)
-                yield t.assign(cell=d.argmin(axis=1), far=d.min(axis=1), near=asking(x).argmin(axis=1))
+    def home_of(t):
+        x = _matrix(unpack_each(t.vector), width)
+        d = distances(lift(x), sent.value)
+        return t.assign(cell=d.argmin(axis=1), far=d.min(axis=1), near=asking(x).argmin(axis=1))
 
-    indexed = checkpoint(clean.mapInPandas(home_of, "id long, dim int, vector binary, cell int, far double, near int"))
+    indexed = checkpoint(clean.mapInPandas(in_chunks(home_of, len(pivots)), "id long, dim int, vector binary, cell int, far double, near int"))
     sizes, low, high = {}, np.full(len(pivots), np.inf), np.full(len(pivots), -np.inf)
     for x in indexed.groupBy("cell").agg(F.count("*").alias("n"), F.min("far").alias("low"), F.max("far").alias("high")).collect():
         sizes[x["cell"]], low[x["cell"]], high[x["cell"]] = x["n"], x["low"], x["high"]
@@ -334,36 +374,30 @@ def top_k(vectors: DataFrame, is_query: str, k: int = 5, block: int = BLOCK, cel
         return ~here & full & ((square[:, None] - gap**2) / 2 + 1e-6 * (1 + square)[:, None] >= t.floor.to_numpy()[:, None])
 
     def visits(first: bool):
-        def count(batches):
-            for t in batches:
-                if len(t):
-                    yield pd.DataFrame({"cell": np.arange(len(pivots)), "n": cells_of(t, first).sum(axis=0)})
+        def count(t):
+            found = cells_of(t, first).sum(axis=0)
+            return pd.DataFrame({"cell": np.flatnonzero(found), "n": found[found > 0]})
+
+        return in_chunks(count, len(pivots))
 
-        return count
+    columns = ["unit", "side", "id", "floor", "vector"]
 
     def deal_rows(asked: dict[int, int]):
-        def deal(batches):
-            for t in batches:
-                out = []
-                for row in t.itertuples(index=False):
-                    b = mixed(row.id) % blocks[row.cell]
-                    out += [(f"{row.cell}/{b}/{q}", 1, row.id, 0.0, row.vector) for q in range(asked.get(row.cell, 0))]
-                yield pd.DataFrame(out, columns=["unit", "side", "id", "floor", "vector"])
+        def deal(t):
+            for row in t.itertuples(index=False):
+                b = mixed(row.id) % blocks[row.cell]
+                yield from ((f"{row.cell}/{b}/{q}", 1, row.id, 0.0, row.vector) for q in range(asked.get(row.cell, 0)))
 
-        return deal
+        return dealing(deal, 1, columns)
 
     def deal_queries(first: bool, asked: dict[int, int]):
-        def deal(batches):
-            for t in batches:
-                out = []
-                if len(t):
-                    for row, some in zip(t.itertuples(index=False), cells_of(t, first), strict=True):
-                        for c in np.flatnonzero(some).tolist():
-                            q = mixed(row.id) % asked[c]
-                            out += [(f"{c}/{b}/{q}", 0, row.id, row.floor, row.vector) for b in range(blocks[c])]
-                yield pd.DataFrame(out, columns=["unit", "side", "id", "floor", "vector"])
-
-        return deal
+        def deal(t):
+            for row, some in zip(t.itertuples(index=False), cells_of(t, first), strict=True):
+                for c in np.flatnonzero(some).tolist():
+                    q = mixed(row.id) % asked[c]
+                    yield from ((f"{c}/{b}/{q}", 0, row.id, row.floor, row.vector) for b in range(blocks[c]))
+
+        return dealing(deal, len(pivots), columns)
 
     def unit(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
         cell = int(key[0].split("/")[0])

@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -126,3 +128,53 @@ def test_queries_go_only_where_their_floor_can_be_reached(monkeypatch, spark):
         order = [i for i in np.lexsort((np.arange(1200), -s)) if i != q][:5]
         assert [got[q, k + 1] for k in range(5)] == [(i, int(s[i])) for i in order]
     assert vectors.pivots_for(10**9, 4096) > 30_000 and vectors.pivots_for(50_000, 4096) == 12
+
+
+def test_rows_by_many_pivots_stay_within_a_bound(monkeypatch):
+    """With 30,000 pivots (9e8 vectors) matrices of a batch's rows by pivots hold CELLS entries, whatever the batch."""
+    rng = np.random.default_rng(4)
+    pivots, rows = rng.standard_normal((30000, 16)), pd.DataFrame({"v": list(rng.standard_normal((1000, 16)))})
+    sizes = []
+
+    def nearest(t):
+        d = vectors.distances(np.stack(t.v.to_list()), pivots)
+        sizes.append(d.size)
+        return pd.DataFrame({"home": d.argmin(axis=1)})
+
+    tracemalloc.start()
+    got = pd.concat(vectors.in_chunks(nearest, len(pivots))([rows, rows.iloc[:0]]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 1000 and max(sizes) <= vectors.CELLS and peak < 8 * 8 * vectors.CELLS
+    monkeypatch.setattr(vectors, "DEALT", 10)
+    frames = list(vectors.dealing(lambda t: ((i, x) for i in range(len(t)) for x in range(7)), 1, ["a", "b"])([rows.iloc[:5], rows.iloc[:0]]))
+    assert [len(f) for f in frames] == [10, 10, 10, 5]
+
+
+def test_pivots_in_two_levels():
+    """Many pivots are distinct rows of the sample, as many as asked for where it has them, and cover it well."""
+    rng = np.random.default_rng(5)
+    sample = np.concatenate([rng.standard_normal((4000, 8)), np.repeat(rng.standard_normal((1, 8)), 500, axis=0)])
+    chosen = vectors.choose_pivots(sample, 1000)
+    assert 900 <= len(chosen) <= 1000 and len(np.unique(chosen, axis=0)) == len(chosen)
+    assert {tuple(x) for x in chosen} <= {tuple(x) for x in sample}
+    widest = lambda p: vectors.distances(sample, p).min(axis=1).max()
+    assert widest(chosen) <= 2 * widest(sample[vectors._farthest(sample, 1000)])
+    assert len(vectors.choose_pivots(sample[-500:], 400)) == 1 and not len(vectors.choose_pivots(sample[:0], 4))
+
+
+def test_join_and_search_with_many_pivots(spark, monkeypatch):
+    """Results don't depend on how pivots are chosen."""
+    monkeypatch.setattr(vectors, "FEW", 4)
+    rows = some(150)
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    x = np.array([v for _, v in rows])
+    ids = np.array([i for i, _ in rows])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (unit @ unit.T >= 0.9) & ~np.eye(len(x), dtype=bool)
+    got = {r["id"]: r["n_links"] for r in vectors.range_join(df, block=16, cell_rows=5).collect()}
+    assert got == dict(zip(ids.tolist(), near.sum(axis=1).tolist(), strict=True))
+    whole = np.floor(256 * x).astype(np.int64)
+    scores = whole @ whole.T
+    want = {(int(ids[q]), int(ids[c])) for q in np.flatnonzero(ids % 5 == 0) for c in sorted((c for c in range(len(x)) if c != q), key=lambda c: (-scores[q, c], ids[c]))[:5]}
+    assert {(r["query"], r["id"]) for r in vectors.top_k(df, "id % 5 = 0", block=16, cell_rows=5).collect()} == want
