@@ -36,6 +36,12 @@ def read_catalogue(spark: SparkSession, path: str, side: str) -> DataFrame:
     return prefixed(raw.select([F.nullif(F.col(c), F.lit("")).alias(c) for c in raw.columns]), side)
 
 
+def save_catalogue(df: DataFrame, path: str) -> None:
+    """A table that read_catalogue gives back, with its ids as a column id without their side; texts keep their white space."""
+    plain = df.select(F.substring_index(ID, "_", -1).alias("id"), *[F.col(c).cast("string") for c in df.columns if c != ID])
+    plain.write.mode("overwrite").options(**_CSV, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+
+
 def read_pair(spark: SparkSession, left: str, right: str) -> tuple[DataFrame, DataFrame]:
     a, b = read_catalogue(spark, left, "A"), read_catalogue(spark, right, "B")
     if a.columns != b.columns:
@@ -94,6 +100,16 @@ def save_embeddings(df: DataFrame, path: str) -> None:
     df.select("id", F.col("vec").cast("array<float>").alias("vec")).write.mode("overwrite").parquet(path)
 
 
+def read_embeddings(spark: SparkSession, path: str, ids: DataFrame | None = None) -> DataFrame:
+    """(id, vec) as save_embeddings wrote them. With ids (id), one row for each of those, vec null where none is stored.
+
+    An id that is stored twice raises when it is read.
+    """
+    twice = F.raise_error(F.concat(F.lit("stored twice: "), F.col("id").cast("string"))).cast("array<float>")
+    found = spark.read.parquet(path).groupBy("id").agg(F.count("*").alias("n"), F.first("vec").alias("vec")).select("id", F.when(F.col("n") > 1, twice).otherwise(F.col("vec")).alias("vec"))
+    return found if ids is None else ids.select("id").distinct().join(found, "id", "left")
+
+
 def profile(df: DataFrame) -> DataFrame:
     """column, n_rows, n_null, pct_null of each column, from one pass."""
     counts = df.agg(F.count(F.lit(1)).alias("__rows"), *[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns])
