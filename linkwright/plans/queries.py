@@ -318,6 +318,38 @@ def per_left_spread(spark, sf):
     return ranked_quantiles(per_left_counts(pairs, a), "n")
 
 
+_REAL = "bc AS (SELECT unique_id_l, unique_id_r FROM cand)"
+
+
+def _real_pairs(spark, sf):
+    """Pairs of all rules, written once, and both sides of the catalogue."""
+    a, b = sides(catalogue(spark, sf))
+    return kept(ClassicalBlocker(DOCUMENTS).generate_candidates(a, b)), a, b
+
+
+def _on_candidates(*ctes: str) -> str:
+    return Q.with_(*_CAND, _REAL, *[c.replace("FROM prod", "FROM cat") for c in ctes])
+
+
+@query(_on_candidates("tt AS (SELECT (SELECT count(*) FROM cat WHERE side = 'A') * (SELECT count(*) FROM cat WHERE side = 'B') AS possible, (SELECT count(*) FROM bc) AS kept)") + "SELECT possible, kept, possible - kept AS discarded, round(100.0 * (possible - kept) / possible, 6) AS reduction, (SELECT count(*) FROM cat WHERE side = 'A' AND unique_id NOT IN (SELECT unique_id_l FROM bc)) AS orphans, (SELECT count(*) FROM cat WHERE side = 'B' AND unique_id NOT IN (SELECT unique_id_r FROM bc)) AS unreachable FROM tt")
+def candidate_headline(spark, sf):
+    """What all rules keep of whole documents, and whom they don't reach."""
+    return totals(*_real_pairs(spark, sf))
+
+
+@query(_on_candidates(_COUNTS) + "SELECT v[1] AS minimum, v[len(v) // 2 + 1] AS median, v[CAST(floor(len(v) * 0.99) AS BIGINT) + 1] AS p99, v[-1] AS maximum, (SELECT count(*) FROM cn WHERE n < 50) AS keeping_few FROM so")
+def candidate_exclusions(spark, sf):
+    """How many right records all rules exclude for a left record."""
+    return J.exclusion_spread(*_real_pairs(spark, sf))
+
+
+@query(_on_candidates(_COUNTS.replace("nb - n", "n").replace("FROM cn, (SELECT count(*) AS nb FROM prod WHERE side = 'B')", "FROM cn")) + "SELECT v[1] AS minimum, v[len(v) // 2 + 1] AS median, v[CAST(floor(len(v) * 0.99) AS BIGINT) + 1] AS p99, v[-1] AS maximum FROM so")
+def candidates_per_left(spark, sf):
+    """How many candidates of all rules a left record has; those without any count as 0."""
+    pairs, a, _ = _real_pairs(spark, sf)
+    return ranked_quantiles(per_left_counts(pairs, a), "n")
+
+
 _LOOSE = f"kept AS (SELECT unique_id_l, unique_id_r FROM cand), more AS (SELECT 'R1' AS rule, * FROM ({Q.pairs_sharing('tok', 150)} EXCEPT SELECT * FROM kept) UNION ALL SELECT 'R5', * FROM ({Q.pairs_sharing('gram', 75)} EXCEPT SELECT * FROM kept) UNION ALL SELECT 'R3', * FROM ({Q.BRAND_RULE.replace('>= 2', '>= 1')} EXCEPT SELECT * FROM kept))"
 
 
