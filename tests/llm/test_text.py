@@ -6,6 +6,7 @@ from collections import Counter, namedtuple
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from linkwright.llm import attention, bpe, chat, language_id, lm, mixing
 
@@ -312,18 +313,75 @@ def test_parse_chats(text, roles):
     assert chat.render(turns).count("<|end|>") <= len(turns)
 
 
+def expected_chats(written):
+    """What op6_chat_format returns, by conversation, from all written turns in one place."""
+    talks = {}
+    for r in sorted(written, key=lambda r: ((r["conv"] or ""), r["conv"] is not None, r["turn"] is not None, r["turn"] or 0, r["role"] is not None, r["role"] or "", r["h"])):
+        talks.setdefault(r["conv"], []).append((r["role"], r["line"], r["shown"]))
+    teach = [k for k in talks if k is None or zlib.crc32(k.encode()) % 3 != 1]
+    tables = chat.tables_of(sum((chat.counted([(r, x) for r, x, _ in talks[k]]) for k in teach), np.zeros(sum(chat._SIZES)))).fixed()
+    digest = lambda turns: hashlib.sha256(chat.render(turns).encode()).hexdigest()
+    out = {}
+    for k, turns in talks.items():
+        lines = chat.lines_of("\n".join(x for _, x, _ in turns))
+        logs, marks = chat.emissions(lines, tables)
+        best, back = tables.start + logs[0], []
+        for row in logs[1:]:
+            ways = best[:, None] + tables.move
+            back.append(ways.argmax(axis=0))
+            best = ways.max(axis=0) + row
+        path = [int(best.argmax())]
+        for x in reversed(back):
+            path.append(int(x[path[-1]]))
+        found = chat.turns_of(chat.spoken(np.array(path[::-1]), lines, marks))
+        out[k] = (len(turns), len(found), " ".join(r for r, _ in found), " ".join(r or "?" for r, _, _ in turns), digest(found), digest([(r, x.strip()) for r, _, x in turns if r in chat.ROLES and x.strip()]))
+    return out
+
+
+ODD_CHATS = [
+    (1, 0, "user", "hi"), (1, 0, "user", "hi"), (1, 1, None, None), (None, None, None, None), (None, 3, "user", "a?\n\n"), (2, 5, "assistant", "x" * 50000), (3, 0, "user", " "), (3, 1, "assistant", ""), (3, 2, "user", "\n"),
+    *[(4, k, ("user", "assistant")[k % 2], ("", "why?", "so. And on.", "- a\n\n- b", "same", "same")[k % 6]) for k in range(300)], *[(5, 7, "user", "again")] * 40, *[(6, k, "user", "") for k in range(30)],
+]
+
+
+@pytest.mark.parametrize("turns,chars", [(1, 1 << 20), (7, 1 << 20), (100, 60), (4096, 4 << 20)])
+def test_chat_query_against_plain_decoding(spark, tmp_path, monkeypatch, turns, chars):
+    spark.createDataFrame(ODD_CHATS, "conv_id long, turn long, role string, text string").repartition(4).write.parquet(f"{tmp_path}/conversations.parquet")
+    written = chat.written_turns(spark.read.parquet(f"{tmp_path}/conversations.parquet")).withColumn("h", F.xxhash64("line")).collect()
+    monkeypatch.setattr(chat, "PIECE_TURNS", turns)
+    monkeypatch.setattr(chat, "PIECE_CHARS", chars)
+    pieces = chat.pieces_of(chat.written_turns(spark.read.parquet(f"{tmp_path}/conversations.parquet")))
+    assert pieces.filter(f"size(roles) > {turns}").isEmpty() and (turns > 1) == (pieces.count() < len(ODD_CHATS))
+    got = {None if r["conv_id"] is None else str(r["conv_id"]): tuple(r)[3:] for r in chat.op6_chat_format(spark, str(tmp_path)).collect()}
+    assert got == expected_chats(written)
+
+
 def test_chat_query(spark, data, tmp_path):
-    out = chat.op6_chat_format(spark, data).toPandas()
+    frame = chat.op6_chat_format(spark, data)
+    out = frame.toPandas()
+    assert len(out) == spark.read.parquet(f"{data}/conversations.parquet").select("conv_id").distinct().count()
     right = (out.rendered_sha256 == out.written_sha256).groupby(out["style"]).mean()
     assert right["headings"] > 0.8 and right.mean() > 0.4 and set(right.index) <= set(chat.STYLES)
-    rows = [(1, 0, "user", "hi"), (1, 0, "user", "hi"), (1, 1, None, None), (None, None, None, None), (2, 5, "assistant", "x" * 50000)]
-    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.mode("overwrite").parquet(f"{tmp_path}/conversations.parquet")
-    assert chat.op6_chat_format(spark, str(tmp_path)).count() == 3
+    written = chat.written_turns(spark.read.parquet(f"{data}/conversations.parquet")).withColumn("h", F.xxhash64("line")).collect()
+    assert {str(r["conv_id"]): tuple(r)[3:] for r in frame.collect()} == expected_chats(written)
+    spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert chat.op6_chat_format(spark, str(tmp_path)).count() == 0
     frame = spark.createDataFrame([("User: a", 1, "k"), (None, 2, "l"), ("", 3, "m")], "transcript string, turns int, __chat string")
     got = chat.format_chats(frame).collect()
     assert [len(r["turns"]) for r in got] == [1, 0, 0] and got[1]["rendered"] == "" and [r["__chat"] for r in got] == ["k", "l", "m"]
 
 
+def test_many_sequences_at_once():
+    rng, tables = np.random.default_rng(1), chat.USUAL.fixed()
+    logs = [rng.integers(-3, 1, (n, 6)) for n in (5, 1, 9, 5, 30)]
+    together = chat.best_paths(logs, [tables.start] * 5, tables.move)
+    assert all((chat.viterbi(x, tables) == p).all() for x, p in zip(logs, together, strict=True))
+    assert chat.best_paths([], [], tables.move) == []
+    score = lambda x, p: tables.start[p[0]] + x[np.arange(len(p)), p].sum() + tables.move[p[:-1], p[1:]].sum()
+    for x, p in zip(logs, together, strict=True):
+        assert chat.transfer(x, np.broadcast_to(tables.start, (6, 6)), tables.move)[0].max() == score(x, p)
+
+
 def test_rendered_turns():
     assert chat.render([("user", "a"), ("user", "b"), ("assistant", "c")]) == "<|user|>\na\nb\n<|end|>\n<|assistant|>\nc\n<|end|>\n"
     assert chat.render([]) == ""
