@@ -74,11 +74,11 @@ def tie_groups(values, width: float = TIE_BITS):
     return F.aggregate(values, start, step, numbered)
 
 
-def grouped_candidates(scores: DataFrame, floor: float = FLOOR_BITS) -> DataFrame:
+def grouped_candidates(scores: DataFrame, floor: float = FLOOR_BITS, width: float = TIE_BITS) -> DataFrame:
     """left, right, bits, rank and tie group of candidates at the floor or above."""
     pool = ranked(scores).filter(F.col("bits") >= floor)
     lists = pool.groupBy(LEFT).agg(F.array_sort(F.collect_list(F.struct("rank", RIGHT, "bits"))).alias("c"))
-    both = lists.withColumn("g", tie_groups(F.transform("c", lambda x: x["bits"])))
+    both = lists.withColumn("g", tie_groups(F.transform("c", lambda x: x["bits"]), width))
     rows = both.select(LEFT, F.explode(F.arrays_zip("c", "g")).alias("x"))
     return rows.select(LEFT, F.col(f"x.c.{RIGHT}").alias(RIGHT), F.col("x.c.bits").alias("bits"), F.col("x.c.rank").alias("rank"), F.col("x.g").alias("group"))
 

@@ -33,7 +33,7 @@ PRODUCTS = Settings(columns=("title",))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from linkwright.plans import stored, trained  # noqa: F401  they register their own, which build on these
+    from linkwright.plans import analyses, stored, trained  # noqa: F401  they register their own, which build on these
 
     return {k: f for k, (f, _) in FOUND.items()}
 
