@@ -84,7 +84,7 @@ _WIDTH = 0.02
 
 
 @query(
-    "WITH RECURSIVE e AS (SELECT l AS unique_id_l, rank, cosine FROM (SELECT *, row_number() OVER (PARTITION BY l ORDER BY cosine DESC, r) - 1 AS rank FROM (SELECT 'A_' || a.vec_id AS l, 'B_' || b.vec_id AS r, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 7 = 0 AND b.vec_id % 7 <> 0)) WHERE rank < 30),"
+    "WITH RECURSIVE e AS MATERIALIZED (SELECT l AS unique_id_l, rank, cosine FROM (SELECT *, row_number() OVER (PARTITION BY l ORDER BY cosine DESC, r) - 1 AS rank FROM (SELECT 'A_' || a.vec_id AS l, 'B_' || b.vec_id AS r, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 7 = 0 AND b.vec_id % 7 <> 0)) WHERE rank < 30),"
     " g AS (SELECT unique_id_l, rank, cosine AS leader, 0 AS place FROM e WHERE rank = 0 UNION ALL SELECT e.unique_id_l, e.rank, CASE WHEN leader - cosine > @ THEN cosine ELSE leader END, CASE WHEN leader - cosine > @ THEN place + 1 ELSE place END FROM g JOIN e ON e.unique_id_l = g.unique_id_l AND e.rank = g.rank + 1)"
     " SELECT unique_id_l, CAST(place AS INTEGER) AS \"group\", count(*) AS n, round(max(leader), 9) AS leader FROM g GROUP BY unique_id_l, place".replace("@", f"{_WIDTH} + 1e-9")
 )
