@@ -7,6 +7,8 @@ from itertools import product
 import pytest
 from pyspark.sql import functions as F
 
+from linkwright.operators import analyses as N
+from linkwright.operators import scoring as G
 from linkwright.operators.blocking import ClassicalBlocker
 from linkwright.operators import diagnostics as J
 from linkwright.operators import evaluate as I
@@ -113,3 +115,22 @@ def test_brand_rule_tells_frequent_words_from_others(spark):
     brands = lambda w, br: (w & vocabulary) | ({br} if br else set())
     want = {(i, j) for i, (w, br) in left.items() for j, (v, bs) in right.items() if brands(w, br) & brands(v, bs) and len((w & v) - brands(w, br)) >= 2}
     assert got == want and ("A_1", "B_r") in got and ("A_4", "B_0") in got
+
+
+def test_features_stay_in_their_cells(spark, monkeypatch):
+    rng = random.Random(9)
+    some = lambda pool, most: rng.choice([None, sorted(rng.sample(pool, rng.randrange(1, most)))])
+    words = [f"w{i}" for i in range(25)]
+    kind = f"{ID} string, " + ", ".join(f"{c} array<string>" for c in G.COMPARISONS if c != "price_value") + ", price_value double"
+    side = lambda s, n: spark.createDataFrame([(f"{s}_{i}", *[some(words, 9) for _ in range(5)], rng.choice([None, 1.0, 1.01, 1.1, 5.0])) for i in range(n)], kind)
+    a, b = side("A", 40), side("B", 60)
+    pairs = a.select(F.col(ID).alias(LEFT)).crossJoin(b.select(F.col(ID).alias(RIGHT))).unionByName(spark.createDataFrame([("A_0", "B_x"), ("A_x", "B_0")], f"{LEFT} string, {RIGHT} string"))
+    want = sorted(map(tuple, G.gammas(G.pair_features(pairs, a, b)).collect()))
+    assert len(want) == 2400
+    for chars, most in ((48_000_000, 1_000_000), (3000, 100)):
+        monkeypatch.setattr(G, "CELL_CHARS", chars)
+        monkeypatch.setattr(G, "CELL_PAIRS", most)
+        counts = G.pair_counts(pairs, a, b)
+        assert sorted(map(tuple, G.pair_levels(pairs, a, b).collect())) == want
+        assert not any("array" in t for _, t in counts.dtypes)
+    assert sorted(map(tuple, N.absences(counts).collect())) == sorted(map(tuple, N.absences(G.pair_features(pairs, a, b)).collect()))
