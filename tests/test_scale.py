@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from linkwright.operators import analyses as N
+from linkwright.operators import classes as E
+from linkwright.operators import decide as H
 from linkwright.operators import scoring as G
 from linkwright.operators.blocking import ClassicalBlocker
 from linkwright.operators import diagnostics as J
@@ -134,3 +136,46 @@ def test_features_stay_in_their_cells(spark, monkeypatch):
         assert sorted(map(tuple, G.pair_levels(pairs, a, b).collect())) == want
         assert not any("array" in t for _, t in counts.dtypes)
     assert sorted(map(tuple, N.absences(counts).collect())) == sorted(map(tuple, N.absences(G.pair_features(pairs, a, b)).collect()))
+
+
+def test_decisions_of_classes_are_those_of_records(spark):
+    rng = random.Random(11)
+    a, b = ([(f"{s}_{i}", rng.choice([None, "x", "y", "z"]), rng.randrange(4), rng.choice([None, 1.0, 2.0])) for i in range(n)] for s, n in (("A", 30), ("B", 50)))
+    on = ["k", "v", "p"]
+    left, right = (spark.createDataFrame(d, f"{ID} string, k string, v int, p double") for d in (a, b))
+    ca, cb = E.classes(left, on), E.classes(right, on)
+    assert ca.count() < 30 and sorted(r[0] for r in E.members(left, ca, on).collect()) == sorted(r[0] for r in a)
+    bits = F.when(F.col("lv") == F.col("rv"), 7.0).otherwise(F.abs(F.col("lv") - F.col("rv")).cast("double") * 0.25) + F.when(F.col("lp") == F.col("rp"), 1.5).otherwise(0.0)
+
+    def scored(l, r, *more):
+        l, r = (d.select(F.col(ID).alias(n), "k", *[F.col(c).alias(f"{p}{c}") for c in ("v", "p", *more)]) for d, n, p in ((l, LEFT, "l"), (r, RIGHT, "r")))
+        return l.join(r, "k").select(LEFT, RIGHT, bits.alias("bits"), *[F.col(f"{p}{c}").alias(f"{c}{p}") for c in more for p in "lr"])
+
+    records, pairs, who = scored(left, right), scored(ca, cb, "n"), E.members(left, ca, on)
+    assert pairs.count() < records.count()
+    assert E.outcomes(pairs, who).columns == H.outcomes(records).columns
+    assert sorted(map(tuple, E.outcomes(pairs, who).collect())) == sorted(map(tuple, H.outcomes(records).collect()))
+    # One record that is alone at the top, and copies that are not.
+    one = [("A_a", "k1", 0, None), ("A_b", "k2", 0, None), ("A_c", "k2", 0, None)], [("B_a", "k1", 0, None), ("B_b", "k1", 0, None), ("B_c", "k2", 0, None)]
+    left, right = (spark.createDataFrame(d, f"{ID} string, k string, v int, p double") for d in one)
+    ca, cb = E.classes(left, on), E.classes(right, on)
+    got, want = E.reciprocal_best(scored(ca, cb, "n"), E.members(left, ca, on)), H.reciprocal_best(scored(left, right))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) == [("A_a", "B_a")]
+
+
+def test_true_pairs_are_counted_by_groups(spark):
+    a, b = (spark.createDataFrame([(f"{s}_{i}", f"t{i % m}" if i % 5 else None) for i in range(40)], f"{ID} string, t string") for s, m in (("A", 6), ("B", 9)))
+    truth = a.select(F.col(ID).alias(LEFT), "t").join(b.select(F.col(ID).alias(RIGHT), "t"), "t").select(LEFT, RIGHT)
+    chosen = spark.createDataFrame([(f"A_{i}", f"B_{i % 7}") for i in range(20)], f"{LEFT} string, {RIGHT} string")
+    assert I.evaluate_grouped(chosen, a, b, ["t"]).collect() == I.evaluate_pairs(chosen, truth).collect()
+
+
+def test_equal_products_are_no_pairs(spark, tmp_path):
+    """100 copies of a few products: plans that list pairs of records would have 10,000 times as many."""
+    from linkwright.plans import queries as base
+
+    rows = [(5 * i + s, f"red w{i % 3}", "Brand#1", "SMALL", 900.0 + i % 2, 5) for i in range(300) for s in (0, 1)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_retailprice double, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    pairs, who = base._scored_classes(spark, str(tmp_path))
+    assert pairs.count() == 36 and who.count() == 300
+    assert base.accepted_pairs(spark, str(tmp_path)).count() == 0 and base.baseline_decide(spark, str(tmp_path)).count() == 300
