@@ -11,7 +11,7 @@ from linkwright.operators import analyses as N
 from linkwright.operators import classes as E
 from linkwright.operators import decide as H
 from linkwright.operators import scoring as G
-from linkwright.operators.blocking import ClassicalBlocker, nearest
+from linkwright.operators.blocking import ClassicalBlocker, grouped_counts, grouped_totals, nearest, per_left_counts, totals
 from linkwright.operators import diagnostics as J
 from linkwright.operators import evaluate as I
 from linkwright.operators.order import numbered
@@ -195,3 +195,14 @@ def test_nearest_meets_classes_and_loses_none(spark):
     # 60 equal records of each side: one pair of classes, not 3,600 of records.
     plan = nearest(frame([(f"q{i}", ["a", "b"]) for i in range(60)]), frame([(f"t{i}", ["a"]) for i in range(60)]), 5)
     assert plan.count() == 300 and "class" in plan._jdf.queryExecution().analyzed().toString()
+
+
+def test_group_sizes_tell_what_pairs_tell(spark):
+    a, b = (spark.createDataFrame([(f"{s}_{i}", rng, f"t{i % m}") for i in range(40) for rng in [None if i % 11 == 0 else "x"]], f"{ID} string, k string, t string") for s, m in (("A", 6), ("B", 4)))
+    on = ["k", "t"]
+    pairs = a.select(F.col(ID).alias(LEFT), *on).join(b.select(F.col(ID).alias(RIGHT), *on), on).select(LEFT, RIGHT)
+    assert grouped_totals(a, b, on).collect() == totals(pairs, a, b).collect()
+    assert sorted(map(tuple, grouped_counts(a, b, on).collect())) == sorted(map(tuple, per_left_counts(pairs, a).collect()))
+    assert J.spread_of_counts(grouped_counts(a, b, on), b, 9).collect() == J.exclusion_spread(pairs, a, b, 9).collect()
+    # One row for each record or group, whatever the number of pairs: no join on both ids.
+    assert LEFT not in grouped_totals(a, b, on)._jdf.queryExecution().analyzed().toString()
