@@ -106,8 +106,10 @@ class ClassicalBlocker:
 
     def rule_identifier(self, a: DataFrame, b: DataFrame) -> DataFrame:
         """R2: a shared part number at any frequency."""
-        like = X.is_identifier_like(F.col("item"))
-        return shared_items(self._tokens(a).filter(like), self._tokens(b).filter(like))
+        held = lambda d, side, name: D.tokenised(d, list(self.settings.columns)).select(F.col(ID).alias(side), F.filter("tokens", X.is_identifier_like).alias(name)).withColumn("item", F.explode(name))
+        # A pair is told by the smallest of its common items, so that pairs need no shuffle to become distinct.
+        met = held(a, LEFT, "held_l").join(held(b, RIGHT, "held_r"), "item")
+        return met.filter(F.col("item") == F.array_min(F.array_intersect("held_l", "held_r"))).select(LEFT, RIGHT)
 
     def rule_brand(self, a: DataFrame, b: DataFrame) -> DataFrame:
         """R3: a shared brand and enough other shared tokens that are no brand of the left record.

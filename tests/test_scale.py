@@ -206,3 +206,11 @@ def test_group_sizes_tell_what_pairs_tell(spark):
     assert J.spread_of_counts(grouped_counts(a, b, on), b, 9).collect() == J.exclusion_spread(pairs, a, b, 9).collect()
     # One row for each record or group, whatever the number of pairs: no join on both ids.
     assert LEFT not in grouped_totals(a, b, on)._jdf.queryExecution().analyzed().toString()
+
+
+def test_pairs_with_several_identifiers_are_told_once(spark):
+    rows = lambda s, titles: spark.createDataFrame([(f"{s}_{i}", t, None, None, None, None) for i, t in enumerate(titles)], f"{ID} string, title string, category string, brand string, modelno string, price string")
+    a, b = rows("A", ["ab123 cd456 ef789", "ab123 plain", "none"]), rows("B", ["ab123 ef789", "cd456 zz", "ef789 cd456 ab123 ab123"])
+    found = ClassicalBlocker().rule_identifier(a, b)
+    assert sorted(map(tuple, found.collect())) == [("A_0", "B_0"), ("A_0", "B_1"), ("A_0", "B_2"), ("A_1", "B_0"), ("A_1", "B_2")]
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()  # pairs are not shuffled to become distinct
