@@ -11,7 +11,7 @@ from linkwright.operators import analyses as N
 from linkwright.operators import classes as E
 from linkwright.operators import decide as H
 from linkwright.operators import scoring as G
-from linkwright.operators.blocking import ClassicalBlocker, grouped_counts, grouped_totals, nearest, per_left_counts, totals
+from linkwright.operators.blocking import ClassicalBlocker, Settings, grouped_counts, grouped_totals, nearest, per_left_counts, totals
 from linkwright.operators import diagnostics as J
 from linkwright.operators import evaluate as I
 from linkwright.operators.order import numbered
@@ -214,3 +214,30 @@ def test_pairs_with_several_identifiers_are_told_once(spark):
     found = ClassicalBlocker().rule_identifier(a, b)
     assert sorted(map(tuple, found.collect())) == [("A_0", "B_0"), ("A_0", "B_1"), ("A_0", "B_2"), ("A_1", "B_0"), ("A_1", "B_2")]
     assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()  # pairs are not shuffled to become distinct
+
+
+def test_rules_of_a_pair_are_flags_that_are_shuffled_once(spark):
+    rng = random.Random(4)
+    words = [f"word{i}" for i in range(40)] + [f"zq{i}81bx" for i in range(6)]
+    schema = "unique_id string, title string, category string, brand string, modelno string, price string"
+    side = lambda s, n: spark.createDataFrame([(f"{s}_{i}", " ".join(rng.choices(words, k=rng.randrange(1, 6))), None, rng.choice(["acme", "bolt", None]), None, None) for i in range(n)], schema)
+    a, b = side("A", 30), side("B", 50)
+    blocker = ClassicalBlocker(Settings(rare_word=6, rare_ngram=8))
+    # Sets of names would fall back to sorting all pairs.
+    assert "collect_set(rule" not in blocker.generate_candidates(a, b)._jdf.queryExecution().toString()
+    want: dict = {}
+    for name, rule in (("R1", blocker.rule_word), ("R2", blocker.rule_identifier), ("R3", blocker.rule_brand), ("R5", blocker.rule_ngram)):
+        rows = [tuple(r) for r in rule(a, b).collect()]
+        assert len(rows) == len(set(rows)) > 0
+        for pair in rows:
+            want.setdefault(pair, []).append(name)
+    got = {(r[0], r[1]): r["rules"].split("+") for r in blocker.generate_candidates(a, b).collect()}
+    assert {k: v for k, v in got.items() if not any(r.startswith("R4") for r in v)} == want
+    assert sum(map(len, got.values())) == blocker.candidates_by_rule(a, b).count()
+
+
+def test_cells_without_pairs(spark):
+    side = lambda s: spark.createDataFrame([(f"{s}_0", ["x", "y"]), (f"{s}_1", ["y"])], f"{ID} string, words array<string>")
+    pairs = spark.createDataFrame([("A_0", "B_0"), ("A_1", "B_x")], f"{LEFT} string, {RIGHT} string")
+    got = lambda p: [tuple(r) for r in G.shared_members(p, side("A"), side("B"), "words").collect()]
+    assert got(pairs) == [("A_0", "B_0", 2)] and got(pairs.limit(0)) == [] and got(pairs.filter(F.col(RIGHT) == "B_x")) == []
