@@ -241,3 +241,18 @@ def test_cells_without_pairs(spark):
     pairs = spark.createDataFrame([("A_0", "B_0"), ("A_1", "B_x")], f"{LEFT} string, {RIGHT} string")
     got = lambda p: [tuple(r) for r in G.shared_members(p, side("A"), side("B"), "words").collect()]
     assert got(pairs) == [("A_0", "B_0", 2)] and got(pairs.limit(0)) == [] and got(pairs.filter(F.col(RIGHT) == "B_x")) == []
+
+
+def test_discards_of_classes_are_those_of_records(spark):
+    rng = random.Random(6)
+    on = ["brand", "title"]
+    side = lambda s, n: spark.createDataFrame([(f"{s}_{i}", rng.choice("xy"), rng.choice(["red bolt", "red nut", "old cup", "q"])) for i in range(n)], f"{ID} string, brand string, title string")
+    a, b = side("A", 40), side("B", 60)
+
+    def told(a, b):
+        pairs = a.select(F.col(ID).alias(LEFT), *on).join(b.select(F.col(ID).alias(RIGHT), *on), on).select(LEFT, RIGHT)
+        a, b = (d.withColumns({"tokens": F.split("title", " "), "grams": F.split("title", "")}) for d in (a, b))
+        return sorted(map(tuple, J.discard_taxonomy(pairs, a, b).filter("n > 0").collect()))
+
+    classes = told(E.classes(a, on), E.classes(b, on))
+    assert classes == told(a, b) and sum(r[2] for r in classes) < 2400 and len(classes) > 2
