@@ -14,6 +14,7 @@ from linkwright.operators import scoring as G
 from linkwright.operators.blocking import ClassicalBlocker, Settings, grouped_counts, grouped_totals, nearest, per_left_counts, totals
 from linkwright.operators import diagnostics as J
 from linkwright.operators import evaluate as I
+from linkwright.operators import review as L
 from linkwright.operators.order import numbered
 from linkwright.operators.similarity import similar_sets
 from linkwright.sources.tables import ID, LEFT, RIGHT
@@ -256,3 +257,15 @@ def test_discards_of_classes_are_those_of_records(spark):
 
     classes = told(E.classes(a, on), E.classes(b, on))
     assert classes == told(a, b) and sum(r[2] for r in classes) < 2400 and len(classes) > 2
+
+
+def test_shortlist_within_is_the_shortlist_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(L, "BLOCK", 12)
+    rng = random.Random(8)
+    pool = [[rng.gauss(0, 1) for _ in range(3)] for _ in range(25)] + [[0.0, 0.0, 0.0], [1.0, None, 2.0], None, [1.0, 2.0], [float("nan"), 1.0, 1.0], []]
+    side = lambda s, n: spark.createDataFrame([(f"{s}_{i}", rng.choice(pool), rng.choice(["x", "y", "z" + s, None])) for i in range(n)], f"{ID} string, vec array<double>, label string")
+    a, b = side("A", 50), side("B", 90)
+    pairs = a.select(F.col(ID).alias(LEFT), "label").join(b.select(F.col(ID).alias(RIGHT), "label"), "label")
+    for k in (4, 60):
+        rows = lambda d: sorted((r[LEFT], r["rank"], r[RIGHT], repr(r["cosine"])) for r in d.collect())
+        assert rows(L.shortlist_within(a, b, "label", k)) == rows(L.shortlist(pairs, a, b, k))
