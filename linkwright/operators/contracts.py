@@ -36,6 +36,25 @@ def candidate_violations(candidates: DataFrame, a: DataFrame, b: DataFrame) -> D
     return _counted(left, "unknown_left").unionByName(_counted(right, "unknown_right")).unionByName(_counted(duplicates(candidates), "duplicate"))
 
 
+def grouped_violations(a: DataFrame, b: DataFrame, on: list[str], listed: DataFrame) -> DataFrame:
+    """candidate_violations() of the pairs that are equal in ``on`` and the ``listed`` ones: the former are counted, never listed.
+
+    Ids whose rows have the same keys, each as often, are one class: all pairs of two classes are found equally often.
+    """
+    keys = [d.filter(F.concat(*[F.col(c).isNotNull().cast("int").cast("string") for c in on]) == "1" * len(on)).groupBy(ID, F.struct(*on).alias("key")).agg(F.count("*").alias("n")) for d in (a, b)]
+    profiles = [d.groupBy(ID).agg(F.array_sort(F.collect_list(F.struct("key", "n"))).alias("held")).groupBy("held").agg(F.count("*").alias("ids")) for d in keys]
+    left, right = (d.select(F.col("held").alias(f"{k}h"), F.col("ids").alias(f"{k}ids"), F.explode("held").alias("x")).select(f"{k}h", f"{k}ids", "x.key", F.col("x.n").alias(f"{k}n")) for d, k in zip(profiles, "lr", strict=True))
+    often = left.join(right, "key").groupBy("lh", "rh").agg(F.sum(F.col("ln") * F.col("rn")).alias("times"), F.first(F.col("lids") * F.col("rids")).alias("pairs"))
+    repeated = often.filter("times > 1").agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("n"))
+    more = listed.groupBy(LEFT, RIGHT).agg(F.count("*").alias("m"))
+    found = more.select(LEFT, RIGHT).join(keys[0].select(F.col(ID).alias(LEFT), "key", F.col("n").alias("ln")), LEFT).join(keys[1].select(F.col(ID).alias(RIGHT), "key", F.col("n").alias("rn")), [RIGHT, "key"])
+    times = found.groupBy(LEFT, RIGHT).agg(F.sum(F.col("ln") * F.col("rn")).alias("times"))
+    seen = more.join(times, [LEFT, RIGHT], "left").withColumn("times", F.coalesce("times", F.lit(0)))
+    again = seen.filter("times <= 1 and m + times > 1").agg(F.count("*").alias("n"))
+    unknown = candidate_violations(listed, a, b).filter("violation <> 'duplicate'")
+    return unknown.unionByName(repeated.unionByName(again).agg(F.lit("duplicate").alias("violation"), F.sum("n").cast("long").alias("n")))
+
+
 def score_violations(scores: DataFrame, candidates: DataFrame) -> DataFrame:
     """violation, n: repeated, invented and missing pairs, null probabilities and those outside [0, 1]."""
     p = F.col("match_probability")

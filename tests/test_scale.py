@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from linkwright.operators import analyses as N
 from linkwright.operators import classes as E
+from linkwright.operators import contracts as C
 from linkwright.operators import decide as H
 from linkwright.operators import scoring as G
 from linkwright.operators.blocking import ClassicalBlocker, Settings, grouped_counts, grouped_totals, nearest, per_left_counts, totals
@@ -269,3 +270,42 @@ def test_shortlist_within_is_the_shortlist_of_all_pairs(spark, monkeypatch):
     for k in (4, 60):
         rows = lambda d: sorted((r[LEFT], r["rank"], r[RIGHT], repr(r["cosine"])) for r in d.collect())
         assert rows(L.shortlist_within(a, b, "label", k)) == rows(L.shortlist(pairs, a, b, k))
+
+
+def test_budget_of_classes_is_that_of_pairs(spark):
+    """Equal values, ties at the k-th match, classes of several records and more wanted than there are."""
+    rng = random.Random(8)
+    left = [(f"A_{i}", f"A_{i % 5}") for i in range(23)]
+    right = [(f"B_{i}", f"B_{i % 4}") for i in range(31)]
+    sizes = [Counter(c for _, c in d) for d in (left, right)]
+    labelled = [(p, q, sizes[0][p], sizes[1][q], float(rng.randrange(3)), int(rng.random() < 0.3)) for p, q in product(sizes[0], sizes[1]) if rng.random() < 0.9]
+    ks = [0, 1, 2, 10, 40, 100, 5000]
+    schema = f"{LEFT} string, {RIGHT} string, nl long, nr long, bits double, label int"
+    members = [spark.createDataFrame(d, f"{ID} string, class string") for d in (left, right)]
+    got = {r["k"]: (r["cost"], r["exhausted"]) for r in E.budget(spark.createDataFrame(labelled, schema), *members, ks).collect()}
+    pairs = [(x, y, b, m) for p, q, _, _, b, m in labelled for x, c in left if c == p for y, d in right if d == q]
+    listed = spark.createDataFrame(pairs, f"{LEFT} string, {RIGHT} string, bits double, label int")
+    assert got == {r["k"]: (r["cost"], r["exhausted"]) for r in I.budget(I.acquisition(listed), ks).collect()}
+    assert got[0] == (0, False) and got[5000] == (len(pairs), True) and not got[1][1]
+
+
+def test_violations_of_groups_are_those_of_pairs(spark):
+    """Ids that repeat, under one key and under several, listed pairs that are in the groups or unknown, keys that are null."""
+    rng = random.Random(4)
+    rows = lambda side, n: [(f"{side}_{rng.randrange(n)}", rng.choice("xyz"), rng.choice(["p", "q", None])) for _ in range(n)]
+    a, b = (spark.createDataFrame(rows(s, n), f"{ID} string, brand string, title string") for s, n in (("A", 14), ("B", 20)))
+    pairs = a.withColumnRenamed(ID, LEFT).join(b.withColumnRenamed(ID, RIGHT), ["brand", "title"]).select(LEFT, RIGHT)
+    more = pairs.filter(F.col(LEFT) < "A_3").unionByName(pairs.filter(F.col(LEFT) == "A_5").select(F.col(RIGHT).alias(LEFT), F.col(LEFT).alias(RIGHT)))
+    for listed in (more, more.limit(0), pairs):
+        want = {r["violation"]: r["n"] for r in C.candidate_violations(pairs.unionByName(listed), a, b).collect()}
+        got = C.grouped_violations(a, b, ["brand", "title"], listed)
+        assert {r["violation"]: r["n"] for r in got.collect()} == want and want["duplicate"] > 0
+
+
+def test_budget_and_violations_list_no_pairs_of_a_brand(spark, data, monkeypatch):
+    """The queries read classes: neither asks for scored pairs or all pairs of equal titles."""
+    from linkwright.plans import queries as base
+
+    monkeypatch.setattr(base, "_scored", None)
+    monkeypatch.setattr(base.C, "duplicates", lambda df: (_ for _ in ()).throw(AssertionError("pairs are grouped")) if df.count() > 2000 else df.groupBy(LEFT, RIGHT).count().filter("count > 1"))
+    assert base.budget(spark, data).count() == 8 and base.candidates_violations(spark, data).count() == 3
