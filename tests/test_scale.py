@@ -309,3 +309,16 @@ def test_budget_and_violations_list_no_pairs_of_a_brand(spark, data, monkeypatch
     monkeypatch.setattr(base, "_scored", None)
     monkeypatch.setattr(base.C, "duplicates", lambda df: (_ for _ in ()).throw(AssertionError("pairs are grouped")) if df.count() > 2000 else df.groupBy(LEFT, RIGHT).count().filter("count > 1"))
     assert base.budget(spark, data).count() == 8 and base.candidates_violations(spark, data).count() == 3
+
+
+def test_features_and_rules_read_texts_once(spark):
+    """Tokens of a text are written once, not computed again by each step that reads them."""
+    from linkwright.operators import features as D
+    from linkwright.operators import training as T
+
+    a, b = (spark.createDataFrame([(f"{s}_{i}", f"word{i} item{i % 3}x", None, "brand", None, "1") for i in range(4)], f"{ID} string, title string, category string, brand string, modelno string, price string") for s in "AB")
+    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    for side in D.features_of(a, b):
+        assert plan(side).count("regexp_extract_all(lower(title") == 1 and "concat_ws" not in plan(side)
+    pairs, keys = T.rule_pairs(a, b)
+    assert "regexp_extract_all" not in plan(pairs) + plan(keys)
