@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import RID, checkpoint, modest_batches, pack, parts_for, releasing, sheltered, slices, table, unpack, with_rid
+from .common import RID, checkpoint, modest_batches, pack, parts_for, release, releasing, sheltered, slices, table, unpack, with_rid
 from .components import components, forest, local_forest
 from .hashing import ALNUM_BYTE, blocks, mix, prefix, span, words_of
 
@@ -212,6 +212,7 @@ def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, tole
         band, rid, size, first = runs(*unpack(t.blob[t.kind == 0], np.uint64, np.int64))
         some = (size > 1) & (size <= BUCKET)
         pairs = np.concatenate([stars(rid, first, size > BUCKET), np.stack(unpack(t.blob[t.kind == 1], np.int64, np.int64))], axis=1)
+        release()
         return pd.DataFrame({"kind": np.repeat([0, 1], [some.sum(), pairs.shape[1]]), "u": np.concatenate([band[some].view(np.int64), pairs[0]]), "v": np.concatenate([rid[some], pairs[1]])})
 
     def compared(t: pd.DataFrame) -> pd.DataFrame:
@@ -229,6 +230,7 @@ def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, tole
             i, j = still_possible(short, short, i, j, threshold, tolerance)
             edges.append(forest(rid[i], rid[j]))
         edges = forest(*np.concatenate(edges, axis=1))
+        release()
         return pd.DataFrame({"u": edges[0], "v": edges[1]})
 
     found = checkpoint(classes.select("rep", "bands").mapInPandas(spread, "key long, kind int, blob binary").repartition(parts, "key").groupBy("key").applyInPandas(met, "kind int, u long, v long"))
@@ -240,15 +242,15 @@ def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, tole
 
     def deal(batches):
         for t in batches:
-            out = []
-            for rows in blocks(list(t.itertuples(index=False)), lambda r: len(r.text or ""), 1 << 19):
+            for rows in blocks(list(t.itertuples(index=False)), lambda r: len(r.text or "") * -(-r.size // block), 1 << 19):  # a row goes out once for each block of its cluster
+                out = []
                 for r, s in zip(rows, shingle_sets([r.text for r in rows], words), strict=True):
                     nb = -(-r.size // block)
                     a = ((r.rid * 0x9E3779B97F4A7C15) % 2**64 >> 33) % nb
                     for x in range(nb):
                         unit = f"{r.component}/{min(a, x)}/{max(a, x)}" if nb > 1 else f"/{r.component % parts}"
                         out.append((unit, r.component, r.rid, r.copies, int(x < a), pack(s)))
-            yield pd.DataFrame(out, columns=["unit", "cluster", "rid", "copies", "side", "shingles"])
+                yield pd.DataFrame(out, columns=["unit", "cluster", "rid", "copies", "side", "shingles"])
 
     def unit(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
         rid, copies, side = t.rid.to_numpy(), t.copies.to_numpy(), t.side.to_numpy()
@@ -260,6 +262,7 @@ def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, tole
             if len(x) > 1 and (not apart or 0 < side[x].sum() < len(x)):
                 out.append(_link_group(rid[x], copies[x], side[x], [sets[k] for k in x], threshold, tolerance))
         got = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 3
+        release()
         return pd.DataFrame(dict(zip(("rid", "n", "least"), got, strict=True)))
 
     dealt = texts.join(placed, F.col("rid") == F.col("at")).select("rid", "text", "component", "size", "copies").mapInPandas(releasing(deal), "unit string, cluster long, rid long, copies long, side int, shingles binary")
