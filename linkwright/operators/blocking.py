@@ -17,6 +17,8 @@ from linkwright.sources.tables import ATTRIBUTES, ID, LEFT, RIGHT
 
 #: Words in a signature (a long has that many bits), and shares of the left records of a brand.
 SIGNATURE, SALTS = 63, 16
+#: Records that one row of chunks() holds at most.
+CHUNK = 1024
 RULES = ("R1", "R2", "R3", "R5", "R4", "R4-sym", "R4-short")
 #: What a rule sets in the flags of a pair.
 BITS = {r: 1 << i for i, r in enumerate(RULES)}
@@ -53,6 +55,30 @@ def meetings(left: DataFrame, right: DataFrame, item: str = "item") -> DataFrame
     return left.select(F.col(ID).alias(LEFT), item).join(r, item).select(LEFT, RIGHT)
 
 
+def chunks(df: DataFrame, on: list[str], item: str = ID) -> DataFrame:
+    """(on, chunk, items): the items of records that are equal in ``on`` (nulls are equal), at most CHUNK in a row; an item may be null."""
+    nth = F.row_number().over(Window.partitionBy(*on).orderBy(item))
+    nulls = F.array_repeat(F.lit(None).cast(df.schema[item].dataType), F.count_if(F.col("items").isNull()).cast("int"))
+    return df.select(*on, F.floor((nth - 1) / CHUNK).alias("chunk"), F.col(item).alias("items")).groupBy(*on, "chunk").agg(F.concat(F.collect_list("items"), nulls).alias("items"))
+
+
+def met_chunks(left: DataFrame, right: DataFrame, on: list[str], by: str) -> DataFrame:
+    """left and right (whose other columns have different names) where they are equal in ``on``.
+
+    The left rows of a group are dealt by a salt from ``by``, so that a large group is not one task. What depends on chunks is computed
+    behind this, once for each pair of chunks; listed() then gives pairs of records, which are not shuffled.
+    """
+    salted = left.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    every = right.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    return dealt(salted, *on, "salt").join(dealt(every, *on, "salt"), [*on, "salt"]).drop("salt")
+
+
+def listed(met: DataFrame, left: str, right: str) -> DataFrame:
+    """met with a row for each pair of members of the arrays left and right."""
+    others = [c for c in met.columns if c not in (left, right)]
+    return met.select(F.explode(left).alias(left), right, *others).select(left, F.explode(right).alias(right), *others)
+
+
 def rare(index: DataFrame, cutoff: int, item: str = "item") -> DataFrame:
     """Postings of items that at most cutoff records hold: lists are cut by meaning, before any join."""
     kept = D.document_frequency(index, item).filter(F.col("df") <= cutoff)

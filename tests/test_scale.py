@@ -4,10 +4,12 @@ import random
 from collections import Counter
 from itertools import product
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from linkwright.operators import analyses as N
+from linkwright.operators import blocking as B
 from linkwright.operators import classes as E
 from linkwright.operators import contracts as C
 from linkwright.operators import decide as H
@@ -18,6 +20,7 @@ from linkwright.operators import evaluate as I
 from linkwright.operators import review as L
 from linkwright.operators.order import numbered
 from linkwright.operators.similarity import similar_sets
+from linkwright.plans import queries as base
 from linkwright.sources.tables import ID, LEFT, RIGHT
 
 
@@ -322,3 +325,26 @@ def test_features_and_rules_read_texts_once(spark):
         assert plan(side).count("regexp_extract_all(lower(title") == 1 and "concat_ws" not in plan(side)
     pairs, keys = T.rule_pairs(a, b)
     assert "regexp_extract_all" not in plan(pairs) + plan(keys)
+
+
+def _parts(spark, folder):
+    """Odd parts: prices that repeat, are null or zero, keys that are null or repeat, names and brands that are null, one large group."""
+    rng = random.Random(11)
+    rows = [(i, "n" if i < 60 else rng.choice(["m", "o", None]), "x" if i < 60 else rng.choice(["x", "y", None]), rng.choice("tu"), rng.randrange(4), rng.choice([None, 0.0, 1.5, 2.5, 7.25])) for i in range(100)]
+    rows += [(None, "n", "x", "t", 1, 2.5), (7, "n", "x", "t", 1, 2.5), (7, "n", "x", "u", 2, None)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").coalesce(1).write.parquet(f"{folder}/part.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["price_gap"])
+def test_pairs_of_equal_titles_meet_as_chunks(spark, tmp_path, monkeypatch, name):
+    """A group of equal titles is no single task, and chunks of any size list the pairs of SQL, odd values and keys included."""
+    folder = _parts(spark, tmp_path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{folder}/part.parquet/*.parquet'")
+    known = lambda rows: sorted(tuple(map(repr, r)) for r in rows)
+    for chunk in (1, 3, 1024):
+        monkeypatch.setattr(B, "CHUNK", chunk)
+        found = base.queries()[name](spark, folder)
+        assert known(tuple(r) for r in found.collect()) == known(con.execute(base.oracle_sql()[name]).fetchall())
+        assert sum(n > 0 for n in found.rdd.glom().map(len).collect()) > 2
