@@ -270,6 +270,12 @@ def grouped_counts(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
     return a.select(ID, *on).join(sizes, on, "left").select(ID, F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def grouped_keys(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
+    """exploded_keys() of the pairs that are equal in ``on``: an array holds the records that share a key, so that a key is not one pair's and no pair is shuffled."""
+    left, right = (chunks(d, on).select(*on, F.col("items").alias(n)) for d, n in ((a, LEFT), (b, RIGHT)))
+    return listed(met_chunks(left, right, on, LEFT).select(LEFT, RIGHT), LEFT, RIGHT)
+
+
 def grouped_totals(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
     """totals() of the pairs that are equal in ``on``, from sizes of groups."""
     ga, gb = (d.groupBy(*on).agg(F.count("*").alias(n)) for d, n in ((a, "x"), (b, "y")))

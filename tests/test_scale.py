@@ -336,7 +336,7 @@ def _parts(spark, folder):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["price_gap", "quantity_conflict"])
+@pytest.mark.parametrize("name", ["price_gap", "quantity_conflict", "pair_key_explode"])
 def test_pairs_of_equal_titles_meet_as_chunks(spark, tmp_path, monkeypatch, name):
     """A group of equal titles is no single task, and chunks of any size list the pairs of SQL, odd values and keys included."""
     folder = _parts(spark, tmp_path)
