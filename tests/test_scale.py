@@ -8,6 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from linkwright.functions import sets as S
 from linkwright.operators import analyses as N
 from linkwright.operators import blocking as B
 from linkwright.operators import classes as E
@@ -348,3 +349,21 @@ def test_pairs_of_equal_titles_meet_as_chunks(spark, tmp_path, monkeypatch, name
         found = base.queries()[name](spark, folder)
         assert known(tuple(r) for r in found.collect()) == known(con.execute(base.oracle_sql()[name]).fetchall())
         assert sum(n > 0 for n in found.rdd.glom().map(len).collect()) > 2
+
+
+def test_acquisition_of_classes_is_that_of_pairs(spark, monkeypatch):
+    """Equal values over several records and classes: every place and count, and no sort of all pairs."""
+    sorted_rows = []
+    monkeypatch.setattr(E, "numbered", lambda df, *args: (sorted_rows.append(df.count()), numbered(df, *args))[1])
+    rng = random.Random(9)
+    left = [(f"A_{i}", f"A_{i % 5}") for i in range(17)]
+    right = [(f"B_{i}", f"B_{i % 4}") for i in range(23)]
+    sizes = [Counter(c for _, c in d) for d in (left, right)]
+    labelled = [(p, q, sizes[0][p], sizes[1][q], float(rng.randrange(3)), int(rng.random() < 0.3)) for p, q in product(sizes[0], sizes[1]) if rng.random() < 0.9]
+    members = [spark.createDataFrame(d, f"{ID} string, class string") for d in (left, right)]
+    got = E.acquisition(spark.createDataFrame(labelled, f"{LEFT} string, {RIGHT} string, nl long, nr long, bits double, label int"), *members)
+    pairs = [(x, y, b, m) for p, q, _, _, b, m in labelled for x, c in left if c == p for y, d in right if d == q]
+    listed = I.acquisition(spark.createDataFrame(pairs, f"{LEFT} string, {RIGHT} string, bits double, label int"))
+    columns = [LEFT, RIGHT, "bits", "label", "found", "cost"]
+    assert got.columns == columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, listed.select(columns).collect()))
+    assert sum(sorted_rows) < len(pairs) / 4
