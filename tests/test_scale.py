@@ -367,3 +367,23 @@ def test_acquisition_of_classes_is_that_of_pairs(spark, monkeypatch):
     columns = [LEFT, RIGHT, "bits", "label", "found", "cost"]
     assert got.columns == columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, listed.select(columns).collect()))
     assert sum(sorted_rows) < len(pairs) / 4
+
+
+@pytest.mark.parametrize("block", [4, 4096])
+def test_cosines_in_cells_are_those_of_pairs(spark, monkeypatch, block):
+    """Gaps, zeros, lengths that differ, values that are not finite, halves at the sixth place, equal ids; a label is no single task."""
+    monkeypatch.setattr(L, "BLOCK", block)
+    monkeypatch.setattr(L, "SLICE", 3)
+    rng = random.Random(3)
+    odd = [None, [], [0.0, 0.0, 0.0], [1.0, None, 2.0], [1.0, 2.0], [float("nan"), 1.0, 1.0], [float("inf"), 1.0, 1.0], [1e-30, 1.0, 0.0]]
+    halves = [[1.0, 0.0, 0.0, 0.0], [0.0078125, 0.9999694815187804, 0.0, 0.0], [-0.0078125, 0.9999694815187804, 0.0, 0.0]]
+    vectors = odd + halves + [[rng.choice([-1.0, 0.5, rng.gauss(0, 1)]) for _ in range(rng.choice([3, 4]))] for _ in range(14)]
+    rows = [(i, v, label) for label in (1, 2) for i, v in enumerate(vectors)] + [(5, [1.0, 2.0, 3.0], 1), (None, [1.0, 2.0, 3.0], 1), (99, [1.0, 2.0, 3.0], None)]
+    df = spark.createDataFrame(rows, "id long, vec array<double>, label int")
+    a, b = (df.select(F.col("id").alias(k), "label", F.col("vec").alias(f"{k}v")) for k in ("l", "r"))
+    want = a.join(b, "label").filter("l < r").select("l", "r", F.round(S.cosine(F.col("lv"), F.col("rv")), 6).alias("cosine"))
+    got = L.cosines_within(df, "label")
+    told = lambda d: sorted((r["l"], r["r"], repr(r["cosine"])) for r in d.collect())
+    assert told(got) == told(want)
+    assert block > 4 or sum(n > 0 for n in got.rdd.glom().map(len).collect()) > 2
+    assert told(L.cosines_within(df.limit(0), "label")) == []
