@@ -80,9 +80,12 @@ def listed(met: DataFrame, left: str, right: str) -> DataFrame:
 
 
 def rare(index: DataFrame, cutoff: int, item: str = "item") -> DataFrame:
-    """Postings of items that at most cutoff records hold: lists are cut by meaning, before any join."""
-    kept = D.document_frequency(index, item).filter(F.col("df") <= cutoff)
-    return index.join(kept.select(item), item, "left_semi")
+    """Postings of items that at most cutoff records hold: lists are cut by meaning, before any join.
+
+    A window counts an item where its postings meet, so that they are made and dealt once.
+    """
+    held = F.count("*").over(Window.partitionBy(item))
+    return index.withColumn("__df", held).filter(F.col(item).isNotNull() & (F.col("__df") <= cutoff)).drop("__df")
 
 
 def nearest(queries: DataFrame, targets: DataFrame, k: int) -> DataFrame:

@@ -387,3 +387,12 @@ def test_cosines_in_cells_are_those_of_pairs(spark, monkeypatch, block):
     assert told(got) == told(want)
     assert block > 4 or sum(n > 0 for n in got.rdd.glom().map(len).collect()) > 2
     assert told(L.cosines_within(df.limit(0), "label")) == []
+
+
+def test_rare_postings_are_made_once(spark):
+    """Items above the cutoff go, others keep all their records; what makes the postings is in the plan once."""
+    rows = [(f"B_{i}", x) for i in range(6) for x in (["a"] if i < 3 else ["b", "c"] if i < 5 else ["a", None])]
+    index = B.dealt(spark.createDataFrame(rows, f"{ID} string, item string"), "item")
+    found = B.rare(index, 3)
+    assert sorted(map(tuple, found.collect())) == sorted((k, x) for k, x in rows if x in ("b", "c"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
