@@ -185,3 +185,62 @@ def values(x: DataFrame, y: DataFrame, weights: dict[str, dict[int, float]], pri
     schema = pa.schema([(ID, pa.string()), ("bits", pa.float64()), ("n", pa.int64()), ("best", pa.string()), ("m", pa.int64())])
     columns = [ID, "brand", "title", "category", "t", "p", "n"]
     return _cells(x.select(*columns), y.select(*columns)).applyInArrow(compare, f"{ID} string, bits double, n long, best string, m long")
+
+
+def nearest_sets(x: DataFrame, y: DataFrame, threshold: float) -> DataFrame:
+    """(unique_id, best, similarity): the class of its brand in y whose tokens have the highest Jaccard with those of each class of x, ties to the smaller id, where it reaches threshold.
+
+    x and y hold classes (unique_id, brand, tokens, head); head are tokens that many classes have in common: what they share is
+    counted once for those. A class that several cells know has a row from each.
+    """
+
+    def compare(xs: pa.Table, ys: pa.Table) -> pa.Table:
+        xs, ys = (d.rename_columns([c.removeprefix(side) for c in d.column_names]) for d, side in ((xs, "x_"), (ys, "y_")))
+        if not len(xs) or not len(ys):
+            return pa.table({ID: [], "best": [], "similarity": []}, schema)
+        ys = ys.take(pc.sort_indices(ys, [(ID, "ascending")], null_placement="at_end"))
+        vocabulary = {None: 0}
+        flat, starts, sizes = _flat(_lists(ys["tokens"], vocabulary))
+        sizes = np.maximum(sizes, 0)
+        mine, heads = _lists(xs["tokens"], vocabulary), _lists(xs["head"], vocabulary)
+        flags = np.zeros(len(vocabulary), np.int64)
+        rows_of = np.repeat(np.arange(len(ys)), np.diff(np.append(starts, len(flat))))
+        order = np.argsort(flat, kind="stable")
+        ends = np.searchsorted(flat[order], np.arange(len(vocabulary) + 1))
+        held = rows_of[order]  # rows that have a word lie together
+        met = {}
+        out = [[], [], []]
+        at = {}
+        for row, (words, head) in enumerate(zip(mine, heads, strict=True)):
+            if words is not None and len(words):
+                at.setdefault(tuple(np.intersect1d(words, head)) if head is not None else (), []).append(row)
+        for head, rows in at.items():
+            head = np.array(head, np.int64)
+            shared = _overlaps(head, flat, starts, flags)
+            whole = {}
+            for row in rows:
+                size = len(mine[row])
+                if size not in whole:
+                    j = shared / (size + sizes - shared)
+                    whole[size] = (first := int(np.argmax(j))), j[first]
+                best, top = whole[size]  # without the words that are not in its head: less than the truth for who has one
+                more = tuple(np.setdiff1d(mine[row], head))
+                if more not in met:
+                    met[more] = np.unique(np.concatenate([held[ends[w] : ends[w + 1]] for w in more]) if more else np.zeros(0, np.int64), return_counts=True)
+                some, n = met[more]
+                if len(some):
+                    n = n + shared[some]
+                    j = n / (size + sizes[some] - n)
+                    k = int(np.argmax(j))
+                    if j[k] > top or (j[k] == top and some[k] < best):
+                        best, top = some[k], j[k]
+                if top >= threshold:
+                    out[0].append(row)
+                    out[1].append(best)
+                    out[2].append(top)
+        ids = [d[ID].take(pa.array(np.array(i, np.int64))).cast("string") for d, i in ((xs, out[0]), (ys, out[1]))]
+        return pa.table([*ids, pa.array(out[2], pa.float64())], schema=schema)
+
+    schema = pa.schema([(ID, pa.string()), ("best", pa.string()), ("similarity", pa.float64())])
+    columns = [ID, "brand", "tokens", "head"]
+    return _cells(x.select(*columns), y.select(*columns)).applyInArrow(compare, f"{ID} string, best string, similarity double")
