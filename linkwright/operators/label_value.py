@@ -80,13 +80,8 @@ def sweep(train: DataFrame, test: DataFrame, names: list[str], u: list[list[floa
     label. A threshold comes from the pairs that were read, and from nothing else; none was read for k = 0, where it is 6.0 and
     all m are defaults. Where there are fewer than k matches, the reader reads all of train, and there are no draws.
     """
-    ks = tuple(sorted(ks))
-    tops = [len(x) - 1 for x in u]
     label = F.col("label") == 1
-    matches = train.filter(label)
-    # Where the k-th match lies in the reader's order: as many rows as the largest k.
-    places = matches.orderBy(F.col("bits").desc(), LEFT, RIGHT).select("bits", LEFT, RIGHT).limit(max(ks)).collect()
-    stops = {k: places[k - 1] if 0 < k <= len(places) else None for k in ks}
+    stops = stops_of(train.filter(label), ks)
 
     def read(k: int):
         if k == 0:
@@ -96,8 +91,21 @@ def sweep(train: DataFrame, test: DataFrame, names: list[str], u: list[list[floa
         tie = (F.col(LEFT) < stop[LEFT]) | ((F.col(LEFT) == stop[LEFT]) & (F.col(RIGHT) <= stop[RIGHT]))
         return (F.col("bits") > stop["bits"]) | ((F.col("bits") == stop["bits"]) & tie)
 
-    seen = train.groupBy(*names, label.alias("y")).agg(F.count("*").alias("n"), *[F.count_if(read(k)).alias(f"k{k}") for k in ks]).collect()
+    seen = train.groupBy(*names, label.alias("y")).agg(F.count("*").alias("n"), *[F.count_if(read(k)).alias(f"k{k}") for k in stops]).collect()
     tested = test.groupBy(*names, label.alias("y")).agg(F.count("*").alias("n")).collect()
+    return swept(train.filter(label), seen, tested, names, u, prior_bits, ks, draws, seed)
+
+
+def stops_of(matches: DataFrame, ks: tuple[int, ...] = KS) -> dict:
+    """By k: bits and ids of the k-th match in the reader's order, None where there are fewer; as many rows as the largest k."""
+    places = matches.orderBy(F.col("bits").desc(), LEFT, RIGHT).select("bits", LEFT, RIGHT).limit(max(ks)).collect()
+    return {k: places[k - 1] if 0 < k <= len(places) else None for k in sorted(ks)}
+
+
+def swept(matches: DataFrame, seen: list, tested: list, names: list[str], u: list[list[float]], prior_bits: float, ks: tuple[int, ...] = KS, draws: int = DRAWS, seed: int = 0) -> DataFrame:
+    """sweep() from the matches of train and counts by pattern and label (y): of train (n, and k<k>, which are read for k), and of test (n)."""
+    ks = tuple(sorted(ks))
+    tops = [len(x) - 1 for x in u]
     total = sum(r["n"] for r in seen if r["y"])
     nth = [k for k in ks if 0 < k < total]
     taken = drawn(matches, draws, max(nth), seed).groupBy("draw", *names).agg(*[F.count_if(F.col("nth") <= k).alias(f"k{k}") for k in nth]).collect() if nth else []
@@ -131,4 +139,4 @@ def sweep(train: DataFrame, test: DataFrame, names: list[str], u: list[list[floa
         low, middle, high = (np.percentile(scores, q) if scores else None for q in (2.5, 50, 97.5))
         whole = lambda x: None if x is None else round(float(x), 6)
         rows.append((k, int(m.sum()), int(n.sum()), threshold, round(f1_at(bits[:, j], *of_test, threshold), 6), len(scores), whole(middle), whole(low), whole(high)))
-    return train.sparkSession.createDataFrame(rows, RESULT)
+    return matches.sparkSession.createDataFrame(rows, RESULT)

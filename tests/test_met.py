@@ -86,3 +86,23 @@ def test_budget_lists_pairs_of_few_classes(spark, data, monkeypatch):
     monkeypatch.setattr(base, "_brand_levels", lambda a, b, *more: seen.append(a) or levels(a, b, *more))
     assert base.budget(spark, data).count() == 8
     assert [d.count() <= 8 for d in seen] == [True]
+
+
+@pytest.mark.parametrize("name", ["pair_protocol", "label_value"])
+def test_labels_are_counted_by_patterns(spark, data, monkeypatch, name):
+    """Levels of all pairs of products are not listed."""
+
+    def listed(*_):
+        raise AssertionError("pairs are listed")
+
+    for what in ("_levels", "_labelled", "_truth"):
+        monkeypatch.setattr(base, what, listed)
+    assert base.queries()[name](spark, data).count() > 0
+
+
+def test_a_row_of_a_protocol_stands_for_many(spark):
+    rows = [(float(b), y) for b in (-1, 5, 6, 9, 20) for y in (0, 1) for _ in range(3 * b % 7 + y)]
+    pairs = spark.createDataFrame(rows, "bits double, label int")
+    counted = pairs.groupBy("bits", "label").agg(F.count("*").alias("n"))
+    assert I.pair_protocol(counted, 2e-5).collect() == I.pair_protocol(pairs, 2e-5).collect()
+    assert I.pair_protocol(counted.limit(0), 2e-5).collect() == I.pair_protocol(pairs.limit(0), 2e-5).collect()
