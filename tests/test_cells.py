@@ -83,3 +83,16 @@ def test_pairs_of_a_brand_are_not_shuffled(spark):
         plan = found._jdf.queryExecution().optimizedPlan().toString()
         assert "FlatMapGroupsIn" in plan.split("Aggregate")[0]  # the pairs are not made distinct behind their cells
     assert BITS["R2"] == 2 and BITS["R3"] == 4
+
+
+def test_candidates_are_compared_where_they_are_found(spark, data, monkeypatch):
+    """Pairs are not listed before they are compared."""
+    from linkwright.plans import queries as base
+
+    def listed(*_, **__):
+        raise AssertionError("pairs are listed")
+
+    monkeypatch.setattr(G, "pair_counts", listed)
+    monkeypatch.setattr(base, "_candidates", listed)
+    for name in ("absences", "candidate_patterns", "candidate_scores", "prior_outcomes"):
+        base.queries()[name](spark, data)
